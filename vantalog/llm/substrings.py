@@ -94,7 +94,7 @@ def repeats(docs: DataFrame, least_words: int = 50, least_run: int = 12, within:
 
     A run is reported if it has ``least_run`` words at least and, with the chunks at its two ends, in which the repeat
     begins and ends, ``least_words``: so a repeat of that length is found, and shorter ones only if they nearly reach
-    it. ``first_doc_id`` is the smallest document that holds a chunk of the run. Rows that share a doc_id count as one
+    it. ``first_doc_id`` is the smallest document that holds the run's longest chunk (of several, the one held first). Rows that share a doc_id count as one
     document. Nothing is capped: a chunk in a third of all documents is aggregated before the shuffle and joined by
     digest, never gathered.
     """
@@ -109,7 +109,7 @@ def repeats(docs: DataFrame, least_words: int = 50, least_run: int = 12, within:
         F.sum("words").alias("n_words"),
         F.min(F.struct("seq", "before")).alias("head"),
         F.max(F.struct("seq", "after")).alias("tail"),
-        F.min("first_doc_id").alias("first_doc_id"),
+        (-F.max(F.struct("size", (-F.col("first_doc_id")).alias("n")))["n"]).alias("first_doc_id"),
     )
     around = F.col("n_words") + F.col("head.before") + F.col("tail.after")
     return runs.where((F.col("n_words") >= least_run) & (around >= least_words)).select("doc_id", "start", "n_bytes", "n_words", "first_doc_id")
