@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SEP = "\x01"
@@ -15,6 +15,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a row count observed under ``name``. Filters and projections above don't move below an observation, so what stands below is planned and computed once however often it is used."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
 def decoded(payload: Column) -> Column:
     """Bytes as text; invalid sequences become replacement characters."""
     return F.make_valid_utf8(payload.cast("string"))

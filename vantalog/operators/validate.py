@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import computed_once
 from ..plans.normalize import LABELS
 
 #: Lowest and highest score of each severity label.
@@ -47,11 +48,12 @@ def semantic_issues() -> Column:
 
 def validate(events: DataFrame) -> DataFrame:
     """``events`` with validation (issues) and storable (no issue, and quality isn't invalid). Events with issues become invalid, with a warning for each."""
-    out = events.withColumn("validation", semantic_issues())
+    out = computed_once(events.withColumn("validation", semantic_issues()), "validated")
     wrong = F.size("validation") > 0
     told = F.transform("validation", lambda i: F.concat_ws(": ", i.path, i.message))
-    quality = F.col("quality").withField("status", F.when(wrong, "invalid").otherwise(F.col("quality.status"))).withField("warnings", F.concat("quality.warnings", told))
-    return out.withColumn("quality", quality).withColumn("storable", ~wrong & (F.col("quality.status") != "invalid"))
+    q = lambda n: F.col(f"quality.{n}")
+    quality = F.struct(F.when(wrong, "invalid").otherwise(q("status")).alias("status"), q("parsing_confidence").alias("parsing_confidence"), q("missing_fields").alias("missing_fields"), F.concat(q("warnings"), told).alias("warnings"))
+    return out.withColumns({"quality": quality, "storable": ~wrong & (q("status") != "invalid")})
 
 
 # The schema of documents that come from outside, as rules on paths: (required keys, allowed keys) of each object.

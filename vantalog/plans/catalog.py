@@ -36,7 +36,7 @@ x1 AS (SELECT *, printf('00000000-0000-4000-8000-%012d', e) AS id, ts + INTERVAL
     CASE WHEN k = 0 THEN 5 WHEN k = 1 THEN [2, 2, 4, 4][m % 4 + 1] WHEN k = 2 THEN [4, 5][m % 2 + 1] WHEN k = 3 THEN 2 WHEN k = 4 AND m % 3 <> 2 THEN [10, 9, 8, 7, 5, 4, 2, 0][e % 8 + 1] WHEN k = 5 AND m % 5 = 0 THEN [8, 5, 2, 0][e % 4 + 1] ELSE 0 END AS score,
     CASE WHEN k = 4 AND m % 3 = 2 OR k = 6 OR k = 5 AND m % 5 = 0 AND e % 4 = 3 THEN 'unknown' WHEN score = 0 THEN 'informational' WHEN score < 4 THEN 'low' WHEN score < 7 THEN 'medium' WHEN score < 9 THEN 'high' ELSE 'critical' END AS label
   FROM x0),
-x AS (SELECT *, CASE WHEN status = 'failed' OR k = 5 AND label = 'unknown' THEN 'invalid' WHEN k = 6 THEN 'unknown' WHEN status = 'partial' THEN 'partial' ELSE 'valid' END AS quality,
+x AS (SELECT *, CASE WHEN status = 'failed' OR k = 5 AND label = 'unknown' THEN 'invalid' WHEN k = 6 THEN 'unknown' WHEN status = 'partial' OR k = 2 THEN 'partial' ELSE 'valid' END AS quality,
     CASE WHEN k = 5 THEN ts ELSE ingested END AS observed,
     CASE WHEN k IN (0, 1) THEN 'Cisco' WHEN k IN (2, 3) THEN 'Fortinet' WHEN k = 4 THEN 'Generic' WHEN k = 5 THEN 'OISF' ELSE 'unknown' END AS vendor,
     CASE WHEN k IN (0, 1) THEN 'ASA' WHEN k IN (2, 3) THEN 'FortiGate' WHEN k = 4 THEN 'Linux Syslog' WHEN k = 5 THEN 'Suricata' ELSE 'unknown' END AS product,
@@ -133,12 +133,12 @@ def severity_map(spark, sf_dir):
     return unified(spark, sf_dir).groupBy(F.col("observer.vendor").alias("vendor"), F.col("severity.normalized").alias("score"), F.col("severity.label").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("""x: SELECT coalesce(pack, 'none') AS pack, quality, CASE WHEN status IN ('failed', 'unrecognized') THEN 0.0 WHEN status = 'partial' THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, count(*) AS n FROM x GROUP BY ALL""")
+@query("""x: SELECT coalesce(pack, 'none') AS pack, quality, CASE WHEN status IN ('failed', 'unrecognized') THEN 0.0 WHEN status = 'partial' OR k = 2 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, count(*) AS n FROM x GROUP BY ALL""")
 def quality_by_pack(spark, sf_dir):
     return unified(spark, sf_dir).groupBy(F.coalesce("pack", F.lit("none")).alias("pack"), F.col("quality.status").alias("quality"), F.col("quality.parsing_confidence").alias("confidence")).agg(F.count("*").alias("n"))
 
 
-@query("""x: SELECT field, count(*) AS n FROM (SELECT unnest(CASE WHEN k = 1 AND m % 4 = 3 THEN ['source.ip', 'destination.ip', 'network.transport'] WHEN k = 4 AND m % 3 = 2 THEN ['event.message'] WHEN k = 6 THEN ['normalization.mapping', 'observer.vendor', 'observer.product'] ELSE [] END) AS field FROM x) GROUP BY 1""")
+@query("""x: SELECT field, count(*) AS n FROM (SELECT unnest(CASE WHEN k = 1 AND m % 4 = 3 THEN ['source.ip', 'destination.ip', 'network.transport'] WHEN k = 2 OR k = 4 AND m % 3 = 2 THEN ['event.message'] WHEN k = 6 THEN ['normalization.mapping', 'observer.vendor', 'observer.product'] ELSE [] END) AS field FROM x) GROUP BY 1""")
 def missing_fields(spark, sf_dir):
     return unified(spark, sf_dir).select(F.explode("quality.missing_fields").alias("field")).groupBy("field").agg(F.count("*").alias("n"))
 
@@ -334,10 +334,10 @@ def last_message(spark, sf_dir):
     return store.latest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ("conv_id",), ("turn",)).select("conv_id", "text")
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id % 16 ORDER BY event_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
+@query("SELECT event_id, avg(round(value * 1000000)::BIGINT) OVER (PARTITION BY user_id % 16 ORDER BY event_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW) AS mean FROM events")
 def latency_ring(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "value", (F.col("user_id") % 16).alias("worker"))
-    return metrics.ring_mean(events, "worker", "event_id", "value").select("event_id", F.round("ring_mean", 6).alias("mean"))
+    events = table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") * 1000000).cast("long").alias("micros"), (F.col("user_id") % 16).alias("worker"))
+    return metrics.ring_mean(events, "worker", "event_id", "micros").select("event_id", F.col("ring_mean").alias("mean"))
 
 
 @query("SELECT user_id % 4 AS worker_id, time_bucket(INTERVAL 5 SECOND, ts) AS window_start, count(*) AS consumed, sum(strlen(props))::BIGINT AS bytes_in, max(value) AS latency_max FROM events GROUP BY ALL")
@@ -367,7 +367,7 @@ def retry_schedule(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", attempt.cast("long").alias("attempt"), stages.delay_seconds(attempt).alias("delay"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_type = 'error' AND event_id % 7 >= 5 THEN 'dead-letter' WHEN event_type = 'error' THEN 'retry' ELSE 'parsed-event' END AS topic, CASE WHEN event_id % 11 = 0 THEN 'INVALID_RAW_CONTRACT' WHEN event_type = 'error' AND event_id % 7 >= 5 THEN 'TRANSIENT_RETRIES_EXHAUSTED' WHEN event_type = 'error' THEN 'TRANSIENT_PROCESSING_ERROR' END AS error_code, event_id % 7 + CASE WHEN topic = 'retry' THEN 1 ELSE 0 END AS attempt, CASE WHEN topic = 'retry' THEN epoch_ms(ts) + 15000 * (1 << (event_id % 7)::INT) END::BIGINT AS not_before_ms FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_type = 'error' AND event_id % 7 >= 5 THEN 'dead-letter' WHEN event_type = 'error' THEN 'retry' ELSE 'parsed-event' END AS topic, CASE WHEN event_id % 11 = 0 THEN 'INVALID_RAW_CONTRACT' WHEN event_type = 'error' AND event_id % 7 >= 5 THEN 'TRANSIENT_RETRIES_EXHAUSTED' WHEN event_type = 'error' THEN 'TRANSIENT_PROCESSING_ERROR' END AS error_code, event_id % 7 + CASE WHEN topic = 'retry' THEN 1 ELSE 0 END AS attempt, CASE WHEN topic = 'retry' THEN epoch_us(ts) // 1000 + 15000 * (1 << (event_id % 7)::INT) END::BIGINT AS not_before_ms FROM events""")
 def decision_routing(spark, sf_dir):
     broken = F.when(F.col("event_id") % 11 == 0, "INVALID_RAW_CONTRACT")
     made = stages.decide(broken, F.col("event_type") == "error", F.col("event_id") % 7, stages.PARSED, F.unix_millis("ts"))
@@ -432,7 +432,7 @@ def contract_checks(spark, sf_dir):
     return broken.agg(F.count("*").alias("n"), F.count_if(collect.contract_error().isNull()).alias("good"))
 
 
-@query("SELECT second % 60 AS s, count(*) AS n, sum(CASE WHEN second % 60 < 5 THEN 15000 ELSE 2000 END)::BIGINT AS load FROM (SELECT epoch(ts)::BIGINT AS second FROM events) GROUP BY 1")
+@query("SELECT second % 60 AS s, count(*) AS n, sum(CASE WHEN second % 60 < 5 THEN 15000 ELSE 2000 END)::BIGINT AS load FROM (SELECT epoch_us(ts) // 1000000 AS second FROM events) GROUP BY 1")
 def load_schedule(spark, sf_dir):
     second = F.unix_seconds("ts")
     rate = metrics.load_rate(second, 2000, 15000, 60, 5)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its times are UTC, as the session's time zone must be."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    naive = [n for n, kind in rows.dtypes if kind == "timestamp_ntz"]
+    return rows.withColumns({n: F.col(n).cast("timestamp") for n in naive}) if naive else rows
 
 
 def uuid_of(number: Column) -> Column:
