@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_BUILT: dict = {}
+
+
+def built(key, build: Callable):
+    """What ``build()`` gives, built once a Spark application: large expressions take seconds to put together, call by call."""
+    context = SparkContext._active_spark_context
+    at = (context.applicationId if context else None, key)
+    if at not in _BUILT:
+        _BUILT[at] = build()
+    return _BUILT[at]
+
+
 def computed_once(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with a row count observed under ``name``. Filters and projections above don't move below an observation, so what stands below is planned and computed once however often it is used."""
     return rows.observe(name, F.count(F.lit(1)).alias("rows"))

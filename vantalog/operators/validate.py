@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import computed_once
+from ..functions.text import built, computed_once
 from ..plans.normalize import LABELS
 
 #: Lowest and highest score of each severity label.
@@ -48,7 +48,7 @@ def semantic_issues() -> Column:
 
 def validate(events: DataFrame) -> DataFrame:
     """``events`` with validation (issues) and storable (no issue, and quality isn't invalid). Events with issues become invalid, with a warning for each."""
-    out = computed_once(events.withColumn("validation", semantic_issues()), "validated")
+    out = computed_once(events.withColumn("validation", built("semantic", semantic_issues)), "validated")
     wrong = F.size("validation") > 0
     told = F.transform("validation", lambda i: F.concat_ws(": ", i.path, i.message))
     q = lambda n: F.col(f"quality.{n}")

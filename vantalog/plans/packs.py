@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsers
-from ..functions.text import decoded, groups, let, strip, valid_ip, zoned_timestamp
+from ..functions.text import built, decoded, groups, let, strip, valid_ip, zoned_timestamp
 
 ISSUE = "struct<code:string,message:string,severity:string,field:string>"
 PARSED = f"struct<status:string,issues:array<{ISSUE}>,fields:map<string,string>>"
@@ -187,12 +187,12 @@ def by_priority(packs: tuple[Pack, ...] = PACKS) -> list[Pack]:
 def detect(raw: DataFrame, packs: tuple[Pack, ...] = PACKS) -> DataFrame:
     """``raw`` with text (lossy) and pack, the id of the first pack by priority whose rules match; null if none does."""
     text = raw.withColumn("text", decoded(F.col("payload")))
-    return text.withColumn("pack", F.coalesce(*[F.when(p.detect(F.col("text")), F.lit(p.pack_id)) for p in by_priority(packs)]))
+    return text.withColumn("pack", built(("detect", packs), lambda: F.coalesce(*[F.when(p.detect(F.col("text")), F.lit(p.pack_id)) for p in by_priority(packs)])))
 
 
 def parse(raw: DataFrame, packs: tuple[Pack, ...] = PACKS) -> DataFrame:
     """``detect`` with status (success, partial, failed, unrecognized), issues and fields. Never fails on a payload. All packs are one projection: a row is parsed only by the pack that it matched."""
     found = detect(raw, packs)
-    none = parsed("unrecognized", F.array(), F.lit(None))
-    chosen = F.coalesce(*[F.when(F.col("pack") == p.pack_id, p.parsed(F.col("text"))) for p in by_priority(packs)], none)
+    none = lambda: parsed("unrecognized", F.array(), F.lit(None))
+    chosen = built(("parse", packs), lambda: F.coalesce(*[F.when(F.col("pack") == p.pack_id, p.parsed(F.col("text"))) for p in by_priority(packs)], none()))
     return found.withColumn("_parsed", chosen).select("*", "_parsed.status", "_parsed.issues", "_parsed.fields").drop("_parsed")
