@@ -61,7 +61,7 @@ def bag(text: bytes | None, cache: dict[bytes, list[int]], buckets: int) -> tupl
     return index, np.bincount(back, np.array(weight))
 
 
-def train(rows: list[tuple[bytes | None, int]], prior: float | None = None, buckets: int = 1 << 17, dim: int = 8, steps: int = 200, sparsity: float = 0.05, least_texts: int = 3, block: int = 1 << 21, seed: int = 0) -> Model:
+def train(rows: list[tuple[bytes | None, int]], prior: float | None = None, buckets: int = 1 << 17, dim: int = 8, steps: int = 200, sparsity: float = 0.05, least_texts: int = 3, block: int = 1 << 19, seed: int = 0) -> Model:
     """Fits vectors and softmax together by accelerated proximal gradient steps on the log loss over all rows.
 
     Each bucket is weighed by the inverse of its root mean square over the rows, and buckets in fewer than
@@ -75,43 +75,44 @@ def train(rows: list[tuple[bytes | None, int]], prior: float | None = None, buck
     model = Model(np.zeros((buckets, dim)), rng.normal(0, 1, (dim, 2)), np.log((counts + 1.0) / (counts.sum() + 2.0)))
     if not counts.all():
         return model
+    n = len(rows)
+    seen, square = np.zeros(buckets), np.zeros(buckets)
+    blocks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
     cache: dict[bytes, list[int]] = {}
-    bags = []
-    for text, _ in rows:
-        if len(cache) > 100_000:
+    part: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    # Bags go straight into a few large arrays, which the system takes back as a whole when training ends.
+    for i, (text, _) in enumerate(rows):
+        if len(cache) > 50_000:
             cache.clear()
         index, weight = bag(text, cache, buckets)
-        bags.append((index.astype(np.int32), weight.astype(np.float32)))
-    del cache
-    n = len(rows)
-    seen, square = np.zeros(buckets), np.zeros(buckets)
-    for index, weight in bags:
         seen[index] += 1
-        square[index] += weight.astype(np.float64) ** 2
+        square[index] += weight**2
+        part.append((index.astype(np.int32), weight.astype(np.float32)))
+        size += len(index)
+        if size >= block or i == n - 1:
+            first = blocks[-1][1] if blocks else 0
+            blocks.append((first, i + 1, np.concatenate([b[0] for b in part]), np.concatenate([b[1] for b in part]), np.array([len(b[0]) for b in part])))
+            part, size = [], 0
+    del cache, part
     active = np.flatnonzero(seen >= least_texts)
     if not len(active):
         return model
     scale = 1 / np.sqrt(square[active] / n)
     scale /= np.median(scale)
-    to = np.full(buckets, -1, np.int32)
+    to = np.full(buckets, len(active), np.int32)  # what isn't active goes to one more place, which weighs nothing
     to[active] = np.arange(len(active))
-    blocks, first, size = [], 0, 0
-    for i, (index, weight) in enumerate(bags):
-        own = to[index]
-        keep = own >= 0
-        bags[i] = (own[keep], (weight[keep] * scale[own[keep]]).astype(np.float32))
-        size += len(bags[i][0])
-        if size >= block or i == n - 1:
-            part = bags[first : i + 1]
-            blocks.append((first, i + 1, np.concatenate([b[0] for b in part]), np.concatenate([b[1] for b in part]), np.repeat(np.arange(len(part), dtype=np.int32), [len(b[0]) for b in part])))
-            bags[first : i + 1] = [None] * len(part)
-            first, size = i + 1, 0
+    wide = np.append(scale, 0.0).astype(np.float32)
+    for _, _, column, weight, _ in blocks:
+        column[:] = to[column]
+        weight *= wide[column]
 
     def forward(projected: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(at, weight * projected[column], b - a) for a, b, column, weight, at in blocks])
+        far = np.append(projected, 0.0)
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), sizes), weight * far[column], b - a) for a, b, column, weight, sizes in blocks])
 
     def backward(pull: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(column, weight * pull[a:b][at], len(active)) for a, b, column, weight, at in blocks)
+        return sum(np.bincount(column, weight * np.repeat(pull[a:b], sizes), len(active) + 1) for a, b, column, weight, sizes in blocks)[: len(active)]
 
     v = rng.random(len(active))
     for _ in range(12):  # the largest singular value bounds the step
