@@ -14,7 +14,7 @@ from ..functions import parsers
 from ..functions.text import valid_ip
 from ..operators import collect, deliver, export, metrics, store
 from ..operators.validate import structural_issues, validate
-from ..sources.events import render, table, uuid_of
+from ..sources.events import render, spread, table, uuid_of
 from ..streaming import stages
 from .normalize import normalize
 from .packs import parse
@@ -57,7 +57,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render(table(spark, sf_dir, "events"))
+    return render(spread(table(spark, sf_dir, "events")))
 
 
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumns({n: F.col(n).cast("timestamp") for n in naive}) if naive else rows
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores if the input has fewer splits than the cluster has cores, as one small file has: parsing costs far more than moving such rows. Larger inputs stay as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def uuid_of(number: Column) -> Column:
     return F.format_string("00000000-0000-4000-8000-%012d", number)
 
