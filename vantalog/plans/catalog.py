@@ -179,7 +179,7 @@ for _name, _facets, _where in (
     ("search_severity", {"severity": "high"}, "label = 'high'"),
     ("search_quality", {"quality": "partial", "vendor": "all"}, "quality = 'partial'"),
     ("search_time_range", {"start": "2024-01-10 00:00:00", "end": "2024-01-12 00:00:00"}, "observed >= TIMESTAMP '2024-01-10' AND observed < TIMESTAMP '2024-01-12'"),
-    ("search_text", {"text": "H7.EXAMPLE"}, "k = 5 AND e % 100 = 7 AND m % 5 IN (2, 3)"),
+    ("search_text", {"text": "H4.EXAMPLE"}, "k = 5 AND e % 100 = 4 AND m % 5 IN (2, 3)"),
 ):
     _f = _search(**_facets)
     _f.__name__ = _name
