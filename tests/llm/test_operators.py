@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vantalog.llm import decontaminate, html_extract, licenses, mixing, ngram_lm, sharding, simhash, substrings, topk, toxicity
+from vantalog.llm import decontaminate, html_extract, licenses, mixing, ngram_lm, queries, sharding, simhash, substrings, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, _key string, key long, n int, fp long"
 ALNUM, SPACED = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), re.compile("[^\x20\x09-\x0d]+")
@@ -339,6 +339,14 @@ def test_language_model(docs, texts, empty, order):
     assert ngram_lm.score(empty, held).count() == 0
 
 
+def test_registered_language_model_reads_two_words_of_context(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda f: sorted((r.doc_id, round(r.score, 6)) for r in f.collect())
+    made = rows(queries.op9_ngram_lm(spark, str(tmp_path)))
+    held = toxicity.held_out(F.col("doc_id"), 7, 2)
+    assert made == rows(ngram_lm.score(docs, held, order=3)) != rows(ngram_lm.score(docs, held, order=2))
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(1)
     for n, top in ((1, 5), (1000, 2**20), (1000, 2**60), (5, 6)):

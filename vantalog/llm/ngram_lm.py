@@ -4,6 +4,8 @@ All texts are cut into chunks of documents. Each chunk asks for its distinct n-g
 documents have them; Spark shuffles these lists to shards by n-gram. A shard adds the counts up, builds its part of
 the trie (levels in Elias-Fano code: contexts, pointers to each context's successors, successors relative to their
 context, quantised log probabilities), maps it into memory and answers every chunk. Each chunk then scores its texts.
+Orders beyond the second go round one at a time, and a round's lists are deleted when it is answered: no two rounds'
+lists are on disk together.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, saved, spaced_words, texts
+from .common import WordHashes, batches, saved, shuffles_dropped, spaced_words, texts
 
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -167,8 +169,13 @@ def _chunks(most_bytes: int):
     return cut
 
 
-def _grams(row: dict, hashes: WordHashes, order: int):
-    """Per order the distinct keys of a chunk, each token's place among them, and the number of tokens and the training mark of each document."""
+def _rounds(order: int) -> list[range]:
+    """The levels (order less one) that are asked together."""
+    return [range(min(2, order)), *(range(n, n + 1) for n in range(2, order))]
+
+
+def _grams(row: dict, hashes: WordHashes, levels: range):
+    """Per level the distinct keys of a chunk, each token's place among them, and the number of tokens and the training mark of each document."""
     data = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, sum(row["sizes"])))
     words, lengths, at = [], [], 0
     for size in row["sizes"]:
@@ -182,14 +189,14 @@ def _grams(row: dict, hashes: WordHashes, order: int):
     place = np.arange(len(flat)) - first
     keys = [flat]
     context = np.zeros(len(flat), np.uint64)
-    for n in range(2, order + 1):
+    for n in range(2, levels.stop + 1):
         back = np.concatenate([np.full(n - 1, BEGIN), flat[: len(flat) - n + 1]])
         back = np.where(place >= n - 1, back, BEGIN)
         with np.errstate(over="ignore"):
             context = (context ^ back) * _MIX
             context ^= context >> np.uint64(29)
         keys.append((context >> np.uint64(32)) << np.uint64(32) | flat >> np.uint64(32))
-    return [np.unique(k, return_inverse=True) for k in keys], lengths, np.repeat(np.array(row["train"], bool), lengths)
+    return [np.unique(keys[n], return_inverse=True) for n in levels], lengths, np.repeat(np.array(row["train"], bool), lengths)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -201,12 +208,12 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return order, np.searchsorted(h[order], np.arange(buckets + 1))
 
 
-def _ask(order: int, buckets: int):
+def _ask(levels: range, buckets: int):
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in rows:
             for row in batch.to_pylist():
-                grams, _, train = _grams(row, hashes, order)
+                grams, _, train = _grams(row, hashes, levels)
                 out: list[list[tuple[int, bytes, bytes]]] = [[] for _ in range(buckets)]
                 for keys, back in grams:
                     counts = np.bincount(back, train, len(keys)).astype(np.uint32)
@@ -220,47 +227,47 @@ def _ask(order: int, buckets: int):
 
 
 _ASKED = "bucket int, chunk long, sizes array<long>, keys array<binary>, counts array<binary>"
-_TOLD = "chunk long, bucket int, tokens long, kinds long, top double, told array<binary>"
+_TOLD = "chunk long, bucket int, level int, tokens long, kinds long, told array<binary>"
 
 
-def _answer(order: int, top: float):
+def _answer(levels: range, top: float):
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         told: list[list[bytes]] = [[] for _ in rows]
         tokens = kinds = 0
-        for n in range(order):
-            asked = [np.cumsum(_unpack(r["keys"][n], r["sizes"][n], np.uint64), dtype=np.uint64) for r in rows]
-            counts = np.concatenate([_unpack(r["counts"][n], r["sizes"][n], np.uint32) for r in rows])
-            flat = np.concatenate(asked)
-            flat, counts = flat[counts > 0], counts[counts > 0]
-            keys, back = np.unique(flat, return_inverse=True)
-            sums = np.bincount(back, counts, len(keys)).astype(np.int64)
+        for at, n in enumerate(levels):
+            asked = [np.cumsum(_unpack(r["keys"][at], r["sizes"][at], np.uint64), dtype=np.uint64) for r in rows]
+            counts = np.concatenate([_unpack(r["counts"][at], r["sizes"][at], np.uint32) for r in rows])
+            # every key is looked up once, however many chunks ask for it
+            wanted, back = np.unique(np.concatenate(asked), return_inverse=True)
+            sums = np.bincount(back, counts, len(wanted)).astype(np.int64)
+            keys, sums = wanted[sums > 0], sums[sums > 0]
             if n == 0:
                 tokens, kinds = int(sums.sum()), len(keys)
             level = Level(keys, sums if n == 0 else quantise(sums, top))
-            for i, own in enumerate(asked):
-                told[i].append(_pack(level.find(own)))
-        return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "tokens": pa.array([tokens * (i == 0) for i in range(len(rows))], pa.int64()), "kinds": pa.array([kinds * (i == 0) for i in range(len(rows))], pa.int64()), "top": pa.array([top] * len(rows)), "told": pa.array(told, pa.list_(pa.binary()))})
+            values, ends = level.find(wanted), np.cumsum([0, *map(len, asked)])
+            for i in range(len(rows)):
+                told[i].append(_pack(values[back[ends[i] : ends[i + 1]]]))
+        return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "level": pa.array([levels.start] * len(rows), pa.int32()), "tokens": pa.array([tokens * (i == 0) for i in range(len(rows))], pa.int64()), "kinds": pa.array([kinds * (i == 0) for i in range(len(rows))], pa.int64()), "told": pa.array(told, pa.list_(pa.binary()))})
 
     return answer
 
 
-def _score(order: int, buckets: int, tokens: int, kinds: int, mass: float):
+def _score(order: int, buckets: int, tokens: int, kinds: int, top: float, mass: float):
     def score(chunk: pa.Table, told: pa.Table) -> pa.Table:
         cols: dict[str, list] = {c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score")}
-        answers = {r["bucket"]: r for r in told.to_pylist()}
+        answers = {(r["level"] + i, r["bucket"]): own for r in told.to_pylist() for i, own in enumerate(r["told"])}
         for row in chunk.to_pylist():
-            grams, lengths, _ = _grams(row, WordHashes(), order)
+            grams, lengths, _ = _grams(row, WordHashes(), range(order))
             found = []
             for n, (keys, back) in enumerate(grams):
                 to, ends = _bucket(keys, buckets)
-                own = np.concatenate([_unpack(answers[b]["told"][n], int(ends[b + 1] - ends[b]), np.int64 if n == 0 else np.uint8) for b in range(buckets)])
+                own = np.concatenate([_unpack(answers[n, b], int(ends[b + 1] - ends[b]), np.int64 if n == 0 else np.uint8) for b in range(buckets)])
                 values = np.empty_like(own)
                 values[to] = own
                 found.append(values[back])
             ends = np.cumsum(lengths)
             per_doc = lambda x, e=ends: np.add.reduceat(x, e - lengths)  # noqa: E731, B023
-            top = next(iter(answers.values()))["top"]
             c = found[0].astype(np.float64)
             lower = (c + 1.0) / (tokens + 1.0 * (kinds + 1))
             base = per_doc(np.log10(lower))
@@ -286,7 +293,7 @@ def _score(order: int, buckets: int, tokens: int, kinds: int, mass: float):
     return score
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 2, mass: float = 8.0, chunk_bytes: int = 4 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 3, mass: float = 8.0, chunk_bytes: int = 4 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of ``docs``.
 
     The model learns from all whole texts for which ``held_out`` is false, of which null ids are. Tokens are the words
@@ -302,8 +309,12 @@ def score(docs: DataFrame, held_out: Column, order: int = 2, mass: float = 8.0,
         return rows.limit(0).selectExpr("doc_id", "not train held_out", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score")
     buckets = max(48, -(-int(bytes_all) // bucket_bytes))
     top = float(np.log10(max(10, bytes_all)))  # at least log10 of any count
-    asked = chunks.mapInArrow(_ask(order, buckets), _ASKED)
-    told = saved(asked.groupBy("bucket").applyInArrow(_answer(order, top), _TOLD), "lm-told")
+    told = None
+    for levels in _rounds(order):
+        asked = chunks.mapInArrow(_ask(levels, buckets), _ASKED)
+        with shuffles_dropped(docs.sparkSession):
+            part = saved(asked.groupBy("bucket").applyInArrow(_answer(levels, top), _TOLD), "lm-told")
+        told = part if told is None else told.unionByName(part)
     tokens, kinds = told.agg(F.sum("tokens"), F.sum("kinds")).first()
-    found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(order, buckets, int(tokens), int(kinds), mass), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    found = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(order, buckets, int(tokens), int(kinds), top, mass), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
