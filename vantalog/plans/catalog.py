@@ -90,13 +90,13 @@ def issue_counts(spark, sf_dir):
 
 @query("""x: SELECT e AS seq, 'Deny' AS action, CASE WHEN e % 2 = 0 THEN 'tcp' ELSE 'udp' END AS protocol, sip AS src_ip, sport AS src_port, dip AS dst_ip, dport::INT AS dst_port, 'EDGE' AS acl_name, 'acl_deny' AS event_type, printf('edge-%d', u % 10) AS hostname, 4 AS severity, 'warning' AS severity_name FROM x WHERE k = 0""")
 def asa_deny_fields(spark, sf_dir):
-    found = parse(raw(spark, sf_dir)).where("pack = 'cisco_asa' and seq % 7 = 0")
+    found = parse(raw(spark, sf_dir)).where((F.col("pack") == "cisco_asa") & (_field("message_id") == "106023"))
     return found.select("seq", *[_field(n) for n in ("action", "protocol", "src_ip")], _field("src_port", "long"), _field("dst_ip"), _field("dst_port", "int"), *[_field(n) for n in ("acl_name", "event_type", "hostname")], _field("severity", "int"), _field("severity_name"))
 
 
 @query("""x: SELECT e AS seq, ['302013', '302014', '106100', '111008'][m % 4 + 1] AS message_id, ['Built', 'Teardown', 'permitted', NULL][m % 4 + 1] AS action, ['inbound', 'outbound', NULL, NULL][m % 4 + 1] AS direction, CASE WHEN m % 4 < 2 THEN e END AS connection_id, CASE WHEN m % 4 < 3 THEN sip END AS src_ip, CASE WHEN m % 4 < 3 THEN dport::INT END AS dst_port, ['connection_lifecycle', 'connection_lifecycle', 'acl_hit', NULL][m % 4 + 1] AS event_type FROM x WHERE k = 1""")
 def asa_connection_fields(spark, sf_dir):
-    found = parse(raw(spark, sf_dir)).where("pack = 'cisco_asa' and seq % 7 = 1")
+    found = parse(raw(spark, sf_dir)).where((F.col("pack") == "cisco_asa") & (_field("message_id") != "106023"))
     return found.select("seq", _field("message_id"), _field("action"), _field("direction"), _field("connection_id", "long"), _field("src_ip"), _field("dst_port", "int"), _field("event_type"))
 
 
@@ -165,6 +165,15 @@ def canonical_json(spark, sf_dir):
     return found.select("event_id", "raw_sha256", F.parse_json("normalized_json").alias("j")).select("event_id", "raw_sha256", F.variant_get("j", "$.traceability.raw_event", "variant").cast("string").alias("raw_event"))
 
 
+@query("""x: SELECT id AS event_id, true AS whole, vendor, product, category, action, score AS severity, label AS severity_label, CASE WHEN ends THEN sip END AS source_ip, CASE WHEN ends THEN dport END::INT AS destination_port, quality AS quality_status FROM x WHERE quality <> 'invalid'""")
+def canonical_json_all(spark, sf_dir):
+    """Every stored event read back from its canonical JSON; ``whole``: the embedded payload has the recorded hash."""
+    j = lambda path, kind="string": F.try_variant_get("j", f"$.{path}", kind)
+    found = rows(spark, sf_dir).select("event_id", "raw_sha256", F.parse_json("normalized_json").alias("j"))
+    parts = {"vendor": "observer.vendor", "product": "observer.product", "category": "event.category", "action": "action.normalized"}
+    return found.select("event_id", (F.sha2(F.encode(j("traceability.raw_event.content"), "utf-8"), 256) == F.col("raw_sha256")).alias("whole"), *[j(path).alias(n) for n, path in parts.items()], j("severity.normalized", "int").alias("severity"), j("severity.label").alias("severity_label"), j("source.ip").alias("source_ip"), j("destination.port", "int").alias("destination_port"), j("quality.status").alias("quality_status"))
+
+
 _FOUND = "x: SELECT id AS event_id, observed AS observed_at FROM x WHERE quality <> 'invalid' AND "
 
 
@@ -275,6 +284,18 @@ def rfc5424_lines(spark, sf_dir):
     return unified(spark, sf_dir).where("pack is null").select("event_id", deliver.rfc5424_line().alias("line"))
 
 
+@query()
+def cef_lines_all(spark, sf_dir):
+    """Every unified event; its SQL would have to render every vendor's line again, so the tests hold it against a serialiser in Python."""
+    return unified(spark, sf_dir).select("event_id", deliver.cef_line().alias("line"))
+
+
+@query()
+def rfc5424_lines_all(spark, sf_dir):
+    """As ``cef_lines_all``."""
+    return unified(spark, sf_dir).select("event_id", deliver.rfc5424_line().alias("line"))
+
+
 @query("x: SELECT e AS seq, 'forward' AS name, dip AS dst, dport::INT AS dpt, 'a=b|c' AS note FROM x")
 def cef_round_trip(spark, sf_dir):
     e = F.col("event_id")
@@ -402,7 +423,7 @@ def delivery_reconcile(spark, sf_dir):
 
 @query("x: SELECT r.rule, count(*) AS n FROM x, (SELECT unnest(['timestamp_order', 'network_endpoint', 'action_consistency', 'severity_consistency', 'vendor_namespace', 'raw_integrity']) AS rule) r WHERE k = 0 GROUP BY 1")
 def semantic_rule_hits(spark, sf_dir):
-    good = normalize(parse(raw(spark, sf_dir).where("seq % 7 = 0")), F.col("ingested_at"))
+    good = normalize(parse(raw(spark, sf_dir)), F.col("ingested_at")).where("event.type = 'acl_deny'")
     c, hour = F.col, F.expr("INTERVAL 1 HOUR")
     changes = {
         "timestamp_order": ("time", c("time").withField("observed_at", c("time.ingested_at") + hour)),
@@ -418,6 +439,44 @@ def semantic_rule_hits(spark, sf_dir):
     return validate(copies).select(F.explode("validation").alias("v")).groupBy(F.col("v.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
+_RULES = ("timestamp_order", "network_endpoint", "category_requirement", "action_consistency", "severity_consistency", "severity_uncertainty", "outcome_consistency", "partial_explanation", "vendor_namespace", "raw_integrity")
+
+
+@query(f"x: SELECT coalesce(pack, 'none') AS pack, r.rule, count(*) AS n, count(*) AS hit FROM x, (SELECT unnest({list(_RULES)}) AS rule) r GROUP BY ALL")
+def semantic_rule_hits_all(spark, sf_dir):
+    """Every event, changed once for each rule so that it breaks it, and in how many of them the rule is found."""
+    good = normalize(parse(raw(spark, sf_dir)), F.col("ingested_at"))
+    c, none = F.col, F.array().cast("array<string>")
+    user = F.struct(F.lit("u").alias("user"), F.lit("success").alias("result"))
+    changes = {
+        "timestamp_order": {"time": c("time").withField("observed_at", c("time.ingested_at") + F.expr("INTERVAL 1 HOUR"))},
+        "network_endpoint": {"event": c("event").withField("category", F.lit("network")), "source": F.lit(None).cast(good.schema["source"].dataType)},
+        "category_requirement": {"event": c("event").withField("category", F.lit("intrusion_detection")), "threat": F.lit(None).cast(good.schema["threat"].dataType)},
+        "action_consistency": {"action": c("action").withField("normalized", F.lit("deny")).withField("outcome", F.lit("success"))},
+        "severity_consistency": {"severity": c("severity").withField("normalized", F.lit(9)).withField("label", F.lit("low"))},
+        "severity_uncertainty": {"severity": c("severity").withField("label", F.lit("unknown")), "quality": c("quality").withField("warnings", none)},
+        "outcome_consistency": {"authentication": user, "action": c("action").withField("outcome", F.lit("failure"))},
+        "partial_explanation": {"quality": c("quality").withField("status", F.lit("partial")).withField("missing_fields", none).withField("warnings", none)},
+        "vendor_namespace": {"extensions": F.create_map(F.lit("Bad-Name"), c("fields"))},
+        "raw_integrity": {"traceability": c("traceability").withField("raw_sha256", F.lit("0" * 64))},
+    }
+    copies = good.withColumn("_m", F.explode(F.array(*map(F.lit, _RULES))))
+    for column in sorted({n for own in changes.values() for n in own}):
+        changed = F.coalesce(*[F.when(c("_m") == rule, F.struct(own[column].alias("v"))) for rule, own in changes.items() if column in own], F.struct(c(column).alias("v")))
+        copies = copies.withColumn(f"_{column}", changed["v"])
+    for column in sorted({n for own in changes.values() for n in own}):
+        copies = copies.withColumn(column, c(f"_{column}")).drop(f"_{column}")
+    hit = F.exists("validation", lambda v: v.rule == c("_m"))
+    return validate(copies).groupBy(F.coalesce("pack", F.lit("none")).alias("pack"), c("_m").alias("rule")).agg(F.count("*").alias("n"), F.count_if(hit).alias("hit"))
+
+
+@query("x: SELECT vendor, rule, count(*) AS n FROM (SELECT vendor, unnest(['additionalProperties', 'maximum']) AS rule FROM x WHERE quality <> 'invalid') GROUP BY ALL")
+def structural_rule_hits_all(spark, sf_dir):
+    """As ``structural_rule_hits``, over every stored event."""
+    broken = F.regexp_replace(F.regexp_replace("normalized_json", r'"normalized":\d+', '"normalized":11'), r"^\{", '{"surprise":1,')
+    return rows(spark, sf_dir).select("vendor", F.explode(structural_issues(broken)).alias("i")).groupBy("vendor", F.col("i.rule").alias("rule")).agg(F.count("*").alias("n"))
+
+
 @query("x: SELECT rule, count(*) AS n FROM (SELECT unnest(['additionalProperties', 'maximum']) AS rule FROM x WHERE quality <> 'invalid' AND k = 0) GROUP BY 1")
 def structural_rule_hits(spark, sf_dir):
     found = rows(spark, sf_dir).where("source_pack_name = 'cisco_asa' and action = 'deny'")
