@@ -5,6 +5,7 @@ The SQL never parses a log line: it derives the expected fields from the columns
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -532,3 +533,23 @@ def stream_rollup(spark, sf_dir):
     out = _streamed(spark, sf_dir, "rollup", lambda s: stages.live_rollup(s, "ingested_at", 5, "400 days"), "update")
     return out.groupBy(F.col("window.start").alias("window_start"), "source_id").agg(F.max("n").alias("n"))
 
+
+
+@query("""x: SELECT id AS event_id, CASE WHEN e % 11 = 0 OR fails > 5 THEN 'dead-letter' WHEN quality = 'invalid' THEN 'quarantine' ELSE 'events' END AS outcome, CASE WHEN e % 11 = 0 THEN 0 ELSE least(fails, 5) END::INT AS attempt FROM (SELECT x.*, CASE WHEN event_type = 'error' THEN e % 7 ELSE 0 END AS fails FROM x JOIN events ON e = event_id)""")
+def stream_outcomes(spark, sf_dir):
+    """Where each event ends when some fail for a number of attempts and some break the contract: a row per output row."""
+    import uuid
+
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vantalog-")).rstrip("/") + f"/stream-outcomes-{uuid.uuid4().hex}"
+    number, out = F.right("event_id", F.lit(12)).cast("long"), f"{root}/out"
+    kinds = table(spark, sf_dir, "events").select(uuid_of(F.col("event_id")).alias("event_id"), F.when(F.col("event_type") == "error", F.col("event_id") % 7).otherwise(0).alias("fails"))
+    sent = collect.envelope(collect.ingest(raw(spark, sf_dir))).join(kinds, "event_id").withColumns({"raw_size": F.col("raw_size") + F.when(number % 11 == 0, 1).otherwise(0), "attempt": F.lit("0")})
+    stages.publish(sent, root, stages.RAW)
+    for turn in range(stages.MOST_ATTEMPTS + 1):  # each turn's clock is past all times set in the turn before
+        now = F.lit(1_700_000_000_000 + turn * stages.HORIZON_MS)
+        stages.run_pipeline(spark, root, sent.schema, out, f"{root}/checkpoint", stages.attempt_of(F.col("attempt")) < F.col("fails"), now).awaitTermination()
+        if not stages.release_due(spark, root, sent.schema, out, now + stages.HORIZON_MS):
+            break
+    ends = [spark.read.option("recursiveFileLookup", "true").schema("event_id string").parquet(f"{out}/{name}").select("event_id", F.lit(name).alias("outcome")) for name in ("events", "quarantine", stages.DEAD)]
+    tries = spark.read.schema(sent.schema).parquet(f"{root}/{stages.RAW}").groupBy("event_id").agg(F.max(F.col("attempt").cast("int")).alias("attempt"))
+    return ends[0].unionByName(ends[1]).unionByName(ends[2]).join(tries, "event_id")

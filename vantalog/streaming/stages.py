@@ -66,20 +66,57 @@ def publish(rows: DataFrame, root: str, name: str) -> None:
     rows.write.mode("append").parquet(f"{root}/{name}")
 
 
-def run_pipeline(spark: SparkSession, root: str, schema, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """From envelopes to the event table: each batch is written under its own number, so a batch that runs again replaces itself."""
+def run_pipeline(spark: SparkSession, root: str, schema, out: str, checkpoint: str, transient: Column | None = None, now_ms: Column | None = None, **trigger) -> StreamingQuery:
+    """From envelopes to the event table, quarantine, dead letters, retries, normalised events and metrics.
+
+    Each batch is written under its own number, so a batch that runs again replaces itself. ``transient`` says of an
+    envelope (with its ``attempt``, 0 at first) whether processing fails for now; such envelopes are held in the retry
+    topic until ``release_due`` feeds them back, for which ``schema`` must have ``attempt``.
+    """
+    columns = schema.fieldNames()
 
     def write(batch: DataFrame, number: int) -> None:
-        decided = parsed_decisions(batch)
-        good = validate(normalize(decided.where(F.col("decision.topic") == PARSED)))
-        event_rows(good.where("storable")).write.mode("overwrite").parquet(f"{out}/events/batch={number}")
-        quarantine_rows(good).write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-        dead = decided.where(F.col("decision.topic") == DEAD)
-        dead.select(F.sha2(F.coalesce("payload", F.lit("").cast("binary")), 256).alias("key"), "payload", "decision.error_code").write.mode("overwrite").parquet(f"{out}/{DEAD}/batch={number}")
+        put = lambda rows, name: rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        decided = parsed_decisions(batch if transient is None else batch.withColumn("transient", transient), now_ms).persist()
+        try:
+            to = lambda name: decided.where(F.col("decision.topic") == name)
+            good = validate(normalize(to(PARSED)))
+            stored = event_rows(good.where("storable"))
+            put(stored, "events")
+            put(stored.select("event_id", "normalized_json"), NORMALIZED)
+            put(quarantine_rows(good).withColumn("event_id", F.col("event_id").cast("string")), "quarantine")
+            put(to(DEAD).select("event_id", F.sha2(F.coalesce("payload", F.lit("").cast("binary")), 256).alias("key"), "payload", "decision.error_code"), DEAD)
+            put(to(RETRY).select(*[c for c in columns if c != "attempt"], "decision.attempt", "decision.not_before_ms", F.lit(STAGES[0]).alias("stage")), RETRY)
+            put(decided.groupBy("decision.topic").agg(F.count("*").alias("n")), METRICS)
+        finally:
+            decided.unpersist()
 
     return topic(spark, root, RAW, schema).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def release_due(spark: SparkSession, root: str, schema, out: str, now_ms: Column | None = None) -> int:
+    """Feeds held envelopes that are due back into the raw topic and those with a senseless stage or time to the dead letters; returns how many still wait or were fed back.
+
+    An envelope goes on once per attempt: what is already in the raw topic or the dead letters isn't sent again.
+    """
+    now_ms = now_ms if now_ms is not None else F.unix_millis(F.current_timestamp())
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name != "attempt"]
+    held = spark.read.option("recursiveFileLookup", "true").schema(", ".join([*names, "attempt int", "not_before_ms long", "stage string"])).parquet(f"{out}/{RETRY}")
+    sent = spark.read.schema(schema).parquet(f"{root}/{RAW}").select("event_id", F.col("attempt").cast("int").alias("attempt"))
+    dead = spark.read.option("recursiveFileLookup", "true").schema("event_id string").parquet(f"{out}/{DEAD}")
+    left = held.join(sent, ["event_id", "attempt"], "left_anti").join(dead, "event_id", "left_anti")
+    routed = left.withColumn("_route", retry_route(F.col("stage"), F.col("not_before_ms"), now_ms)).persist()
+    try:
+        open_ = routed.where(F.col("_route") != DEAD).count()
+        payload = F.try_to_binary("raw_payload_b64", F.lit("base64"))
+        lost = routed.where(F.col("_route") == DEAD).select("event_id", F.sha2(F.coalesce(payload, F.lit("").cast("binary")), 256).alias("key"), payload.alias("payload"), F.lit("INVALID_RETRY_HEADERS").alias("error_code"))
+        lost.write.mode("append").parquet(f"{out}/{DEAD}/released")
+        publish(routed.where(F.col("_route").isin(*STAGES)).select(*[F.col(f.name).cast(f.dataType) for f in schema]), root, RAW)
+        return open_
+    finally:
+        routed.unpersist()
+
+
 def live_rollup(rows: DataFrame, ts: str = "ts", seconds: int = 5, late: str = "10 minutes") -> DataFrame:
     """Counts per source in tumbling windows of a stream; state ends with the watermark."""
     return rows.withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds"), "source_id").agg(F.count("*").alias("n"))
