@@ -347,6 +347,13 @@ def test_registered_language_model_reads_two_words_of_context(spark, docs, tmp_p
     assert made == rows(ngram_lm.score(docs, held, order=3)) != rows(ngram_lm.score(docs, held, order=2))
 
 
+def test_main_text_behind_a_script_in_a_page_with_dotted_capital_i(spark):
+    told = "The story of the bridge is long, and many people have told it, each in words of their own. " * 4
+    html = f"<html><body><article><p>{'İ' * 20} {told}</p><SCRIPT>var a = 1;</SCRIPT><p>{told} zuletzt</p></article></body></html>"
+    row = html_extract.extract(spark.createDataFrame([(1, "https://h.example/1", html)], "page_id long, url string, html string")).first()
+    assert "zuletzt" in str(row) and "var a" not in str(row)
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(1)
     for n, top in ((1, 5), (1000, 2**20), (1000, 2**60), (5, 6)):

@@ -37,6 +37,7 @@ _TOKEN = re.compile(r"""<!--(?:.*?)(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -114,7 +115,7 @@ class Page:
                 continue
             stack.append(node)
             if tag in RAW:
-                low = low if low is not None else source.lower()
+                low = low if low is not None else source.translate(_LOWER)  # A-Z only: lower() makes some characters two, and places differ
                 end = low.find("</" + tag, at)
                 at = size if end < 0 else end
 
