@@ -1,166 +1,184 @@
 """Benchmark decontamination with suffix arrays over the training texts (operator 8).
 
-The texts of each shard (a bounded run of documents) become one suffix array. Every suffix of every benchmark item is
-binary-searched in every shard; the range it matches gives all places of the item's window, and each is extended to
-the longest verbatim match. Documents with a match are affected.
+The texts of each shard (a bounded run of documents) become one suffix array over their words' hashes. Every suffix of
+every benchmark item is binary-searched in every shard, word by word: the range that its first window leaves gives all
+places of the window, and each is followed to the longest verbatim match. Documents with a match are affected.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, batches, texts
+from .common import WordHashes, alnum_words, batches, texts
 
 WINDOW = 10
-#: One row per document and block of items: spans are [first, end) in words, merged; matches are the longest ones.
-_FOUND = "doc_id long, n_words long, spans array<struct<first:long,end:long>>, items array<long>, longest long"
+#: Bytes of text that a shard holds.
+SHARD_BYTES = 8 << 20
+#: spans are word ranges [first, end), merged; a match is as long as text and item agree: its item, its first word in text and item, its words.
+_FOUND = "doc_id long, n_words long, spans array<struct<first:long,end:long>>, items array<long>, longest long, matches array<struct<item:long,first:long,start:long,words:long>>"
 
 
 class Items:
-    """A block of benchmark items, ready to be searched for: their words as numbers from 1, and all suffixes that are at least one window long."""
+    """A block of benchmark items: their words' hashes one item after the other, and the suffixes to search for."""
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
-        self.ids, words, self.numbers = [], [], {}
+        hashes, own = WordHashes(), []
+        self.ids: list[int | None] = []
         for item, text in items:
-            if own := alnum_words(text):
+            if words := alnum_words(text):
                 self.ids.append(item)
-                words.append(np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in own], np.uint32))
-        self.words, self.window = words, window
-        #: (item's place, start, window's length), by length: items shorter than a window are one window of their own.
-        self.by_length: dict[int, list[tuple[int, int]]] = {}
-        for i, own in enumerate(words):
-            size = min(window, len(own))
-            self.by_length.setdefault(size, []).extend((i, at) for at in range(len(own) - size + 1))
-        self.keys = {n: _keys(np.stack([words[i][at : at + n] for i, at in found])) for n, found in self.by_length.items()}
-
-
-def _keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of word numbers as byte strings that sort as the rows do."""
-    return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
-
-
-def _suffixes(words: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's suffix array, sorted by first n words, without suffixes that can't match: those with fewer than n words left in their text, or with a word among the n that no item has. Returns keys and places, in order."""
-    known = np.concatenate([[0], np.cumsum(words > 0)])
-    at = np.flatnonzero(left >= n)
-    at = at[known[at + n] - known[at] == n]
-    keys = _keys(words[at[:, None] + np.arange(n)]) if len(at) else np.zeros(0, f"S{4 * n}")
-    order = np.argsort(keys, kind="stable")
-    return keys[order], at[order]
-
-
-def shard_matches(words: np.ndarray, left: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """(place in shard, item's place, start in item, words): every match of a window in the shard, extended as far as text and item agree. ``left[p]`` is how many words of p's text begin at p."""
+                own.append(hashes.of(words))
+        sizes = np.array([len(o) for o in own], np.int64)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *own])
+        self.item = np.repeat(np.arange(len(own)), sizes)
+        self.first = np.repeat(np.cumsum(sizes) - sizes, sizes)  # where the word's item begins
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.words))
+        #: Words that make a window of the item: all of them if it is shorter.
+        self.window = np.minimum(window, np.repeat(sizes, sizes))
+        self.suffixes = np.flatnonzero(self.left >= self.window)
+
+
+class Shard:
+    """The suffix array of a run of texts. A separator no word has stands behind each text, so no match runs into the next."""
+
+    def __init__(self, texts_: list[bytes | None], hashes: WordHashes):
+        own = [hashes.of(alnum_words(t)) for t in texts_]
+        self.sizes = np.array([len(o) for o in own], np.int64)
+        self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.words = np.zeros(int(self.sizes.sum()) + len(own), np.uint64)  # 0: the separator
+        for at, words in zip(self.begins.tolist(), own, strict=True):
+            self.words[at : at + len(words)] = words
+        self.suffixes = suffix_array(self.words)
+
+    def narrowed(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For ranges of suffixes that agree in their first ``depth`` words: the part whose next word is the wanted one."""
+        ends = []
+        for right in (False, True):
+            a, b = lo.copy(), hi.copy()
+            live = np.flatnonzero(a < b)
+            while len(live):
+                mid = (a[live] + b[live]) >> 1
+                at = self.suffixes[mid] + depth[live]
+                word = np.where(at < len(self.words), self.words[np.minimum(at, len(self.words) - 1)], 0)
+                below = word <= wanted[live] if right else word < wanted[live]
+                a[live[below]] = mid[below] + 1
+                b[live[~below]] = mid[~below]
+                live = live[a[live] < b[live]]
+            ends.append(a)
+        return ends[0], ends[1]
+
+    def matches(self, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the shard, place in the items and words of every match of a window, followed as far as text and item agree."""
+        live = items.suffixes
+        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.suffixes))
+        done: list[tuple[np.ndarray, ...]] = []
+        for depth in range(int(items.window.max(initial=0))):
+            lo, hi = self.narrowed(lo, hi, np.full(len(live), depth), items.words[live + depth])
+            keep = lo < hi
+            live, lo, hi = live[keep], lo[keep], hi[keep]
+            whole = items.window[live] == depth + 1
+            done.append((live[whole], lo[whole], hi[whole]))
+            live, lo, hi = live[~whole], lo[~whole], hi[~whole]
+        asked, lo, hi = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
+        counts = hi - lo
+        asked = np.repeat(asked, counts)
+        place = self.suffixes[np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(len(asked))]
+        size, live = items.window[asked].copy(), np.arange(len(asked))
+        while len(live):
+            live = live[size[live] < items.left[asked[live]]]
+            live = live[self.words[place[live] + size[live]] == items.words[asked[live] + size[live]]]
+            size[live] += 1
+        return place, asked, size
+
+
+def suffix_array(words: np.ndarray) -> np.ndarray:
+    """The places of all suffixes in order, by doubling: suffixes ranked by their first n words are ranked by 2 n; those already alone stay."""
+    n = len(words)
+    order = np.argsort(words, kind="stable")
+    rank = np.empty(n, np.int64)
+    starts = np.concatenate([[True], words[order][1:] != words[order][:-1]])[:n]
+    rank[order] = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+    # Rank: where the suffix's group begins. Groups of more than one are sorted by the rank that stands ``step`` further on.
+    step = 1
+    group = np.flatnonzero(~(starts & np.append(starts[1:], True)[:n]))
+    while len(group):
+        own = order[group]
+        ahead = own + step
+        following = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
+        again = np.argsort(rank[own] * (n + 1) + following + 1, kind="stable")
+        own, following = own[again], following[again]
+        order[group] = own
+        old = rank[own]
+        new = np.concatenate([[True], (old[1:] != old[:-1]) | (following[1:] != following[:-1])])
+        rank[own] = group[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        alone = new & np.append(new[1:], True)
+        group = group[~alone]
+        step *= 2
+    return order
+
+
+def _found(shard: Shard, blocks: list[Broadcast]) -> list[tuple[list, list, int, list]]:
+    """Per text of the shard: spans, items, longest match, matches. Blocks are held one at a time."""
+    found: dict[int, list[tuple[int, int, int | None, int]]] = {}
+    for block in blocks:
+        items = block.value
+        place, asked, size = shard.matches(items)
+        doc = np.searchsorted(shard.begins, place, "right") - 1
+        columns = (doc, place - shard.begins[doc], size, asked - items.first[asked])
+        for d, first, words, start, item in zip(*(c.tolist() for c in columns), items.item[asked].tolist(), strict=True):
+            found.setdefault(d, []).append((first, words, items.ids[item], start))
     out = []
-    for n, found in items.by_length.items():
-        keys, at = _suffixes(words, left, n)
-        if not len(at):
-            continue
-        lo, hi = np.searchsorted(keys, items.keys[n], "left"), np.searchsorted(keys, items.keys[n], "right")
-        for j in np.flatnonzero(hi > lo).tolist():
-            i, start = found[j]
-            tail = items.words[i][start:]
-            places = at[lo[j] : hi[j]]
-            most = np.minimum(left[places], len(tail))
-            size, live = np.full(len(places), n), np.arange(len(places))
-            for x in range(n, len(tail)):
-                live = live[(most[live] > x)]
-                live = live[words[places[live] + x] == tail[x]]
-                if not len(live):
-                    break
-                size[live] = x + 1
-            out += [(p, i, start, s) for p, s in zip(places.tolist(), size.tolist(), strict=True)]
+    for d in range(len(shard.sizes)):
+        own = sorted(found.get(d, ()), key=lambda m: m[:2] + m[3:])
+        spans: list[list[int]] = []
+        for first, words, _, _ in own:
+            if spans and first <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], first + words)
+            else:
+                spans.append([first, first + words])
+        inside = {(item, first + words, start + words): (item, first, start, words) for first, words, item, start in own[::-1]}  # of matches with one end the longest
+        out.append(([{"first": a, "end": b} for a, b in spans], sorted({m[2] for m in own} - {None}), max((m[1] for m in own), default=0), [dict(zip(("item", "first", "start", "words"), m, strict=True)) for m in sorted(inside.values(), key=lambda m: (m[1], -m[3], m[2]))]))
     return out
 
 
-def _searcher(items: Items):
-    def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = items.numbers.get
-        for batch in batches(rows, 8 << 20):
-            docs = batch.column(0).to_pylist()
-            parts = []
-            for text in texts(batch.column(1)):
-                own = alnum_words(text)
-                parts.append(np.fromiter((number(w, 0) for w in own), np.uint32, len(own)))
-            sizes = np.array([len(p) for p in parts])
-            ends = np.cumsum(sizes)
-            words = np.concatenate(parts) if len(parts) else np.zeros(0, np.uint32)
-            left = np.repeat(ends, sizes) - np.arange(len(words))
-            got: dict[int, list[tuple[int, int, int]]] = {}
-            for p, i, _, s in shard_matches(words, left, items):
-                doc = int(np.searchsorted(ends, p, "right"))
-                got.setdefault(doc, []).append((p - int(ends[doc] - sizes[doc]), i, s))
-            spans, found, longest = [], [], []
-            for d in range(len(docs)):
-                own = got.get(d, ())
-                merged: list[list[int]] = []
-                for first, _, s in sorted(own):
-                    if merged and first <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], first + s)
-                    else:
-                        merged.append([first, first + s])
-                spans.append([{"first": a, "end": b} for a, b in merged])
-                found.append(sorted({items.ids[i] for _, i, _ in own} - {None}))
-                longest.append(max((s for _, _, s in own), default=0))
-            kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.int64())), pa.array(longest, pa.int64())], ["doc_id", "n_words", "spans", "items", "longest"])
-
-    return search
-
-
-def item_blocks(benchmark: DataFrame, window: int, most_bytes: int) -> Iterator[Items]:
-    """The benchmark in blocks of at most ``most_bytes`` of text: what a task holds of it is bounded whatever its size."""
-    own, size = [], 0
+def item_blocks(benchmark: DataFrame, window: int, most_bytes: int) -> list[Broadcast]:
+    """The benchmark as broadcast blocks of at most ``most_bytes`` of text (or one item): the driver and a task hold one block of it at a time, whatever its size."""
+    context, blocks, own, size = benchmark.sparkSession.sparkContext, [], [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text")).toLocalIterator():
         own.append((row[0], bytes(row[1]) if row[1] is not None else None))
         size += len(own[-1][1] or b"")
         if size >= most_bytes:
-            yield Items(own, window)
+            blocks.append(context.broadcast(Items(own, window)))
             own, size = [], 0
-    yield Items(own, window)
+    if own:
+        blocks.append(context.broadcast(Items(own, window)))
+    return blocks
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = 8 << 20) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, spans (merged word ranges inside a window's occurrence), items (ids found, sorted), longest (words of the longest verbatim match).
+    """One row per row of ``docs``: doc_id, n_words, spans (merged word ranges inside a window's occurrence), items (ids found, sorted), longest (words of the longest verbatim match), matches (each verbatim match: item, first word in text and item, words).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one; items without words have none.
     Null and empty texts have no words. Items with null id count for spans only. Repeated rows each get their row; the
-    same text in the benchmark under two ids counts for both. Benchmarks over ``most_bytes`` are searched block by
-    block; the blocks' findings then meet by document, where rows that agree in doc_id and text count as one document.
+    same text in the benchmark under two ids counts for both. The documents are read once and don't move; the stated
+    set of items meets each shard of them in blocks of ``most_bytes``.
     """
-    blocks = list(item_blocks(benchmark, window, most_bytes))
-    if len(blocks) == 1:
-        return docs.select("doc_id", "text").mapInArrow(_searcher(blocks[0]), _FOUND)
-    keyed = docs.select("doc_id", "text").distinct().withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # Items of different blocks can meet in one document: its spans from all blocks are merged once more.
-    found = None
-    for block in blocks:
-        one = keyed.mapInArrow(_keyed(_searcher(block)), _FOUND + ", _key long")
-        found = one if found is None else found.unionByName(one)
-    merge = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1).end >= s.first), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1).first.alias("first"), F.greatest(F.element_at(acc, -1).end, s.end).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
-    grouped = found.groupBy("doc_id", "_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-    merged = F.aggregate("_spans", F.array().cast("array<struct<first:long,end:long>>"), merge)
-    grouped = grouped.select(F.col("doc_id").alias("_doc"), "_key", "n_words", merged.alias("spans"), "items", "longest")
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k"))
-    return rows.join(grouped, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key"))).select("doc_id", "n_words", "spans", "items", "longest")
-
-
-def _keyed(search):
-    """``search`` with one more column passed through."""
+    blocks = item_blocks(benchmark, window, most_bytes)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 8 << 20):
-            at = 0
-            for out in search(iter([batch.select([0, 1])])):
-                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2).slice(at, out.num_rows)], [*out.schema.names, "_key"])
-                at += out.num_rows
+    def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches(rows, SHARD_BYTES):
+            shard = Shard(texts(batch.column(1)), hashes)
+            spans, items, longest, matches = zip(*_found(shard, blocks), strict=True)
+            span, match = (pa.list_(pa.struct([(n, pa.int64()) for n in names])) for names in (("first", "end"), ("item", "first", "start", "words")))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(shard.sizes), pa.array(spans, span), pa.array(items, pa.list_(pa.int64())), pa.array(longest, pa.int64()), pa.array(matches, match)], ["doc_id", "n_words", "spans", "items", "longest", "matches"])
 
-    return run
+    return docs.select("doc_id", "text").mapInArrow(search, _FOUND)
 
 
 def hit_words(spans: str) -> Column:
@@ -168,7 +186,15 @@ def hit_words(spans: str) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s.end - s.first)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark; columns and all other rows as they are. A null doc_id is removed only with an affected row of null doc_id."""
-    affected = find(docs, benchmark, window).where("longest > 0").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(affected, docs["doc_id"].eqNullSafe(affected["_doc"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` without the rows whose text holds a window of the benchmark; columns and all other rows as they are. Each row is judged by its own text: rows of one id, or of none, stay or go by themselves."""
+    blocks = item_blocks(benchmark, window, most_bytes)
+
+    @F.pandas_udf("boolean")
+    def affected(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for part in parts:
+            whole = pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], ["text"])
+            yield pd.Series([longest > 0 for b in batches(iter([whole]), SHARD_BYTES) for _, _, longest, _ in _found(Shard(b.column(0).to_pylist(), hashes), blocks)], dtype=bool)
+
+    return docs.where(~affected(F.col("text").cast("binary")))

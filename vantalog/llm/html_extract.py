@@ -22,21 +22,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("article main section div td body center blockquote".split())
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg math button select option input textarea head title dialog menu canvas audio video object embed applet map datalist noembed noframes xmp".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe svg button select option input textarea head title dialog menu canvas audio video object embed applet map datalist noembed noframes xmp".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption math".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("table", "tr")), "th": ("td th", ("table", "tr")), "option": ("option", ("select",))}
-# Words in class names and ids of what isn't the article.
-NOISE = frozenset("nav navbar navigation menu menus sidebar sidebars footer banner masthead cookie cookies consent gdpr notice notices notification notifications alert alerts ad ads adv advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored sponsors promo promos promotion popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs pagination pager paging widget widgets toolbar topbar copyright login search searchbox disclaimer".split())
-HEADS = frozenset("header head".split())
-OWN = frozenset("article post entry story content main text body".split())
-SPARED = frozenset("no has with without".split())
+# Names of parts of a page that aren't the article, as classes and ids have them.
+NOISE = frozenset("nav navbar navigation menu menus sidebar sidebars footer masthead cookie cookies consent gdpr notice notices notification notifications ad ads adv advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored sponsors promo promos promotion popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs pagination pager paging toolbar topbar login searchbox disclaimer".split())
+# Words that name the shape or place of a part, which stand beside those above.
+SHAPES = frozenset("area bar bars body bottom bottomlinks box block blocks button buttons center column container content fixed form global header head inner item items js left level link links list lists main outer page panel post posts primary right row secondary section sections side site slot slots sticky story stories article articles thread top unit units widget widgets wrap wrapper zone banner banners".split())
 READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"""<!--(?:.*?)(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORDS = re.compile(r"[a-z]+|[0-9]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_BLANKS = re.compile(r"[ \t\n\r\f\v\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -47,31 +47,36 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _noisy(tag: str, names: str) -> bool:
-    """Whether a class name or id says that the element isn't part of the article."""
+def _noisy(tag: str, names: str, inside: bool = False) -> bool:
+    """Whether a class name or id says that the element isn't part of the article: it names such a part, alone or beside words for shapes and places only. ``cookie-notice``, ``ad`` and ``comments-list`` do; ``ad-hoc``, ``related-work`` and ``comment-on-method`` don't. Articles and main parts go for readers' comments only; ``header`` and ``site-header`` go where they don't stand ``inside`` an article."""
     known = READERS if tag in ("article", "main") else NOISE
+    header = known is NOISE and not inside
     for name in names.lower().split():
-        parts = [p for p in _SPLIT.split(name) if p]
-        if not parts or parts[0] in SPARED:
-            continue
-        if parts[0] in known or parts[-1] in known:
+        parts = [p for p in _SPLIT.split(name) if p and not p.isdigit()]
+        if any(p in known for p in parts) and all(p in NOISE or p in SHAPES for p in parts):
             return True
-        if known is NOISE and (parts[0] in HEADS or parts[-1] in HEADS and parts[0] not in OWN):
+        if header and "header" in parts and {"site", "global", "top", "header"}.issuperset(parts):
             return True
     return False
 
 
 def _label(tag: str, classes: str) -> str:
     """A step of a generalised path: the tag and its class names in order, digits as #."""
-    names = sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})
+    names = sorted({re.sub(r"\d+", "#", c.lower()).replace(">", "") for c in classes.split()})
     return ".".join([tag, *names])
 
 
 class Page:
-    """A page's elements (parent, tag, path, dropped or not) and its pieces of text in order, with None where a block begins or ends."""
+    """A page's elements (parent, tag, label, dropped or not) and its pieces of text in order, with None where a block begins or ends.
+
+    Paths are built from the parents' labels where they are asked for, and open elements are filed by tag, so that
+    memory and time stay in proportion to the page, however deep its elements stand in each other.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.path, self.drop = [-1], ["html"], [""], [False]
+        self.parent, self.tag, self.label, self.drop = [-1], ["html"], [""], [False]
+        self.open: dict[str, list[int]] = {}  # places in the stack
+        self.blocks = [0]
         self.pieces: list[tuple[int, str | None]] = []
         stack, at, size = [0], 0, len(source)
         pieces = self.pieces
@@ -94,7 +99,7 @@ class Page:
             if closing:
                 self._close(stack, tag)
                 continue
-            if tag in ("html", "body") and len(stack) > 1 and (tag == "html" or "body" in (self.tag[i] for i in stack)):
+            if tag == "body" and self.open.get("body"):
                 continue
             if tag == "html":
                 continue
@@ -107,40 +112,69 @@ class Page:
                 continue
             up = stack[-1]
             found = _attributes(rest) if rest and not rest.isspace() else {}
-            drop = self.drop[up] or tag in DROPPED or self._hidden(tag, found, stack)
+            drop = self.drop[up] or tag in DROPPED or self._hidden(tag, found)
             self.parent.append(up), self.tag.append(tag), self.drop.append(drop)
-            self.path.append(f"{self.path[up]}>{_label(tag, found.get('class', ''))}" if not drop else "")
+            self.label.append("" if drop else _label(tag, found.get("class", "")))
             node = len(self.tag) - 1
             if rest.endswith("/") and tag in ("svg", "path", "use", "iframe"):
                 continue
             stack.append(node)
+            self.open.setdefault(tag, []).append(len(stack) - 1)
+            if tag not in INLINE:
+                self.blocks.append(len(stack) - 1)
             if tag in RAW:
                 low = low if low is not None else source.translate(_LOWER)  # A-Z only: lower() makes some characters two, and places differ
                 end = low.find("</" + tag, at)
                 at = size if end < 0 else end
 
-    def _hidden(self, tag: str, found: dict[str, str], stack: list[int]) -> bool:
+    def _hidden(self, tag: str, found: dict[str, str]) -> bool:
         if tag == "header":  # of the page, not of the article
-            return not any(self.tag[i] == "article" for i in stack)
+            return not self.open.get("article")
         if not found or tag == "body":
             return False
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in NOISE_ROLES:
             return True
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
             return True
-        return _noisy(tag, found.get("class", "") + " " + found.get("id", ""))
+        if tag in INLINE or tag in PROSE:
+            return False
+        return _noisy(tag, found.get("class", "") + " " + found.get("id", ""), bool(self.open.get("article")))
 
     def _close(self, stack: list[int], tag: str, scope: tuple[str, ...] = ()) -> None:
         """Closes the nearest open element of that tag, and what is open inside it; nothing if there is none, or something of ``scope`` stands before it."""
-        for i in range(len(stack) - 1, 0, -1):
-            own = self.tag[stack[i]]
-            if own == tag:
-                del stack[i:]
-                return
-            if own in scope:
-                return
-            if own not in INLINE and tag in INLINE:  # an inline end doesn't close blocks
-                return
+        if not (own := self.open.get(tag)):
+            return
+        if any((others := self.open.get(t)) and others[-1] > own[-1] for t in scope):
+            return
+        if tag in INLINE and self.blocks[-1] > own[-1]:  # an inline end doesn't close blocks
+            return
+        for _ in range(len(stack) - own[-1]):
+            kind = self.tag[stack.pop()]
+            self.open[kind].pop()
+            if kind not in INLINE:
+                self.blocks.pop()
+
+    def path(self, node: int) -> str:
+        """The labels from the page down to the element; empty for the page itself."""
+        labels = []
+        while node > 0:
+            labels.append(self.label[node])
+            node = self.parent[node]
+        return ">".join(labels[::-1])
+
+    def found(self, path: str) -> list[int]:
+        """The elements at the path that aren't dropped. Each element keeps how many of the path's steps lead to it."""
+        steps = path.split(">")
+        depth, out = [0] * len(self.tag), []
+        for i in range(1, len(self.tag)):
+            up = depth[self.parent[i]]
+            if up < 0 or self.drop[i] or up >= len(steps) or self.label[i] != steps[up]:
+                depth[i] = -1
+            else:
+                depth[i] = up + 1
+                if depth[i] == len(steps):
+                    out.append(i)
+        return out
 
     def scores(self) -> dict[int, float]:
         """Text of each container: all that stands directly in its blocks, half of what stands one container further down; text in links counts against it."""
@@ -181,12 +215,12 @@ class Page:
         for i in range(1, len(self.tag)):
             inside[i] = (inside[i] or inside[self.parent[i]]) and not self.drop[i]
         parts = [" " if text is None else text for node, text in self.pieces if inside[node]]
-        return " ".join(html.unescape("".join(parts)).split())
+        return " ".join(w for w in _BLANKS.split(html.unescape("".join(parts))) if w)
 
     def at(self, path: str | None) -> str:
         """The text at the path (of several articles the best one), or at the page's own best container if the path has none."""
         if path:
-            roots = [i for i in range(len(self.tag)) if self.path[i] == path and not self.drop[i]]
+            roots = self.found(path)
             if len(roots) > 1 and self.tag[roots[0]] in ("article", "main"):
                 scores = self.scores()
                 roots = [max(roots, key=lambda i: (scores.get(i, 0.0), -i))]
@@ -209,7 +243,7 @@ def _votes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = []
         for source in _decoded(batch.column(1)):
             page = Page(source)
-            paths.append(page.path[page.best()])
+            paths.append(page.path(page.best()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], ["host", "path"])
 
 
@@ -231,6 +265,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``.
 
     Null and empty pages give empty texts; repeated rows give theirs each; pages whose URL has no host share one.
+    White space is that of Unicode (no-break spaces too); other control characters stay.
     Tag soup is read as browsers do in the main: unclosed paragraphs, list items and cells end where the next begins.
     Hosts are joined by broadcast only if their counted table is small, so the pages themselves don't move.
     """

@@ -28,7 +28,7 @@ def targets(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     place stop there and the rest share what is left by weight, which is where repeated resharing ends.
     """
     sizes = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
-    # From here on there is one row per source: windows without a partition see the sources, not the documents.
+    # From here on there is one row per source: windows without a partition see the sources, of which one task takes some millions, not the documents.
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     sizes = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")))
     order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
@@ -48,18 +48,20 @@ def uniform(seed: int, *cols: Column) -> Column:
 
 
 def with_copies(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of ``docs`` with _size, _source_size, _target and _copies (how often the mix takes the row, 0 at least).
+    """row (all columns of ``docs``), size, source_size, target and copies (how often the mix takes the row, 0 at least).
 
-    Null texts have size 0; null is a source of its own; sources without words have rate 0. Rows with one doc_id share
-    one draw. The table of sources is broadcast only if its counted size is small.
+    Null texts have size 0; null is a source of its own; sources without words have rate 0. The draw depends on doc_id
+    and text: rows with null ids or with one id draw by their texts, and only rows equal in both share a draw. The
+    table of sources is broadcast only if its counted size is small.
     """
     by = saved(targets(docs.select("source", "text"), weights, share, most), "mix-targets")
-    by = small(by.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")), 200)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    extra = (uniform(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")
-    return docs.join(by, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumns({"_size": n_words(F.col("text")), "_copies": F.floor(rate) + extra})
+    by = small(by.select(F.col("source").alias("of"), "source_size", "target"), 200)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("sum"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    extra = (uniform(seed, F.col("row.doc_id"), F.col("sum")) < rate - F.floor(rate)).cast("long")
+    return row.join(by, F.col("row.source").eqNullSafe(F.col("of")), "left").select("row", "size", "source_size", "target", (F.floor(rate) + extra).alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: each row as often as the mix takes it, with the columns of ``docs``."""
-    return with_copies(docs, **options).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_copies(docs, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

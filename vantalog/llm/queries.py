@@ -39,7 +39,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_copies(_table(spark, sf_dir, "documents"))
-    return docs.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return docs.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ ORACLE_SQL = {
         SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op6_source_mix": r"""
         WITH sized AS (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+            SELECT doc_id, source, md5(coalesce(text, '')) AS sum, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
         ), by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
         ), weighed AS (
             SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM by_source
@@ -91,7 +91,7 @@ ORACLE_SQL = {
         ), targets AS (SELECT source, source_size, CASE WHEN free * weight <= source_size * 2 THEN free * weight ELSE source_size * CAST(2 AS DOUBLE) END AS target FROM levels, free
         ), rated AS (
             SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-                ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / CAST(4294967296 AS DOUBLE) AS u
+                ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || sum), 1, 8))::BIGINT / CAST(4294967296 AS DOUBLE) AS u
             FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
         )
         SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) AS taken FROM rated""",

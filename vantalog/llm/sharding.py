@@ -1,9 +1,10 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix (operator 4, native).
 
-How many rows each input partition sends to each cell (a slice of a shard) is drawn first, exactly as a uniform
-shuffle of all rows would have it: row sums are the partitions' row counts, column sums the cells' sizes. Each
-partition then permutes its rows locally, deals them out by the matrix, and each cell permutes what it received.
-Rows move once. Everything is DataFrame and SQL functions.
+How many rows each input partition sends to each shard is drawn first, exactly as a uniform shuffle of all rows would
+have it: row sums are the partitions' row counts, column sums the shards' sizes. Each partition then permutes its rows
+locally and deals them out by the matrix. A shard permutes what it received by a random key; bins of that key's range
+are counted first, so that its rows are ordered in many tasks and slots still have no gaps. Rows move once.
+Everything is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
@@ -96,35 +97,22 @@ def matrix(sizes: DataFrame, group: str, seed: int) -> DataFrame:
     return sizes.select(group, F.inline(F.aggregate("parts", start, step, lambda s: s.rows)))
 
 
-def _cells(total: int, shards: int, rows_per_cell: int) -> list[tuple[int, int, int]]:
-    """shard, first slot, rows of every cell: shards differ by one row at most, and so do the cells of a shard."""
-    out = []
-    for s in range(shards):
-        rows = total // shards + (s < total % shards)
-        slices = max(1, -(-(total // shards + 1) // rows_per_cell))
-        at = 0
-        for i in range(slices):
-            n = rows // slices + (i < rows % slices)
-            out.append((s, at, n))
-            at += n
-    return out
-
-
 def _is_scan(df: DataFrame) -> bool:
     """Whether the plan only reads, projects and filters files, so that partitions hold the same rows each time."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     return all(re.match(r"[\s:+\-|]*(Project|Filter|Relation)\b", line) for line in plan.splitlines() if line.strip())
 
 
-def shard(docs: DataFrame, shards: int = 40, seed: int = 0, rows_per_cell: int = 2048, group_parts: int = 256) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, seed: int = 0, rows_per_bin: int = 2048, group_parts: int = 256) -> DataFrame:
     """All rows and columns of ``docs`` with shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
     Each row count is total / shards, rounded down or up (law ``rows``), and every arrangement is equally likely up to
     the hash that serves as the source of randomness. Repeated rows, nulls and empty texts are rows like any other; an
-    empty table gives an empty result. Columns named shard or slot are replaced. The same files and seed give the
-    same result; a frame that isn't a plain scan of files is written to the shared folder first, because both passes
-    must see the same partitions. The matrix is drawn in two levels (groups of partitions, then the partitions of each
-    group), so no task draws more than ``group_parts`` rows of it.
+    empty table gives an empty result. Columns named shard or slot are replaced; others keep their names, whatever they
+    are. The same files and seed give the same result; a frame that isn't a plain scan of files is written to the
+    shared folder first, because all passes must see the same partitions. The matrix has a row a partition and a column
+    a shard. It is drawn in two levels (groups of partitions, then the partitions of each group), so no task draws
+    more than ``group_parts`` rows of it. Bins hold about ``rows_per_bin`` rows; their table grows in proportion.
     """
     docs = docs.drop("shard", "slot")
     if not _is_scan(docs):
@@ -134,21 +122,30 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0, rows_per_cell: int =
     total, parts = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
     if not total:
         return docs.limit(0).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    cells = _cells(total, shards, rows_per_cell)
+    of_shard = [total // shards + (s < total % shards) for s in range(shards)]
     groups = -(-parts // group_parts)
     in_group = sizes.withColumn("group", F.pmod(F.col("part"), F.lit(groups)))
     ordered = lambda df, key, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("part"), "n"))).alias("parts"))
-    top = ordered(in_group.groupBy("group").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), "all", "group").withColumn("cells", F.lit([c[2] for c in cells]).cast("array<long>"))
+    top = ordered(in_group.groupBy("group").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), "all", "group").withColumn("cells", F.lit(of_shard).cast("array<long>"))
     top = matrix(top, "all", seed * 3 + 1).select(F.col("part").alias("group"), F.col("sends").alias("cells"))
     sends = matrix(ordered(in_group, "group", "part").join(top, "group"), "group", seed * 3 + 2)
     running = F.aggregate("sends", F.array().cast("array<long>"), lambda a, c: F.concat(a, F.array(c + F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)))))
-    ends = small(saved(sends.select(F.col("part").alias("_part"), running.alias("_ends")), "shard-matrix"), 8 * len(cells) + 32)
-
-    own = F.monotonically_increasing_id()
-    local = docs.withColumns({"_own": own}).withColumns({"_part": F.shiftright("_own", 33), "_key": F.xxhash64(F.lit(seed * 3), "_own")})
-    local = local.sortWithinPartitions("_key", "_own").withColumn("_rank", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33)))
-    dealt = local.join(ends, "_part").withColumn("_cell", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))))
-    at = F.get(F.lit([c[0] for c in cells]).cast("array<int>"), F.col("_cell"))
-    first = F.get(F.lit([c[1] for c in cells]).cast("array<long>"), F.col("_cell"))
-    again = Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed * 3 + 1), "_own"), "_own")
-    return dealt.drop("_ends").withColumns({"shard": at, "slot": first + F.row_number().over(again) - 1}).drop("_own", "_part", "_key", "_rank", "_cell")
+    ends = small(saved(sends.select("part", running.alias("ends")), "shard-matrix"), 8 * shards + 32)
+    bins = max(1, -(-of_shard[0] // rows_per_bin))
+
+    def dealt(row: list[Column]) -> DataFrame:
+        """own (the row's number in the input), shard, key (random within the shard) and bin of every row, beside ``row``."""
+        numbered = docs.select(F.monotonically_increasing_id().alias("own"), *row)
+        local = numbered.withColumns({"part": F.shiftright("own", 33), "local": F.xxhash64(F.lit(seed * 3), "own")}).sortWithinPartitions("local", "own")
+        rank = F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_33))
+        placed = local.withColumn("rank", rank).join(ends, "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+        key = F.xxhash64(F.lit(seed * 3 + 1), "own")
+        return placed.select("own", *[c for c in ("row",) if row], "shard", key.alias("key")).withColumn("bin", F.floor(F.shiftrightunsigned("key", 11).cast("double") / float(1 << 53) * bins).cast("long"))
+
+    counts = dealt([]).groupBy("shard", "bin").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    first = saved(counts.select(F.col("shard").alias("s"), F.col("bin").alias("b"), F.coalesce(before, F.lit(0)).alias("first")), "shard-bins")
+    again = Window.partitionBy("shard", "bin").orderBy(F.shiftrightunsigned("key", 11), "own")
+    rows = dealt([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")]).withColumn("at", F.row_number().over(again) - 1)
+    placed = rows.join(small(first, 32), (F.col("shard") == F.col("s")) & (F.col("bin") == F.col("b")))
+    return placed.select("row.*", "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, forget, saved, spaced_words, texts
+from .common import batches, doc_key, forget, saved, spaced_words, texts
 
 BITS, SEGMENTS, WIDTH, DISTANCE = 64, 8, 8, 2
 SEED = 42
@@ -44,12 +44,12 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 def _rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(rows):
         prints = np.array([fingerprint(t) for t in texts(batch.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(prints)], ["doc_id", "doc_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), a row per row of ``docs``."""
-    return docs.select("doc_id", "text").mapInArrow(_rows, "doc_id long, fp long")
+    """doc_id, doc_key (hash of the text), fp (the 64 bits as a signed long), a row per row of ``docs``."""
+    return docs.select("doc_id", "text", doc_key(F.col("text"))).mapInArrow(_rows, "doc_id long, doc_key long, fp long")
 
 
 def _segment_bits(x: Column, i: int) -> Column:
@@ -140,6 +140,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
 
 
+def _grouped(rows: DataFrame, crowd: int) -> DataFrame:
+    """``rows`` (with fp) and group: the smallest fingerprint that the links connect theirs with."""
+    labels = saved(components(links(rows, crowd)), "simhash-labels")
+    return rows.join(labels, rows["fp"] == labels["node"], "left").withColumn("group", F.coalesce("label", "fp")).drop("node", "label")
+
+
 def near_duplicates(docs: DataFrame, crowd: int = 256) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links, the document's own included), a row per row of ``docs``.
 
@@ -148,37 +154,22 @@ def near_duplicates(docs: DataFrame, crowd: int = 256) -> DataFrame:
     null. An empty table gives an empty result.
     """
     rows = saved(fingerprints(docs), "simhash-docs")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = saved(components(links(rows, crowd)), "simhash-labels")
-    joined = prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", "least", "label")
-    alone = joined.where("label is null").select("fp", F.col("least").alias("component_id"))
-    linked = saved(joined.where("label is not null"), "simhash-linked")
-    ids = linked.groupBy(F.col("label").alias("l")).agg(F.min("least").alias("component_id"))
-    every = alone.unionByName(linked.join(ids, F.col("label") == F.col("l")).select("fp", "component_id"))
-    return rows.join(every, "fp").select("doc_id", "fp", "component_id")
+    prints = saved(_grouped(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), crowd), "simhash-groups")
+    ids = prints.groupBy(F.col("group").alias("g")).agg(F.min("least").alias("component_id"))
+    every = prints.join(ids, F.col("group") == F.col("g")).select(F.col("fp").alias("f"), "component_id")
+    return rows.join(every, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, crowd: int = 256) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; of repeated rows of that id, one. Rows with null doc_id stay only where their component has no other row, one for each."""
-    found = saved(near_duplicates(docs, crowd), "simhash-found")
-    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(stay.select(F.col("doc_id").alias("_doc")), docs["doc_id"] == F.col("_doc"), "left_semi")
-    if not stay.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    if found.where("component_id is null").isEmpty():
-        return kept
-    nameless = fingerprinted(docs.where("doc_id is null"))
-    lone = found.where("component_id is null").select(F.col("fp").alias("_f")).distinct()
-    return kept.unionByName(nameless.join(lone, F.col("_fp") == F.col("_f"), "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
-
-
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """``docs`` with its fingerprints as column _fp."""
-
-    @F.pandas_udf("long")
-    def of(text):
-        import pandas as pd
-
-        return pd.Series(np.array([fingerprint(t.encode() if t is not None else None) for t in text], np.uint64).view(np.int64))
-
-    return docs.withColumn("_fp", of("text"))
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), of several texts of that id the one with the smallest hash, of rows equal in both any one."""
+    rows = saved(fingerprints(docs), "simhash-docs")
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "doc_key")
+    of_print = rows.groupBy("fp").agg(F.min(name).alias("name"))
+    chosen = _grouped(of_print, crowd).groupBy("group").agg(F.min("name").alias("name"))
+    chosen = saved(chosen.select(F.col("name.doc_id").alias("id"), F.col("name.doc_key").alias("key")), "simhash-kept")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key(F.col("text")).alias("of"))
+    kept = keyed.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("of") == F.col("key")), "left_semi")
+    repeated = rows.groupBy("doc_id", "doc_key").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.select("row", F.col("row.doc_id").alias("id"), "of").dropDuplicates(["id", "of"])
+    return kept.select("row.*")

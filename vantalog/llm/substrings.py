@@ -15,11 +15,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, texts
+from .common import batches, doc_key, texts
 
 #: Bytes that the hash sees; a chunk ends where the top ``MASK_BITS`` of 16 bits are 0, so after 32 bytes on average, and after ``MOST`` at the latest.
 WINDOW, MASK_BITS, MOST = 16, 5, 256
-_CHUNK = "digest long, doc_id long, seq int, start int, size int, words int, before int, after int, again boolean"
+_CHUNK = "digest long, doc_id long, doc_key long, seq int, start int, size int, words int, before int, after int, again boolean"
 
 
 def gear_table() -> np.ndarray:
@@ -68,6 +68,7 @@ def chunk(texts_: list[bytes | None]) -> tuple[np.ndarray, ...]:
 def _rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(rows, 6 << 20):
         docs = batch.column(0).to_numpy(zero_copy_only=False)
+        keys = batch.column(2).to_numpy(zero_copy_only=False)
         text, start, end, words, digest = chunk(texts(batch.column(1)))
         if not len(text):
             continue
@@ -80,30 +81,31 @@ def _rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = (text[order][1:] == text[order][:-1]) & (digest[order][1:] == digest[order][:-1])
         again = np.zeros(len(text), bool)
         again[order[1:][same]] = True
-        columns = [digest, docs[text].astype(np.int64), seq.astype(np.int32), start.astype(np.int32), (end - start).astype(np.int32), words.astype(np.int32), before.astype(np.int32), after.astype(np.int32), again]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc_id", "seq", "start", "size", "words", "before", "after", "again"])
+        columns = [digest, docs[text].astype(np.int64), keys[text], seq.astype(np.int32), start.astype(np.int32), (end - start).astype(np.int32), words.astype(np.int32), before.astype(np.int32), after.astype(np.int32), again]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc_id", "doc_key", "seq", "start", "size", "words", "before", "after", "again"])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """All chunks of all whole texts: digest, doc_id, seq, start and size (bytes), words, the words of the chunks before and after, and whether the text had the chunk before. Null ids and null or empty texts have none."""
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_rows, _CHUNK)
+    """All chunks of all whole texts: digest, doc_id, doc_key (hash of the text), seq, start and size (bytes), words, the words of the chunks before and after, and whether the text had the chunk before. Null ids and null or empty texts have none."""
+    return docs.select("doc_id", "text", doc_key(F.col("text"))).where("doc_id is not null").mapInArrow(_rows, _CHUNK)
 
 
 def repeats(docs: DataFrame, least_words: int = 50, least_run: int = 12, within: bool = False) -> DataFrame:
-    """doc_id, start, n_bytes, n_words, first_doc_id: runs of chunks that an earlier document (smaller doc_id) holds, or, if ``within``, the document itself further up.
+    """doc_id, doc_key, start, n_bytes, n_words, first_doc_id: runs of chunks that an earlier document (smaller doc_id) holds, or, if ``within``, the document itself further up.
 
     A run is reported if it has ``least_run`` words at least and, with the chunks at its two ends, in which the repeat
     begins and ends, ``least_words``: so a repeat of that length is found, and shorter ones only if they nearly reach
     it. ``first_doc_id`` is the smallest document that holds the run's longest chunk (of several, the one held first). Rows that share a doc_id count as one
-    document. Nothing is capped: a chunk in a third of all documents is aggregated before the shuffle and joined by
+    document that holds all their texts: what they share is no repeat, but each text has its own runs, told apart by
+    ``doc_key``; rows equal in both have theirs once. Nothing is capped: a chunk in a third of all documents is aggregated before the shuffle and joined by
     digest, never gathered.
     """
     own = chunks(docs)
     first = own.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.max("again").alias("_again")).where(F.expr("first_doc_id < _last") | (F.col("_again") & F.lit(within))).select(F.col("digest").alias("_digest"), "first_doc_id")
     held = own.join(first, own["digest"] == first["_digest"]).where(F.expr("doc_id > first_doc_id") | (F.col("again") & F.lit(within)))
-    held = held.select("doc_id", "seq", "start", "size", "words", "before", "after", "first_doc_id").repartition("doc_id").dropDuplicates(["doc_id", "seq"])
-    along = Window.partitionBy("doc_id").orderBy("seq")
-    runs = held.withColumn("run", F.col("seq") - F.row_number().over(along)).groupBy("doc_id", "run").agg(
+    held = held.select("doc_id", "doc_key", "seq", "start", "size", "words", "before", "after", "first_doc_id").repartition("doc_id", "doc_key").dropDuplicates(["doc_id", "doc_key", "seq"])
+    along = Window.partitionBy("doc_id", "doc_key").orderBy("seq")
+    runs = held.withColumn("run", F.col("seq") - F.row_number().over(along)).groupBy("doc_id", "doc_key", "run").agg(
         F.min("start").cast("long").alias("start"),
         F.sum("size").alias("n_bytes"),
         F.sum("words").alias("n_words"),
@@ -112,16 +114,17 @@ def repeats(docs: DataFrame, least_words: int = 50, least_run: int = 12, within:
         (-F.max(F.struct("size", (-F.col("first_doc_id")).alias("n")))["n"]).alias("first_doc_id"),
     )
     around = F.col("n_words") + F.col("head.before") + F.col("tail.after")
-    return runs.where((F.col("n_words") >= least_run) & (around >= least_words)).select("doc_id", "start", "n_bytes", "n_words", "first_doc_id")
+    return runs.where((F.col("n_words") >= least_run) & (around >= least_words)).select("doc_id", "doc_key", "start", "n_bytes", "n_words", "first_doc_id")
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with its repeats cut out of the texts; all rows stay. Cuts that split a character drop what is left of it."""
-    spans = repeats(docs, **options).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("_spans"))
-    raw = F.col("text").cast("binary")
-    joined = docs.join(spans, docs["doc_id"] == spans["_doc"], "left")
+    """``docs`` with its repeats cut out of the texts; all rows stay, repeated ones too, and each is cut by the runs of its own text. Null ids and texts stay as they are. Cuts that split a character drop what is left of it."""
+    spans = repeats(docs, **options).groupBy(F.col("doc_id").alias("of"), F.col("doc_key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key(F.col("text")).alias("key"))
+    joined = rows.join(spans, (F.col("row.doc_id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    raw = F.col("row.text").cast("binary")
     step = lambda s, x: F.struct(F.concat(s.kept, F.substring(raw, (s.at + 1).cast("int"), (x.start - s.at).cast("int"))).alias("kept"), (x.start + x.n_bytes).alias("at"))
     rest = lambda s: F.concat(s.kept, F.substring(raw, (s.at + 1).cast("int"), F.octet_length(raw)))
-    cut = F.aggregate("_spans", F.struct(F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("at")), step, rest)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "�", ""))
-    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = F.aggregate("spans", F.struct(F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("at")), step, rest)
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "�", ""))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -5,12 +5,11 @@ softmax over that mean gives the classes. Vectors and softmax are trained jointl
 never seen shares most of its vectors with the word it comes from.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -20,6 +19,7 @@ from .common import alnum_words, batches, texts
 
 #: Most labelled rows that training reads, and most bytes of text in all; the rows are chosen by a hash of doc_id.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 14 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -27,130 +27,154 @@ class Model:
     vectors: np.ndarray  # buckets by dim
     softmax: np.ndarray  # dim by 2
     bias: np.ndarray  # 2
+    without_words: float = 0.0  # logit of texts that have no words
 
-    def word_scores(self) -> np.ndarray:
+    def bucket_scores(self) -> np.ndarray:
         """Each bucket's share of the logit of class 1 over class 0."""
         return self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])
 
 
-def grams(word: bytes, buckets: int, low: int = 3, high: int = 5) -> list[int]:
-    """Buckets of the word itself and of the character n-grams of ``<word>``."""
-    text = "<" + word.decode("utf-8", "replace") + ">"
-    digest = xxhash.xxh32_intdigest
-    out = [digest(b"\0" + word) % buckets]
-    for n in range(low, min(high, len(text) - 1) + 1):
-        out += [digest(text[i : i + n]) % buckets for i in range(len(text) - n + 1)]
-    return out
-
-
-def bag(text: bytes | None, cache: dict[bytes, list[int]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their weights: the mean over its words of the mean over each word's buckets."""
-    counts: dict[bytes, int] = {}
-    words = alnum_words(text)
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    at, weight = [], []
-    for w, n in counts.items():
-        if (own := cache.get(w)) is None:
-            own = cache[w] = grams(w, buckets)
-        at += own
-        weight += [n / (len(own) * len(words))] * len(own)
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0)
-    index, back = np.unique(np.array(at), return_inverse=True)
-    return index, np.bincount(back, np.array(weight))
-
-
-def train(rows: list[tuple[bytes | None, int]], prior: float | None = None, buckets: int = 1 << 17, dim: int = 8, steps: int = 200, sparsity: float = 0.05, least_texts: int = 3, block: int = 1 << 19, seed: int = 0) -> Model:
+def grams(words: list[bytes], buckets: int, low: int = 3, high: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (a power of two of them) of all words, one word's after the other's, and how many each word has: one for the word itself, and those of the character n-grams of ``<word>`` that are shorter than it."""
+    names = [w.decode("utf-8", "replace") for w in words]
+    text = np.frombuffer("".join(f"<{w}>" for w in names).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, names), np.int64, len(names)) + 2
+    owner = np.repeat(np.arange(len(names)), lengths)
+    left = np.cumsum(lengths)[owner] - np.arange(len(text))
+    mask = buckets - 1
+    found, of = [np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) & mask], [np.arange(len(names))]
+    h = np.zeros(len(text), np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(1, high + 1):
+            ahead = np.zeros(len(text), np.uint64)
+            ahead[: max(0, len(text) - n + 1)] = text[n - 1 :]
+            h = (h ^ ahead) * _MIX
+            h ^= h >> np.uint64(29)
+            if n >= low:
+                inside = np.flatnonzero((left >= n) & (lengths[owner] > n))
+                found.append((h[inside] * _MIX >> np.uint64(40)).astype(np.int64) & mask)
+                of.append(owner[inside])
+    of = np.concatenate(of)
+    return np.concatenate(found)[np.argsort(of, kind="stable")].astype(np.int32), np.bincount(of, minlength=len(names))
+
+
+class Bags:
+    """Texts as means of their words, distinct words as means of their buckets: two sparse matrices, applied one after the other."""
+
+    def __init__(self, texts_: list[bytes | None], buckets: int):
+        self.buckets, self.n = buckets, len(texts_)
+        places: dict[bytes, int] = {}
+        own = [np.fromiter((places.setdefault(w, len(places)) for w in alnum_words(t)), np.int32) for t in texts_]
+        self.sizes = np.array([len(o) for o in own], np.int64)
+        self.text = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)
+        self.word = np.concatenate([np.zeros(0, np.int32), *own])
+        self.share = np.repeat(1 / np.maximum(self.sizes, 1), self.sizes).astype(np.float32)
+        self.words, names = len(places), list(places)
+        made = [grams(names[i : i + 20_000], buckets) for i in range(0, len(names), 20_000)]
+        self.bucket = np.concatenate([np.zeros(0, np.int32), *[m[0] for m in made]])
+        self.of = np.repeat(np.arange(self.words, dtype=np.int32), np.concatenate([np.zeros(0, np.int64), *[m[1] for m in made]]))
+        self.in_word = np.maximum(np.bincount(self.of, minlength=self.words), 1)
+
+    def forward(self, score: np.ndarray) -> np.ndarray:
+        """Each text's mean of a number a bucket."""
+        by_word = np.bincount(self.of, score[self.bucket], self.words) / self.in_word
+        return np.bincount(self.text, by_word[self.word] * self.share, self.n)
+
+    def backward(self, pull: np.ndarray) -> np.ndarray:
+        """What each bucket gets of a number a text: the transpose of ``forward``."""
+        by_word = np.bincount(self.word, pull[self.text] * self.share, self.words) / self.in_word
+        return np.bincount(self.bucket, by_word[self.of], self.buckets)
+
+    def texts_of(self) -> np.ndarray:
+        """In how many texts each bucket's words stand, added up over its words."""
+        pairs = np.unique(self.word.astype(np.int64) * max(self.n, 1) + self.text) // max(self.n, 1)
+        return np.bincount(self.bucket, np.bincount(pairs, minlength=self.words)[self.of].astype(float), self.buckets)
+
+
+def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
+    """The cut at which the share of class 1 at or above it exceeds that of class 0 the most: halfway to the next text below."""
+    order = np.argsort(-logits, kind="stable")
+    gain = np.cumsum(y[order]) / y.sum() - np.cumsum(1 - y[order]) / (1 - y).sum()
+    last = np.append(logits[order][1:] < logits[order][:-1], True)  # texts of one logit stay together
+    at = int(np.argmax(np.where(last, gain, -np.inf)))
+    return float(logits[order][at] + logits[order][min(at + 1, len(order) - 1)]) / 2
+
+
+def train(rows: list[tuple[bytes | None, int]], buckets: int = 1 << 17, dim: int = 8, steps: int = 100, sparsity: float = 0.05, least_texts: int = 5, seed: int = 0) -> Model:
     """Fits vectors and softmax together by accelerated proximal gradient steps on the log loss over all rows.
 
-    Each bucket is weighed by the inverse of its root mean square over the rows, and buckets in fewer than
-    ``least_texts`` rows stay at zero, as does every bucket whose pull is below ``sparsity`` times the strongest: a
-    text has thousands of n-grams, of which very few matter. ``prior`` is the share of class 1 outside the sample.
-    Without rows, or with one class only, scores follow the class counts.
+    Vectors start at random, uniform up to 1 / dim either way, and each step moves both factors along their gradients.
+    A bucket's steps are weighed by the inverse of its root mean square over the texts. A text has thousands of
+    n-grams, of which very few matter, so a bucket whose pull is below ``sparsity`` times the strongest is drawn back
+    to where it started; those in fewer than ``least_texts`` texts stay at zero. The bias then moves so that a score
+    of 0.5 is the cut that tells the training rows' classes apart best, whatever the classes' shares. Texts without
+    words get the mean logit of class 0. Without rows, or with one class only, all scores follow the class counts.
     """
     rng = np.random.default_rng(seed)
     y = np.array([label for _, label in rows], np.int64)
     counts = np.bincount(y, minlength=2)[:2]
-    model = Model(np.zeros((buckets, dim)), rng.normal(0, 1, (dim, 2)), np.log((counts + 1.0) / (counts.sum() + 2.0)))
+    softmax = rng.normal(0, 1, (dim, 2))
+    even = np.log((counts + 1.0) / (counts.sum() + 2.0))
     if not counts.all():
-        return model
-    n = len(rows)
-    seen, square = np.zeros(buckets), np.zeros(buckets)
-    blocks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-    cache: dict[bytes, list[int]] = {}
-    part: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    # Bags go straight into a few large arrays, which the system takes back as a whole when training ends.
-    for i, (text, _) in enumerate(rows):
-        if len(cache) > 50_000:
-            cache.clear()
-        index, weight = bag(text, cache, buckets)
-        seen[index] += 1
-        square[index] += weight**2
-        part.append((index.astype(np.int32), weight.astype(np.float32)))
-        size += len(index)
-        if size >= block or i == n - 1:
-            first = blocks[-1][1] if blocks else 0
-            blocks.append((first, i + 1, np.concatenate([b[0] for b in part]), np.concatenate([b[1] for b in part]), np.array([len(b[0]) for b in part])))
-            part, size = [], 0
-    del cache, part
-    active = np.flatnonzero(seen >= least_texts)
+        return Model(np.zeros((buckets, dim)), softmax, even, even[1] - even[0])
+    bags, n = Bags([text for text, _ in rows], buckets), len(rows)
+    held_by = bags.texts_of()
+    active = np.flatnonzero(held_by >= least_texts)
     if not len(active):
-        return model
-    scale = 1 / np.sqrt(square[active] / n)
-    scale /= np.median(scale)
-    to = np.full(buckets, len(active), np.int32)  # what isn't active goes to one more place, which weighs nothing
-    to[active] = np.arange(len(active))
-    wide = np.append(scale, 0.0).astype(np.float32)
-    for _, _, column, weight, _ in blocks:
-        column[:] = to[column]
-        weight *= wide[column]
-
-    def forward(projected: np.ndarray) -> np.ndarray:
-        far = np.append(projected, 0.0)
-        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), sizes), weight * far[column], b - a) for a, b, column, weight, sizes in blocks])
-
-    def backward(pull: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(column, weight * np.repeat(pull[a:b], sizes), len(active) + 1) for a, b, column, weight, sizes in blocks)[: len(active)]
+        return Model(np.zeros((buckets, dim)), softmax, even, even[1] - even[0])
+    mean = bags.backward(np.full(n, 1 / n))[active]
+    scale = np.zeros(buckets)
+    scale[active] = np.sqrt(held_by[active] / n) / mean
+    scale[active] /= np.median(scale[active])
+
+    def back(pull: np.ndarray) -> np.ndarray:
+        return (scale * bags.backward(pull))[active]
+
+    def ahead_of(score: np.ndarray) -> np.ndarray:
+        far = np.zeros(buckets)
+        far[active] = score
+        return bags.forward(scale * far)
 
     v = rng.random(len(active))
     for _ in range(12):  # the largest singular value bounds the step
-        v = backward(forward(v))
+        v = back(ahead_of(v))
         bound = np.linalg.norm(v)
         v /= bound
     bound /= 4 * n
-    vectors = np.zeros((len(active), dim))
-    ahead, momentum, bias = vectors.copy(), 1.0, model.bias[1] - model.bias[0]
-    most = np.abs(backward(counts[1] / n - y)).max() / n
+    start = rng.uniform(-1 / dim, 1 / dim, (len(active), dim))
+    vectors, ahead, momentum, bias = start, start, 1.0, np.log(counts[1] / counts[0])
+    most = np.abs(back(counts[1] / n - y)).max() / n
     for _ in range(steps):
         # The mean commutes with the softmax's matrix, so texts meet one number a bucket instead of whole vectors.
-        turn = model.softmax[:, 1] - model.softmax[:, 0]
-        p = 1 / (1 + np.exp(-np.clip(forward(ahead @ turn) + bias, -60, 60)))
-        pull = backward((p - y) / n)
+        turn = softmax[:, 1] - softmax[:, 0]
+        p = 1 / (1 + np.exp(-np.clip(ahead_of(ahead @ turn) + bias, -60, 60)))
+        pull = back((p - y) / n)
         step = 1 / (1.1 * bound * (turn @ turn))
-        moved = ahead - step * pull[:, None] * turn
-        size_of = np.linalg.norm(moved, axis=1)
-        shrunk = moved * np.maximum(0, 1 - step * sparsity * most * np.linalg.norm(turn) / np.maximum(size_of, 1e-300))[:, None]
+        moved = ahead - step * pull[:, None] * turn - start
+        moved *= np.maximum(0, 1 - step * sparsity * most * np.linalg.norm(turn) / np.maximum(np.linalg.norm(moved, axis=1), 1e-300))[:, None]
+        moved += start
         following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        ahead = shrunk + (momentum - 1) / following * (shrunk - vectors)
         of_softmax = vectors.T @ pull
-        vectors, momentum = shrunk, following
+        ahead = moved + (momentum - 1) / following * (moved - vectors)
+        vectors, momentum = moved, following
         bias -= 2 * (p - y).mean()
         pace = 0.02 * np.linalg.norm(turn) / max(1.0, np.linalg.norm(of_softmax))
-        model.softmax[:, 1] -= pace * of_softmax
-        model.softmax[:, 0] += pace * of_softmax
-    model.vectors[active] = vectors * scale[:, None]
-    if prior is not None and 0 < prior < 1:
-        bias += np.log(prior / (1 - prior)) - np.log(counts[1] / counts[0])
-    model.bias = np.array([-bias / 2, bias / 2])
+        softmax[:, 1] -= pace * of_softmax
+        softmax[:, 0] += pace * of_softmax
+    whole = np.zeros((buckets, dim))
+    whole[active] = vectors * scale[active, None]
+    model = Model(whole, softmax, np.zeros(2))
+    logits, worded = bags.forward(model.bucket_scores()), bags.sizes > 0
+    cut = best_cut(logits[worded], y[worded]) if len(np.unique(y[worded])) == 2 else float(-bias)
+    model.bias = np.array([cut / 2, -cut / 2])
+    calm = logits[worded & (y == 0)]
+    model.without_words = float(calm.mean() if len(calm) else 0.0) - cut
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[bytes | None, int]], float | None]:
-    """At most ``most_rows`` labelled texts, half of each class, and about ``most_bytes`` in all, whole, in order of a hash of doc_id; and the share of class 1 among all labels. Labels other than 0 and 1 and null ids are left out; of several labels of one id the highest counts."""
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes | None, int]]:
+    """At most ``most_rows`` labelled texts, half of each class, and about ``most_bytes`` in all, whole, in order of a hash of doc_id. Labels other than 0 and 1 and null ids are left out; of several labels of one id the highest counts."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("toxic").alias("_toxic"))
-    share = known.agg(F.avg("_toxic")).first()[0]
     order = F.xxhash64(F.lit("toxicity"), "_doc")
     of = [known.where(F.col("_toxic") == c).orderBy(order, "_doc").limit(most_rows // 2) for c in (0, 1)]
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(of[0].unionByName(of[1])), F.col("doc_id") == F.col("_doc"))
@@ -160,7 +184,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int = SAMPLE_ROWS, mos
         size += len(out[-1][0] or b"")
         if size >= most_bytes:
             break
-    return out, share
+    return out
 
 
 def held_out(doc_id: Column, mod: int = 5, remainder: int = 0) -> Column:
@@ -168,48 +192,59 @@ def held_out(doc_id: Column, mod: int = 5, remainder: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == remainder, F.lit(False))
 
 
-def _scorer(model: Model):
-    scores, shift = model.word_scores(), float(model.bias[1] - model.bias[0])
-    buckets = len(scores)
+class WordScores(dict):
+    """Word to its share of a text's logit; new words are worked out many at a time. Forgets everything beyond ``room`` words, so memory stays bounded."""
 
-    class Words(dict):
-        def __missing__(self, word: bytes) -> float:
-            if len(self) > 300_000:
-                self.clear()
-            own = grams(word, buckets)
-            self[word] = s = float(scores[own].mean())
-            return s
+    def __init__(self, model: Model, room: int = 300_000):
+        super().__init__()
+        self.scores, self.room = model.bucket_scores(), room
+        self.shift, self.without_words = float(model.bias[1] - model.bias[0]), model.without_words
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = Words().__getitem__
-        for batch in batches(rows):
-            logits = np.array([shift + (sum(map(word, own)) / len(own) if (own := alnum_words(t)) else 0.0) for t in texts(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], ["doc_id", "score"])
+    def learn(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 20_000):
+            block = words[i : i + 20_000]
+            bucket, sizes = grams(block, len(self.scores))
+            self.update(zip(block, (np.add.reduceat(self.scores[bucket], np.cumsum(sizes) - sizes) / sizes).tolist(), strict=True))
 
-    return run
+    def score(self, text: bytes | None) -> float:
+        """0 to 1."""
+        words = alnum_words(text)
+        if not words:
+            return float(1 / (1 + np.exp(-np.clip(self.without_words, -500, 500))))
+        if new := {w for w in words if w not in self}:
+            if len(self) + len(new) > self.room:
+                self.clear()
+                new = set(words)
+            self.learn(list(new))
+        return float(1 / (1 + np.exp(-np.clip(self.shift + sum(map(self.__getitem__, words)) / len(words), -500, 500))))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) of every whole text, a row per row of ``docs``; null and empty texts get the score of the class counts."""
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, score double")
+    """doc_id, score (0 to 1) of every whole text, a row per row of ``docs``, repeated rows included. Null texts and those without words all get one score, that of the mean text of class 0. The words' scores are kept from batch to batch."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordScores(model)
+        for batch in batches(rows):
+            found = pa.array(map(words.score, texts(batch.column(1))), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), found], ["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, remainder: int = 0, **options) -> Model:
     """Trains on a bounded sample of the labelled rows that aren't held out."""
     open_to = ~held_out(F.col("doc_id"), mod, remainder)
-    rows, prior = sample(docs.where(open_to), labels.where(open_to))
-    return train(rows, prior, **options)
+    return train(sample(docs.where(open_to), labels.where(open_to)), **options)
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those whose score reaches the threshold; columns and all other rows as they are."""
+    """``docs`` without those whose score reaches the threshold, which is op3's ``predicted`` at 0.5; columns and all other rows as they are, repeated rows and null ids included: each row is judged by its own text alone."""
     model = fit(docs, labels)
-    run = _scorer(model)
 
     @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        return pd.concat([pd.Series(b.column(1).to_numpy()) for b in run(iter([pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), pa.array(text, pa.string())], ["doc_id", "text"])]))]) if len(text) else pd.Series([], dtype=float)
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = WordScores(model)
+        for part in parts:
+            yield pd.Series([words.score(bytes(t) if t is not None else None) for t in part], dtype=float)
 
-    return docs.where(score("text") < threshold)
+    return docs.where(score(F.col("text").cast("binary")) < threshold)
