@@ -380,7 +380,7 @@ def test_decontamination(spark, docs, texts, empty, most_bytes):
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(texts)
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [3, 4])
 def test_language_model(docs, texts, empty, order):
     held = toxicity.held_out(F.col("doc_id"), 7, 2)
     found = {r.doc_id: r for r in ngram_lm.score(docs, held, order=order, chunk_bytes=9_000).collect()}
@@ -433,8 +433,7 @@ def test_elias_fano_round_trip():
         coded = ngram_lm.EliasFano(*ngram_lm.EliasFano.coded(values))
         assert (coded.at(np.arange(n)) == values).all()
         asked = np.concatenate([values, rng.integers(0, top, 50).astype(np.uint64)])
-        zero = np.zeros(len(asked), np.int64)
-        assert (coded.successor(asked, zero, zero + n) == np.searchsorted(values, asked)).all()
+        assert (coded.successor(np.sort(asked)) == np.searchsorted(values, np.sort(asked))).all()
 
 
 PAGE = '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav><header>Site</header>%s<aside>Side</aside><div class="ad">Buy</div><form>Sign up</form><footer>&copy; x</footer></body></html>'

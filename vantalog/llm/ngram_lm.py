@@ -2,10 +2,10 @@
 
 All texts are cut into chunks of documents. Each chunk asks for its distinct n-grams and tells how often its training
 documents have them; Spark shuffles these lists to shards by n-gram. A shard adds the counts up, builds its part of
-the trie (levels in Elias-Fano code: contexts, pointers to each context's successors, successors relative to their
-context, quantised log probabilities), maps it into memory and answers every chunk. Each chunk then scores its texts.
-Orders beyond the second go round one at a time, and a round's lists are deleted when it is answered: no two rounds'
-lists are on disk together.
+the trie (levels in Elias-Fano code: contexts, which are n-grams of one order, pointers to each one's successors, which
+make those of the next, successors relative to their context, quantised log probabilities of the corpus), maps it into
+memory and answers every chunk. Each chunk then smooths what it was told and scores its texts. Orders beyond the second
+go round one at a time, and a round's lists are deleted when it is answered: no two rounds' lists are on disk together.
 """
 
 from __future__ import annotations
@@ -60,28 +60,26 @@ class EliasFano:
         low = (word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
         return (self.ones[i] - i).astype(np.uint64) << np.uint64(self.bits) | low
 
-    def successor(self, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """For each wanted number the first place in its range [lo, hi) that holds it or more; hi if none."""
-        lo, hi = lo.copy(), hi.copy()
-        live = np.flatnonzero(lo < hi)
-        while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self.at(mid) < wanted[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
-            live = live[lo[live] < hi[live]]
-        return lo
+    def successor(self, wanted: np.ndarray) -> np.ndarray:
+        """For each of the sorted wanted numbers the first place that holds it or more. Blocks of the sequence are decoded one after the other, each searched for the numbers that fall into it."""
+        out = np.zeros(len(wanted), np.int64)
+        for at in range(0, self.n, 1 << 18):
+            block = self.at(np.arange(at, min(self.n, at + (1 << 18))))
+            lo, hi = np.searchsorted(wanted, block[[0, -1]], "right")
+            out[lo:hi] = at + np.searchsorted(block, wanted[lo:hi])
+            out[hi:] = at + len(block)
+        return out
 
 
 class Level:
     """One level of a shard's trie, over a file that is mapped into memory."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        """``keys``: sorted, context in the high 32 bits and word in the low. ``values``: what to find there."""
-        context, first = np.unique(keys >> np.uint64(32), return_index=True)
-        pointers = np.append(first, len(keys)).astype(np.uint64)
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, values: np.ndarray):
+        """``contexts`` and ``words``: hashes of both parts of each n-gram, sorted by context, then word. ``values``: what to find there."""
+        context, first = np.unique(contexts, return_index=True)
+        pointers = np.append(first, len(contexts)).astype(np.uint64)
         rank = np.repeat(np.arange(len(context), dtype=np.uint64), np.diff(pointers.astype(np.int64)))
-        relative = rank << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+        relative = rank << np.uint64(32) | words.astype(np.uint64)
         parts, head = [], []
         for coded in (EliasFano.coded(context), EliasFano.coded(pointers), EliasFano.coded(relative)):
             head.append((coded[0], coded[1], len(coded[2]), len(coded[3])))
@@ -101,22 +99,19 @@ class Level:
         self.context, self.pointers, self.words = made
         self.values = mapped[at:].view(values.dtype)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The values of ``keys``; 0 where a key is missing."""
-        out = np.zeros(len(keys), self.values.dtype)
-        if not len(keys) or not self.context.n:
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The values of n-grams, sorted by context, then word; 0 where one is missing. A context's place points to its successors, among which the word is searched for."""
+        out = np.zeros(len(contexts), self.values.dtype)
+        if not len(contexts) or not self.context.n:
             return out
-        context, back = np.unique(keys >> np.uint64(32), return_inverse=True)
-        zero = np.zeros(len(context), np.int64)
-        rank = self.context.successor(context, zero, zero + self.context.n)
-        there = rank < self.context.n
-        there[there] = self.context.at(rank[there]) == context[there]
-        ask = np.flatnonzero(there[back])
-        r = rank[back[ask]]
+        rank = self.context.successor(contexts)
+        ask = np.flatnonzero(rank < self.context.n)
+        ask = ask[self.context.at(rank[ask]) == contexts[ask]]
+        r = rank[ask]
         lo, hi = self.pointers.at(r).astype(np.int64), self.pointers.at(r + 1).astype(np.int64)
-        wanted = r.astype(np.uint64) << np.uint64(32) | keys[ask] & np.uint64(0xFFFFFFFF)
-        place = self.words.successor(wanted, lo, hi)
-        good = place < hi
+        wanted = r.astype(np.uint64) << np.uint64(32) | words[ask].astype(np.uint64)
+        place = self.words.successor(wanted)
+        good = (place >= lo) & (place < hi)
         good[good] = self.words.at(place[good]) == wanted[good]
         out[ask[good]] = self.values[place[good]]
         return out
@@ -146,87 +141,94 @@ def _unpack(data: bytes, n: int, kind) -> np.ndarray:
 
 
 def _chunks(most_bytes: int):
+    """Runs of documents as numbered words: the distinct words' hashes, sorted, and each token's place among them; every document closes with an end."""
+
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, hashes = TaskContext.get().partitionId(), 0, WordHashes()
         ids, train, own, size = [], [], [], 0
 
         def out():
-            data = b"".join(own)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([[len(t) for t in own]], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())], ["chunk", "ids", "train", "sizes", "data"])
+            words, tokens = np.unique(np.concatenate(own), return_inverse=True)
+            columns = {"chunk": (part << 32) + seq, "ids": ids, "train": train, "sizes": [len(o) for o in own], "kinds": len(words), "words": _pack(np.diff(words, prepend=np.uint64(0))), "tokens": _pack(tokens.astype(np.uint32))}
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(columns.values(), kinds, strict=True)], list(columns))
 
         for batch in batches(rows, 4 << 20):
             for doc, text, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                text = text or b""
-                if own and size + len(text) > most_bytes:
+                if own and size + len(text or b"") > most_bytes:
                     yield out()
                     seq += 1
                     ids, train, own, size = [], [], [], 0
-                ids.append(doc), train.append(t), own.append(text)
-                size += len(text)
+                ids.append(doc), train.append(t), own.append(np.append(hashes.of(spaced_words(text)), END))
+                size += len(text or b"")
         if own:
             yield out()
 
     return cut
 
 
+_CHUNK = "chunk long, ids array<long>, train array<boolean>, sizes array<long>, kinds long, words binary, tokens binary"
+
+
 def _rounds(order: int) -> list[range]:
     """The levels (order less one) that are asked together."""
     return [range(min(2, order)), *(range(n, n + 1) for n in range(2, order))]
 
 
-def _grams(row: dict, hashes: WordHashes, levels: range):
-    """Per level the distinct keys of a chunk, each token's place among them, and the number of tokens and the training mark of each document."""
-    data = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, sum(row["sizes"])))
-    words, lengths, at = [], [], 0
-    for size in row["sizes"]:
-        own = spaced_words(data[at : at + size])
-        at += size
-        words.append(np.append(hashes.of(own), END))
-        lengths.append(len(own) + 1)
-    lengths = np.array(lengths)
-    flat = np.concatenate(words)
-    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(flat)) - first
-    keys = [flat]
-    context = np.zeros(len(flat), np.uint64)
-    for n in range(2, levels.stop + 1):
-        back = np.concatenate([np.full(n - 1, BEGIN), flat[: len(flat) - n + 1]])
-        back = np.where(place >= n - 1, back, BEGIN)
-        with np.errstate(over="ignore"):
-            context = (context ^ back) * _MIX
-            context ^= context >> np.uint64(29)
-        keys.append((context >> np.uint64(32)) << np.uint64(32) | flat >> np.uint64(32))
-    return [np.unique(keys[n], return_inverse=True) for n in levels], lengths, np.repeat(np.array(row["train"], bool), lengths)
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The order in which the keys go to the buckets, and where each bucket begins."""
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = ((keys ^ keys >> np.uint64(31)) * _MIX >> np.uint64(33)) % np.uint64(buckets)
-    h = h.astype(np.int32)
-    order = np.argsort(h, kind="stable")
-    return order, np.searchsorted(h[order], np.arange(buckets + 1))
+        h = (a ^ b >> np.uint64(32)) * _MIX + b
+        h = (h ^ h >> np.uint64(29)) * _MIX
+        return h ^ h >> np.uint64(32)
+
+
+def _grams(row: dict, levels: range, buckets: int):
+    """Per level the distinct n-grams of a chunk (48 bits of the context's hash and 32 of the word's; at the first level all 64 of the word's), ordered by bucket and context, where each bucket's begin, and each token's place among them; and the number of tokens and the training mark of each document.
+
+    Inside a chunk n-grams are told apart by the numbers of their context and word, so only distinct ones are hashed.
+    """
+    lengths = np.array(row["sizes"])
+    words = np.cumsum(_unpack(row["words"], row["kinds"], np.uint64), dtype=np.uint64)
+    tokens = _unpack(row["tokens"], int(lengths.sum()), np.uint32).astype(np.int64)
+    first = np.zeros(len(tokens), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    whole, back, out = words, tokens, []
+    for n in range(levels.stop):
+        context, word = words, np.zeros(len(words), np.uint32)
+        if n:
+            of = np.where(first, len(whole), np.concatenate([[0], back[:-1]]))
+            pairs, back = np.unique(of * len(words) + tokens, return_inverse=True)
+            own, hashes = words[pairs % len(words)], np.append(whole, BEGIN + np.uint64(n))[pairs // len(words)]
+            whole = _mixed(hashes, own)
+            context, word = hashes >> np.uint64(16), (own >> np.uint64(32)).astype(np.uint32)
+        if n in levels:
+            bucket = ((whole >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((context, bucket))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            out.append((context[order], word[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), place[back]))
+    return out, lengths, np.repeat(np.array(row["train"], bool), lengths)
 
 
 def _ask(levels: range, buckets: int):
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in rows:
             for row in batch.to_pylist():
-                grams, _, train = _grams(row, hashes, levels)
-                out: list[list[tuple[int, bytes, bytes]]] = [[] for _ in range(buckets)]
-                for keys, back in grams:
-                    counts = np.bincount(back, train, len(keys)).astype(np.uint32)
-                    to, ends = _bucket(keys, buckets)
-                    for b in range(buckets):
-                        own = keys[to[ends[b] : ends[b + 1]]]
-                        out[b].append((len(own), _pack(np.diff(own, prepend=np.uint64(0))), _pack(counts[to[ends[b] : ends[b + 1]]])))
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([row["chunk"]] * buckets, pa.int64()), pa.array([[x[0] for x in o] for o in out], pa.list_(pa.int64())), pa.array([[x[1] for x in o] for o in out], pa.list_(pa.binary())), pa.array([[x[2] for x in o] for o in out], pa.list_(pa.binary()))], ["bucket", "chunk", "sizes", "keys", "counts"])
+                grams, _, train = _grams(row, levels, buckets)
+                counts = [np.bincount(back, train, len(context)).astype(np.uint32) for context, _, _, back in grams]
+                made = []
+                for b in range(buckets):
+                    spans = [slice(ends[b], ends[b + 1]) for _, _, ends, _ in grams]
+                    if any(s.start < s.stop for s in spans):  # so there are never more messages than n-grams
+                        own = list(zip(grams, counts, spans, strict=True))
+                        made.append((b, row["chunk"], [s.stop - s.start for s in spans], [_pack(np.diff(g[0][s], prepend=np.uint64(0))) for g, _, s in own], [_pack(g[1][s]) for g, _, s in own], [_pack(c[s]) for _, c, s in own]))
+                kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], ["bucket", "chunk", "sizes", "contexts", "words", "counts"])
 
     return ask
 
 
-_ASKED = "bucket int, chunk long, sizes array<long>, keys array<binary>, counts array<binary>"
+_ASKED = "bucket int, chunk long, sizes array<long>, contexts array<binary>, words array<binary>, counts array<binary>"
 _TOLD = "chunk long, bucket int, level int, tokens long, kinds long, told array<binary>"
 
 
@@ -236,16 +238,20 @@ def _answer(levels: range, top: float):
         told: list[list[bytes]] = [[] for _ in rows]
         tokens = kinds = 0
         for at, n in enumerate(levels):
-            asked = [np.cumsum(_unpack(r["keys"][at], r["sizes"][at], np.uint64), dtype=np.uint64) for r in rows]
-            counts = np.concatenate([_unpack(r["counts"][at], r["sizes"][at], np.uint32) for r in rows])
-            # every key is looked up once, however many chunks ask for it
-            wanted, back = np.unique(np.concatenate(asked), return_inverse=True)
+            sizes = [r["sizes"][at] for r in rows]
+            context = np.concatenate([np.cumsum(_unpack(r["contexts"][at], m, np.uint64), dtype=np.uint64) for r, m in zip(rows, sizes, strict=True)])
+            word = np.concatenate([_unpack(r["words"][at], m, np.uint32) for r, m in zip(rows, sizes, strict=True)])
+            counts = np.concatenate([_unpack(r["counts"][at], m, np.uint32) for r, m in zip(rows, sizes, strict=True)])
+            # every n-gram is looked up once, however many chunks ask for it
+            contexts, rank = np.unique(context, return_inverse=True)
+            wanted, back = np.unique(rank.astype(np.uint64) << np.uint64(32) | word, return_inverse=True)
+            contexts, words = contexts[(wanted >> np.uint64(32)).astype(np.int64)], wanted.astype(np.uint32)
             sums = np.bincount(back, counts, len(wanted)).astype(np.int64)
-            keys, sums = wanted[sums > 0], sums[sums > 0]
+            known = sums > 0
             if n == 0:
-                tokens, kinds = int(sums.sum()), len(keys)
-            level = Level(keys, sums if n == 0 else quantise(sums, top))
-            values, ends = level.find(wanted), np.cumsum([0, *map(len, asked)])
+                tokens, kinds = int(sums.sum()), int(known.sum())
+            level = Level(contexts[known], words[known], sums[known] if n == 0 else quantise(sums[known], top))
+            values, ends = level.find(contexts, words), np.cumsum([0, *sizes])
             for i in range(len(rows)):
                 told[i].append(_pack(values[back[ends[i] : ends[i + 1]]]))
         return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "level": pa.array([levels.start] * len(rows), pa.int32()), "tokens": pa.array([tokens * (i == 0) for i in range(len(rows))], pa.int64()), "kinds": pa.array([kinds * (i == 0) for i in range(len(rows))], pa.int64()), "told": pa.array(told, pa.list_(pa.binary()))})
@@ -258,14 +264,12 @@ def _score(order: int, buckets: int, tokens: int, kinds: int, top: float, mass:
         cols: dict[str, list] = {c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score")}
         answers = {(r["level"] + i, r["bucket"]): own for r in told.to_pylist() for i, own in enumerate(r["told"])}
         for row in chunk.to_pylist():
-            grams, lengths, _ = _grams(row, WordHashes(), range(order))
+            grams, lengths, _ = _grams(row, range(order), buckets)
             found = []
-            for n, (keys, back) in enumerate(grams):
-                to, ends = _bucket(keys, buckets)
-                own = np.concatenate([_unpack(answers[n, b], int(ends[b + 1] - ends[b]), np.int64 if n == 0 else np.uint8) for b in range(buckets)])
-                values = np.empty_like(own)
-                values[to] = own
-                found.append(values[back])
+            for n, (_, _, ends, back) in enumerate(grams):
+                sizes = np.diff(ends)
+                own = np.concatenate([_unpack(answers[n, b], int(sizes[b]), np.int64 if n == 0 else np.uint8) for b in np.flatnonzero(sizes).tolist()])
+                found.append(own[back])
             ends = np.cumsum(lengths)
             per_doc = lambda x, e=ends: np.add.reduceat(x, e - lengths)  # noqa: E731, B023
             c = found[0].astype(np.float64)
@@ -293,22 +297,24 @@ def _score(order: int, buckets: int, tokens: int, kinds: int, top: float, mass:
     return score
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 3, mass: float = 8.0, chunk_bytes: int = 4 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 3, mass: float = 8.0, chunk_bytes: int = 4 << 20, bucket_tokens: int = 3 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of ``docs``.
 
     The model learns from all whole texts for which ``held_out`` is false, of which null ids are. Tokens are the words
     between white space with A-Z lower-cased, and one end a text; null texts count as empty. ``base_score`` is the sum
     of log10((c + 1) / (N + V + 1)). ``score`` interpolates: each order's count, with ``mass`` counts spread as the
     order below has it, over the context's count and ``mass`` (Dirichlet smoothing). Words are told apart by 64-bit
-    hashes, contexts by 32 bits more. Without any training text, N and V are 0.
+    hashes, longer n-grams by 48 bits of their context's and 32 of their word's, which differ for all but a few in a
+    thousand of unseen n-grams at a trillion contexts. Chunks send a message to each shard that has one of their
+    n-grams, so there are fewer messages than n-grams. Without any training text, N and V are 0.
     """
     rows = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    chunks = saved(rows.mapInArrow(_chunks(chunk_bytes), "chunk long, ids array<long>, train array<boolean>, sizes array<long>, data binary"), "lm-chunks")
-    bytes_all, texts_all = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s)), F.sum(F.size("ids"))).first()
-    if not texts_all:
+    chunks = saved(rows.mapInArrow(_chunks(chunk_bytes), _CHUNK), "lm-chunks")
+    tokens_all = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, s: a + s))).first()[0]
+    if not tokens_all:
         return rows.limit(0).selectExpr("doc_id", "not train held_out", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score")
-    buckets = max(48, -(-int(bytes_all) // bucket_bytes))
-    top = float(np.log10(max(10, bytes_all)))  # at least log10 of any count
+    buckets = max(48, -(-int(tokens_all) // bucket_tokens))
+    top = float(np.log10(max(10, tokens_all)))  # at least log10 of any count
     told = None
     for levels in _rounds(order):
         asked = chunks.mapInArrow(_ask(levels, buckets), _ASKED)

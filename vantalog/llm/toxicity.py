@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import alnum_words, batches, texts
 
 #: Most labelled rows that training reads, and most bytes of text in all; the rows are chosen by a hash of doc_id.
-SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 14 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 10 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
