@@ -63,6 +63,7 @@ def test_delivery_lines_of_all_events(spark, sf_dir, monkeypatch, name, line):
     raw = catalog.raw
     text = F.replace(F.col("payload").cast("string"), F.lit("login of"), F.lit("a = b|c] of"))
     monkeypatch.setattr(catalog, "raw", lambda *a: raw(*a).withColumn("payload", text.cast("binary")))
+    monkeypatch.setattr(catalog, "_STORED", {})
     events = catalog.unified(spark, sf_dir).withColumn("observed", F.date_format("time.observed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).collect()
     found = {r.event_id: r.line for r in catalog.QUERIES[name](spark, sf_dir).collect()}
     assert found == {r.event_id: line(r) for r in events}

@@ -53,7 +53,7 @@ def test_sections(unified):
     assert (deny.source.ip, deny.source.port, deny.network.transport, deny.severity.label, deny.quality.status) == ("203.0.113.7", 40001, "tcp", "medium", "valid") and deny.storable
     assert unified["forti"].quality.status == "valid" and unified["linux"].event.type == "cron"
     late = unified["eve_late"]
-    assert late.time.observed_at == AT and late.quality.status == "partial" and late.quality.warnings == ["Source timestamp was later than ingestion time and was not trusted"]
+    assert late.time.observed_at == AT and late.quality.status == "partial" and late.quality.warnings == ["the event's own time lies behind its arrival and isn't used"]
     assert unified["binary"].traceability.raw_event is None and unified["binary"].quality.missing_fields == ["normalization.mapping", "observer.product", "observer.vendor"]
     assert not unified["eve_bad_ip"].storable and unified["eve_bad_ip"].quality.status == "invalid"
 

@@ -10,7 +10,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("c")).first().c
 
 
-@pytest.mark.parametrize(("given", "expected"), [("10.0.0.1", "10.0.0.1"), ("010.0.0.1", None), ("256.1.1.1", None), ("1.2.3", None), ("2001:0DB8::0001", "2001:db8::1"), ("::", "::"), ("::1", "::1"), ("1:0:0:2:0:0:0:3", "1:0:0:2::3"), ("fe80::1%eth0", None), ("1:2:3:4:5:6:7:8:9", None), ("1::2::3", None), ("", None), (None, None), ("abcd", None)])
+@pytest.mark.parametrize(("given", "expected"), [("10.0.0.1", "10.0.0.1"), ("010.0.0.1", None), ("256.1.1.1", None), ("1.2.3", None), ("2001:0DB8::0001", "2001:db8::1"), ("::", "::"), ("::1", "::1"), ("1:0:0:2:0:0:0:3", "1:0:0:2::3"), ("fe80::1%eth0", "fe80::1%eth0"), ("::ffff:1.2.3.4", "::ffff:102:304"), ("::ffff:1.2.3.400", None), ("1.2.3.4%eth0", None), ("1:2:3:4:5:6:7:8:9", None), ("1::2::3", None), ("", None), (None, None), ("abcd", None)])
 def test_valid_ip(spark, given, expected):
     assert one(spark, text.valid_ip(F.lit(given).cast("string"))) == expected
 

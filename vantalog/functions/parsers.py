@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import groups, let, strip
+from .text import Layout, groups, let, strip
 
-_RFC5424 = r"<(\d{1,3})>(\d)\s(\S+)\s(\S+)\s(\S+)\s(\S+)\s(\S+)\s(-|\[.*?\](?:\[.*?\])*)\s?(.*)"
-_RFC5424_NAMES = ["pri", "version", "timestamp", "hostname", "appname", "procid", "msgid", "structured_data", "message"]
-_RFC3164 = r"<(\d{1,3})>([A-Z][a-z]{2}\s+\d{1,2}\s\d{2}:\d{2}:\d{2})\s(\S+)\s([^:\[\s]+)(?:\[(\d+)\])?:?\s?(.*)"
-_RFC3164_NAMES = ["pri", "timestamp", "hostname", "appname", "procid", "message"]
-_PAIR = r'[A-Za-z0-9_.\-]+=(?:"[^"]*"|[^\s]+)'
+_PRI = Layout("<", Layout.field("pri", r"\d{1,3}"), ">")
+#: RFC 5424, 6: HEADER (PRI VERSION, then five words, a dash for none), STRUCTURED-DATA (a dash or elements in brackets), MSG.
+_WORDS = [Layout(r"\s", Layout.field(n, r"\S+")) for n in ("timestamp", "hostname", "appname", "procid", "msgid")]
+_RFC5424 = Layout(_PRI, Layout.field("version", r"\d"), *_WORDS, r"\s", Layout.field("structured_data", r"-|(?:\[.*?\])+"), r"\s?", Layout.field("message", ".*"))
+#: RFC 3164, 4.1: PRI, HEADER (Mmm dd hh:mm:ss and the host), MSG (a tag that a colon, bracket or blank ends, and content).
+_BSD_TIME = r"[A-Z][a-z]{2}\s+\d{1,2}\s(?:\d\d:){2}\d\d"
+_TAG = Layout(Layout.field("appname", r"[^\s:\[]+"), Layout(r"\[", Layout.field("procid", r"\d+"), r"\]").maybe(), ":?")
+_RFC3164 = Layout(_PRI, Layout.field("timestamp", _BSD_TIME), r"\s", Layout.field("hostname", r"\S+"), r"\s", _TAG, r"\s?", Layout.field("message", ".*"))
+#: A key of letters, digits, dots, dashes and underscores, and a value that is quoted or one word.
+_PAIR = r'[\w.-]+=(?:"[^"]*"|\S+)'
 
 
 def _with(fields: Column, **more: Column) -> Column:
@@ -28,7 +33,7 @@ def syslog(text: Column) -> Column:
         return _with(fields, facility=F.floor(pri / 8).cast("string"), severity_code=(pri % 8).cast("string"), variant=F.lit(variant), message=F.coalesce(F.try_element_at(fields, F.lit("message")), F.lit("")))
 
     whole = strip(text)
-    return F.coalesce(let(groups(whole, _RFC5424, _RFC5424_NAMES), lambda f: F.when(f.isNotNull(), numbered(f, "rfc5424"))), let(groups(whole, _RFC3164, _RFC3164_NAMES), lambda f: F.when(f.isNotNull(), numbered(f, "rfc3164"))))
+    return F.coalesce(let(_RFC5424.of(whole), lambda f: F.when(f.isNotNull(), numbered(f, "rfc5424"))), let(_RFC3164.of(whole), lambda f: F.when(f.isNotNull(), numbered(f, "rfc3164"))))
 
 
 def key_value(text: Column) -> Column:

@@ -54,12 +54,35 @@ def groups(text: Column, pattern: str, names: list[str], whole: bool = True) ->
     return F.when(text.rlike(full), found)
 
 
+class Layout:
+    """A line's layout, put together from plain patterns and named pieces: its regular expression and the names of its groups in order."""
+
+    def __init__(self, *pieces: "str | Layout"):
+        self.pattern = "".join(p if isinstance(p, str) else p.pattern for p in pieces)
+        self.names = [n for p in pieces if isinstance(p, Layout) for n in p.names]
+
+    @classmethod
+    def field(cls, name: str, pattern: str) -> "Layout":
+        made = cls(f"({pattern})")
+        made.names = [name]
+        return made
+
+    def maybe(self) -> "Layout":
+        made = Layout(f"(?:{self.pattern})?")
+        made.names = self.names
+        return made
+
+    def of(self, text: Column, whole: bool = True) -> Column:
+        return groups(text, self.pattern, self.names, whole)
+
+
 def slug(text: Column, fallback: Column) -> Column:
     """Lower-case letters and digits joined by underscores; the fallback if that doesn't begin with a letter."""
     made = F.trim(F.regexp_replace(F.lower(strip(F.when(text != "", text).otherwise(fallback))), "[^a-z0-9]+", "_"), F.lit("_"))
     return F.coalesce(F.when(made.rlike("^[a-z]"), made), fallback)
 
 
+_ZONE = r"%[^%/]+$"
 _V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 _V6 = r"^(?=.*:)(?!.*:::)(?!.*::.*::)(:|[0-9a-f])(:|[0-9a-f]{1,4}(?=:|$)|(?<=:)[0-9a-f]{1,4})*$"
 
@@ -77,9 +100,15 @@ def _compressed(text: Column) -> Column:
 
 
 def valid_ip(text: Column) -> Column:
-    """The canonical text of an IPv4 or IPv6 address, null for anything else. Leading zeros in IPv4 and zone ids aren't accepted."""
-    low = F.lower(text)
-    return F.when(text.rlike(_V4), text).when(low.rlike(_V6) & (F.instr(low, ":") > 0), _compressed(low))
+    """The canonical text of an IPv4 or IPv6 address, null for anything else. IPv6 may have a zone, which stays as it is, and an IPv4 address as its tail. Leading zeros in IPv4 aren't accepted."""
+    zone = F.regexp_extract(text, _ZONE, 0)
+    low = F.lower(F.regexp_replace(text, _ZONE, ""))
+    tail = F.regexp_extract(low, r":((?:\d{1,3}\.){3}\d{1,3})$", 1)
+    byte = lambda i: F.get(F.split(tail, r"\."), F.lit(i)).try_cast("int")
+    hexed = F.concat(F.regexp_replace(low, r"[\d.]+$", ""), F.format_string("%x:%x", byte(0) * 256 + byte(1), byte(2) * 256 + byte(3)))
+    plain = F.when(tail == "", low).when(tail.rlike(_V4), hexed)
+    six = let(plain, lambda p: F.when(p.rlike(_V6) & (F.instr(p, ":") > 0), _compressed(p)))
+    return F.when(text.rlike(_V4), text).otherwise(F.concat(six, zone))
 
 
 def valid_port(text: Column) -> Column:

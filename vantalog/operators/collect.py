@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES, SAMPLE_BYTES = 65_536, 512
@@ -19,6 +19,27 @@ def rejection(payload: Column, most_bytes: int = MOST_BYTES) -> Column:
     return F.when(payload.isNull(), "invalid_payload").when(F.length(payload) == 0, "empty_event").when(F.length(payload) > most_bytes, "oversized_event")
 
 
+def read_lines(spark: SparkSession, path: str, source: str = "file-replay") -> DataFrame:
+    """The events of log files, one a line: exactly the bytes up to a line feed, carriage returns included, empty lines too; the last line may lack its feed. Ids follow from file, place and bytes, so a file that is read again gives the same."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("payload"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
+    digest = F.sha2(F.concat_ws(":", F.col("file"), F.col("place").cast("string"), F.hex("payload")), 256)
+    named = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("4"), F.substring(digest, 13, 3)), F.concat(F.lit("8"), F.substring(digest, 16, 3)), F.substring(digest, 19, 12))
+    return lines.select(named.alias("event_id"), F.current_timestamp().alias("ingested_at"), F.lit(source).alias("source_id"), F.lit(None).cast("string").alias("source_ip"), F.lit("file").alias("transport"), "payload")
+
+
+def replay_summary(replayed: DataFrame) -> DataFrame:
+    """Attempted, published and failed events of a replay, and how often each error came."""
+    codes = replayed.groupBy("error_code").agg(F.count("*").alias("n"))
+    return codes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("attempted"), F.coalesce(F.sum(F.when(F.col("error_code").isNull(), F.col("n"))), F.lit(0)).alias("published"), F.coalesce(F.sum(F.when(F.col("error_code").isNotNull(), F.col("n"))), F.lit(0)).alias("failed"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("error_code").isNotNull(), F.concat_ws("=", "error_code", F.col("n").cast("string"))))), ",").alias("errors"))
+
+
+def health(ingested: DataFrame, latency_ms: str, order: str, last: int = 1000) -> DataFrame:
+    """Received, accepted, rejected and duplicate events, and the mean latency of the ``last`` ones to three places."""
+    recent = ingested.orderBy(F.col(order).desc()).limit(last).agg(F.round(F.avg(latency_ms), 3).alias("latency_mean_ms"))
+    counts = ingested.agg(F.count("*").alias("received"), F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
+    return counts.join(recent)
+
+
 def ingest(raw: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``raw`` (event_id, source_id, source_ip, payload and more) with reason, raw_size, raw_sha256 and a fallback for source_id."""
     return raw.withColumns({
@@ -48,7 +69,9 @@ def flag_recent_duplicates(rows: DataFrame, digest: str, order: str, source: str
     """As a cache of the ``room`` latest distinct digests of each source flags them: a hit renews a digest.
 
     A row is a hit if fewer than ``room`` distinct digests lie between it and its digest's last occurrence. Distinct
-    digests in a stretch are those whose next occurrence lies beyond it, which running counts give without pairing rows.
+    digests in a stretch are those whose next occurrence lies beyond it. Rows with fewer than ``room`` rows since that
+    occurrence are hits at once; the others are joined to what lies between, whose cost grows with the length of such
+    stretches: meant for sources that are bounded in time, as a replayed day is.
     """
     own = Window.partitionBy(source, digest).orderBy(order)
     along = Window.partitionBy(source).orderBy(order)

@@ -31,12 +31,18 @@ def quarantine_rows(validated: DataFrame) -> DataFrame:
 
 
 def write_events(validated: DataFrame, path: str) -> None:
-    """Events and quarantine below ``path``: by month, sorted by time and id, so that scans prune and skip."""
-    rows = event_rows(validated.where("storable")).withColumn("month", F.date_format("observed_at", "yyyyMM"))
-    rows.repartition("month", F.pmod(F.xxhash64("event_id"), F.lit(16))).sortWithinPartitions("observed_at", "event_id").write.mode("append").partitionBy("month").parquet(f"{path}/events")
+    """Events and quarantine below ``path``: by month, in ranges of time and id that Spark sizes, so that scans prune and skip. ``vendor_key`` is the vendor in lower case, for searches that reach the files."""
+    rows = event_rows(validated.where("storable")).withColumns({"vendor_key": F.lower("vendor"), "month": F.date_format("observed_at", "yyyyMM")})
+    rows.repartitionByRange("month", "observed_at", "event_id").sortWithinPartitions("month", "observed_at", "event_id").write.mode("append").partitionBy("month").parquet(f"{path}/events")
     quarantine_rows(validated).write.mode("append").parquet(f"{path}/quarantine")
 
 
+def quarantine_payload(message: Column, payload: Column) -> Column:
+    """The quarantine row of a message that isn't a JSON object: its bytes as base64 and their hash, with the one code for it; null for JSON objects."""
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json(F.when(F.is_valid_utf8(payload.cast("string")), payload.cast("string")))).startswith("OBJECT"), F.lit(False))
+    return F.when(~good, F.struct(message.alias("event_id"), F.sha2(F.coalesce(payload, F.lit(b"")), 256).alias("raw_sha256"), F.base64(payload).alias("payload_base64"), F.array(F.lit("INVALID_NORMALIZED_JSON")).alias("error_codes")))
+
+
 def latest(rows: DataFrame, keys: tuple[str, ...] = ("observed_at", "event_id"), version: tuple[str, ...] = ("normalized_at",)) -> DataFrame:
     """Of the rows of a key, the one of the highest version. One aggregation with partial results; no key is gathered."""
     rest = [c for c in rows.columns if c not in keys]
@@ -56,9 +62,11 @@ def month_range(start: str | None, end: str | None) -> Column:
 
 def search(rows: DataFrame, vendor=None, category=None, action=None, severity=None, quality=None, text=None, start=None, end=None, limit: int | None = 50) -> DataFrame:
     """Facets (any case; None and "all" don't filter), free text over the JSON, a half-open time range; newest first, 1 to 500 rows (None: all)."""
-    for column, value in (("vendor", vendor), ("category", category), ("action", action), ("severity_label", severity), ("quality_status", quality)):
+    # Categories, actions, labels and statuses are lower-case by the schema, so their filters reach the files.
+    named = F.col("vendor_key") if "vendor_key" in rows.columns else F.lower("vendor")
+    for column, value in ((named, vendor), (F.col("category"), category), (F.col("action"), action), (F.col("severity_label"), severity), (F.col("quality_status"), quality)):
         if value is not None and value.lower() != "all":
-            rows = rows.where(F.lower(column) == value.lower())
+            rows = rows.where(column == value.lower())
     if text:
         rows = rows.where(F.lower("normalized_json").contains(text.lower()))
     if start is not None:
@@ -89,9 +97,9 @@ def by_source(rows: DataFrame) -> DataFrame:
 
 
 def distribution(rows: DataFrame, column: str, names: tuple[str, ...]) -> DataFrame:
-    """Counts of all the names, zeros included, and of unexpected values."""
-    labels = rows.sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
-    return labels.join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "full").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+    """Counts of all the names, zeros included, and of unexpected values: one aggregation over the rows and one zero a name."""
+    zeros = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias(column), F.lit(0).cast("long").alias("n"))
+    return rows.groupBy(column).agg(F.count("*").alias("n")).unionByName(zeros).groupBy(column).agg(F.sum("n").alias("n"))
 
 
 def severity_distribution(rows: DataFrame) -> DataFrame:
@@ -116,6 +124,42 @@ def facet(rows: DataFrame, column: str, vendor: str | None = None) -> DataFrame:
     return (rows.where(F.col("vendor") == vendor) if vendor else rows).select(column).distinct()
 
 
+def totals(rows: DataFrame) -> DataFrame:
+    """Rows as they are, repeats counted, and distinct events."""
+    return rows.agg(F.count("*").alias("total"), F.count_distinct("event_id").alias("distinct_events"))
+
+
+def quarantine_summary(quarantine: DataFrame, start: str | None = None, end: str | None = None, failure: str = "STORAGE_WRITE_FAILED") -> DataFrame:
+    """Quarantined events of a half-open time range, and those among them whose codes name a failed write."""
+    at = F.col("quarantined_at")
+    inside = F.lit(True) if start is None else at >= F.lit(start).cast("timestamp")
+    inside = inside if end is None else inside & (at < F.lit(end).cast("timestamp"))
+    return quarantine.where(inside).agg(F.count("*").alias("quarantined"), F.count_if(F.array_contains("error_codes", failure)).alias("storage_failures"))
+
+
+def newest_inserted(rows: DataFrame, order: str, limit: int = 100) -> DataFrame:
+    """The rows that were inserted last, newest first."""
+    return rows.orderBy(F.col(order).desc()).limit(max(1, limit))
+
+
+def contains_any(text: str, *columns: str) -> Column:
+    """Whether one of the columns holds the text, in any case."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
+    return found
+
+
+#: Columns of the two tables that an investigation shows.
+INVESTIGATION = ("observed_at", "event_id", "vendor", "product", "category", "event_type", "action", "severity", "severity_label", "source_ip", "source_port", "destination_ip", "destination_port", "quality_status", "source_pack_name", "parser_name", "raw_sha256")
+PROVENANCE = ("event_id", "raw_event_id", "raw_sha256", "source_pack_name", "source_pack_version", "parser_name", "parser_version", "normalized_at")
+
+
+def investigation(rows: DataFrame, columns: tuple[str, ...] = INVESTIGATION, limit: int = 500) -> DataFrame:
+    """The newest rows with an investigation's columns."""
+    return rows.orderBy(F.col("observed_at").desc(), "event_id").limit(limit).select(*columns)
+
+
 def matching(rows: DataFrame, column: str, pattern: str) -> DataFrame:
     """A dashboard's facet by regular expression; ``.*`` is all."""
     return rows if pattern == ".*" else rows.where(F.col(column).rlike(pattern))

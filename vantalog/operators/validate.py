@@ -29,21 +29,21 @@ def semantic_issues() -> Column:
     t, sev = "time", c("severity.normalized")
     band = F.coalesce(*[F.when(c("severity.label") == n, sev.between(a, b)) for n, (a, b) in BANDS.items()])
     network = c("event.category") == "network"
-    low_outcome = {"success": "success", "failure": "failure"}
     checks = [
         _issue((c(f"{t}.observed_at") > c(f"{t}.ingested_at")) | (c(f"{t}.ingested_at") > c(f"{t}.normalized_at")), "$.time", "timestamp_order", "observed_at, ingested_at and normalized_at must not decrease"),
         *[_issue(network & c(f"{s}.ip").isNull(), f"$.{s}.ip", "network_endpoint", f"network events need {s}.ip") for s in ("source", "destination")],
         _issue((c("event.category") == "intrusion_detection") & c("threat").isNull(), "$.threat", "category_requirement", "intrusion detection events need a threat"),
         _issue((c("event.category") == "authentication") & c("authentication").isNull(), "$.authentication", "category_requirement", "authentication events need an authentication section"),
         _issue(c("action.normalized").isin("deny", "block") & (c("action.outcome") == "success"), "$.action.outcome", "action_consistency", "denied and blocked actions can't succeed"),
-        _issue(~band, "$.severity", "severity_consistency", "the score isn't in the label's band"),
-        _issue((c("severity.label") == "unknown") & (F.size("quality.warnings") == 0), "$.quality.warnings", "severity_uncertainty", "an unknown severity needs a warning"),
-        _issue(F.coalesce(*[F.when(c("authentication.result") == a, c("action.outcome") != b) for a, b in low_outcome.items()]), "$.action.outcome", "outcome_consistency", "the outcome differs from the authentication's result"),
+        _issue(~band, "$.severity.label", "severity_consistency", "the score isn't in the label's band"),
+        _issue((c("severity.label") == "unknown") & (F.size("quality.warnings") == 0), "$.severity.label", "severity_uncertainty", "an unknown severity needs a warning"),
+        _issue(c("authentication.result").isin("success", "failure") & c("action.outcome").isin("success", "failure") & (c("authentication.result") != c("action.outcome")), "$.authentication.result", "outcome_consistency", "the action's outcome differs from the result"),
         _issue((c("quality.status") == "partial") & (F.size("quality.missing_fields") == 0) & (F.size("quality.warnings") == 0), "$.quality", "partial_explanation", "a partial event needs a missing field or a warning"),
-        _issue(F.exists(F.map_keys("extensions"), lambda k: ~k.rlike("^[a-z][a-z0-9_]*$")), "$.extensions", "vendor_namespace", "extension namespaces are snake_case"),
         _issue(F.sha2(F.encode("traceability.raw_event.content", "utf-8"), 256) != c("traceability.raw_sha256"), "$.traceability.raw_sha256", "raw_integrity", "the embedded text doesn't have the recorded hash"),
     ]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*checks))))
+    odd = F.filter(F.map_keys("extensions"), lambda k: ~k.rlike("^[a-z][a-z0-9_]*$"))
+    named = F.transform(odd, lambda k: F.struct(F.concat(F.lit("$.extensions."), k).alias("path"), F.lit("vendor_namespace").alias("rule"), F.lit("extension namespaces are snake_case").alias("message")))
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*checks)), F.coalesce(named, F.array()))))
 
 
 def validate(events: DataFrame) -> DataFrame:
@@ -69,11 +69,11 @@ DOCUMENT = {
     "network": {"transport": ("tcp", "udp", "icmp", "icmpv6", "gre", "other", "unknown"), "application_protocol": str, "direction": ("inbound", "outbound", "internal", "external", "unknown"), "bytes": (0, None), "packets": (0, None)},
     "action!": {"original!": str, "normalized!": ("allow", "deny", "block", "detect", "connect", "disconnect", "authenticate", "unknown"), "outcome!": ("success", "failure", "unknown"), "reason": str},
     "severity!": {"original!": str, "normalized!": (0, 10), "label!": LABELS},
-    "threat": {"name!": str, "signature_id": str, "category": _SNAKE, "confidence": (0, 1)},
+    "threat": {"name!": str, "signature_id": str, "category": _SNAKE, "confidence": (0.0, 1.0)},
     "authentication": {"user!": str, "method": str, "result!": ("success", "failure", "unknown"), "failure_reason": str},
     "http": {"method": re.compile("^[A-Z]+$"), "host": str, "path": re.compile("^/"), "status_code": (100, 599), "user_agent": str},
     "traceability!": {"raw_event_id!": _UUID, "raw_sha256!": _HEX, "source_pack!": {"name!": str, "version!": str}, "parser!": {"name!": str, "version!": str}, "raw_event": {"encoding!": str, "content_type!": str, "content!": str}},
-    "quality!": {"status!": ("valid", "partial", "invalid", "unknown"), "parsing_confidence!": (0, 1), "missing_fields!": list, "warnings!": list},
+    "quality!": {"status!": ("valid", "partial", "invalid", "unknown"), "parsing_confidence!": (0.0, 1.0), "missing_fields!": list, "warnings!": list},
     "extensions": dict,
 }
 
@@ -105,7 +105,8 @@ def _check(value, rule, path: str) -> Iterator[tuple[str, str]]:
         elif path.endswith("missing_fields") and len(set(value)) < len(value):
             yield path, "uniqueItems"
     elif isinstance(rule, tuple) and len(rule) == 2 and not isinstance(rule[0], str):
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
+        whole = isinstance(rule[0], int)  # 5.0 is an integer, 5.5 and what isn't finite are none
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or whole and value % 1 != 0:
             yield path, "type"
         elif value < rule[0]:
             yield path, "minimum"
@@ -135,10 +136,10 @@ def _check(value, rule, path: str) -> Iterator[tuple[str, str]]:
 
 
 def document_issues(text: str | None) -> list[dict[str, str]]:
-    """Structural issues of one JSON document: paths, keywords; sorted and distinct."""
+    """Structural issues of one JSON document: paths, keywords; sorted and distinct. What can't be read as JSON has the one issue ``json``."""
     try:
         document = json.loads(text or "")
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than a document can be
         return [{"path": "$", "rule": "json"}]
     found = set(_check(document, DOCUMENT, "$"))
     if isinstance(document, dict):

@@ -5,7 +5,6 @@ The SQL never parses a log line: it derives the expected fields from the columns
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +15,10 @@ from ..functions.text import valid_ip
 from ..operators import collect, deliver, export, metrics, store
 from ..operators.validate import structural_issues, validate
 from ..sources.events import render, spread, table, uuid_of
+from ..sources.shared import new_path
 from ..streaming import stages
 from .normalize import normalize
-from .packs import parse
+from .packs import parse, parse_only
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,13 +61,30 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(spread(table(spark, sf_dir, "events")))
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the unified events and of the event table made from the events: written once an application and input, then read by all queries, as searches and dashboards read what streams have stored."""
+    events = table(spark, sf_dir, "events")
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(events.inputFiles())))
+    if key not in _STORED:
+        path = new_path(spark, "events")
+        made = validate(normalize(parse(raw(spark, sf_dir)), F.col("ingested_at") + F.expr("INTERVAL 1 SECOND")))
+        made.drop("text", "issues").write.parquet(f"{path}/unified")
+        store.write_events(spark.read.parquet(f"{path}/unified"), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(normalize(parse(raw(spark, sf_dir)), F.col("ingested_at") + F.expr("INTERVAL 1 SECOND")))
+    """All events in the unified schema, those that can't be stored too."""
+    return spark.read.parquet(f"{stored(spark, sf_dir)}/unified")
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored event table."""
-    return store.event_rows(unified(spark, sf_dir).where("storable"))
+    return spark.read.parquet(f"{stored(spark, sf_dir)}/events")
 
 
 def _field(name: str, kind: str = "string") -> Column:
@@ -91,31 +108,31 @@ def issue_counts(spark, sf_dir):
 
 @query("""x: SELECT e AS seq, 'Deny' AS action, CASE WHEN e % 2 = 0 THEN 'tcp' ELSE 'udp' END AS protocol, sip AS src_ip, sport AS src_port, dip AS dst_ip, dport::INT AS dst_port, 'EDGE' AS acl_name, 'acl_deny' AS event_type, printf('edge-%d', u % 10) AS hostname, 4 AS severity, 'warning' AS severity_name FROM x WHERE k = 0""")
 def asa_deny_fields(spark, sf_dir):
-    found = parse(raw(spark, sf_dir)).where((F.col("pack") == "cisco_asa") & (_field("message_id") == "106023"))
+    found = parse_only(raw(spark, sf_dir), "cisco_asa").where((_field("message_id") == "106023"))
     return found.select("seq", *[_field(n) for n in ("action", "protocol", "src_ip")], _field("src_port", "long"), _field("dst_ip"), _field("dst_port", "int"), *[_field(n) for n in ("acl_name", "event_type", "hostname")], _field("severity", "int"), _field("severity_name"))
 
 
 @query("""x: SELECT e AS seq, ['302013', '302014', '106100', '111008'][m % 4 + 1] AS message_id, ['Built', 'Teardown', 'permitted', NULL][m % 4 + 1] AS action, ['inbound', 'outbound', NULL, NULL][m % 4 + 1] AS direction, CASE WHEN m % 4 < 2 THEN e END AS connection_id, CASE WHEN m % 4 < 3 THEN sip END AS src_ip, CASE WHEN m % 4 < 3 THEN dport::INT END AS dst_port, ['connection_lifecycle', 'connection_lifecycle', 'acl_hit', NULL][m % 4 + 1] AS event_type FROM x WHERE k = 1""")
 def asa_connection_fields(spark, sf_dir):
-    found = parse(raw(spark, sf_dir)).where((F.col("pack") == "cisco_asa") & (_field("message_id") != "106023"))
+    found = parse_only(raw(spark, sf_dir), "cisco_asa").where((_field("message_id") != "106023"))
     return found.select("seq", _field("message_id"), _field("action"), _field("direction"), _field("connection_id", "long"), _field("src_ip"), _field("dst_port", "int"), _field("event_type"))
 
 
 @query("""x: SELECT e AS seq, printf('FG-%d', u % 10) AS hostname, printf('%010d', e) AS log_id, CASE WHEN k = 2 THEN 'traffic' ELSE 'event' END AS event_type, CASE WHEN k = 2 THEN ['accept', 'deny'][m % 2 + 1] ELSE 'login' END AS action, CASE WHEN k = 2 THEN sip END AS src_ip, CASE WHEN k = 2 THEN e % 1000 END AS sent_bytes, CASE WHEN k = 3 THEN printf('login of u%d', u) END AS message, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS event_timestamp, CASE WHEN k = 3 THEN 'info' ELSE 'medium' END AS severity_normalized, CASE WHEN k = 2 THEN 'traffic.forward' ELSE 'event.user' END AS event_category_normalized FROM x WHERE k IN (2, 3)""")
 def forti_fields(spark, sf_dir):
-    found = parse(raw(spark, sf_dir)).where("pack = 'fortinet_fortigate'")
+    found = parse_only(raw(spark, sf_dir), "fortinet_fortigate")
     return found.select("seq", *[_field(n) for n in ("hostname", "log_id", "event_type", "action", "src_ip")], _field("sent_bytes", "long"), *[_field(n) for n in ("message", "event_timestamp", "severity_normalized", "event_category_normalized")])
 
 
 @query("""x: SELECT e AS seq, printf('node-%d', u % 10) AS hostname, ['cron', 'sshd'][m % 3 + 1] AS process, e % 9000 AS pid, CASE WHEN m % 3 = 0 THEN printf('job %d finished', e) ELSE printf('session %d opened', e) END AS message, [4, 10][m % 3 + 1] AS syslog_facility, ['auth', 'authpriv'][m % 3 + 1] AS syslog_facility_name, (e % 8)::INT AS severity, ['rfc3164', 'rfc5424'][m % 3 + 1] AS syslog_variant FROM x WHERE k = 4 AND m % 3 < 2""")
 def linux_fields(spark, sf_dir):
-    found = parse(raw(spark, sf_dir)).where("pack = 'generic_linux_syslog' and status = 'success'")
+    found = parse_only(raw(spark, sf_dir), "generic_linux_syslog").where("status = 'success'")
     return found.select("seq", _field("hostname"), _field("process"), _field("pid", "long"), _field("message"), _field("syslog_facility", "int"), _field("syslog_facility_name"), _field("severity", "int"), _field("syslog_variant"))
 
 
 @query("""x: SELECT e AS seq, ['alert', 'flow', 'dns', 'http', 'http'][m % 5 + 1] AS event_type, sip AS src_ip, CASE WHEN m % 5 = 4 THEN 70000 ELSE sport END AS src_port, dip AS dest_ip, CASE WHEN m % 5 = 0 THEN printf('Rule %d', e % 50) END AS alert_signature, CASE WHEN m % 5 = 1 THEN e % 5000 END AS flow_bytes_toserver, CASE WHEN m % 5 = 2 THEN printf('h%d.example', e % 100) END AS dns_rrname, CASE WHEN m % 5 > 2 THEN 200 END AS http_status FROM x WHERE k = 5""")
 def eve_fields(spark, sf_dir):
-    found = parse(raw(spark, sf_dir)).where("pack = 'suricata_eve'")
+    found = parse_only(raw(spark, sf_dir), "suricata_eve")
     return found.select("seq", _field("event_type"), _field("src_ip"), _field("src_port", "long"), _field("dest_ip"), _field("alert.signature"), _field("flow.bytes_toserver", "long"), _field("dns.rrname"), _field("http.status", "int"))
 
 
@@ -260,9 +277,39 @@ def facet_products(spark, sf_dir):
     return store.facet(rows(spark, sf_dir), "product", "Fortinet")
 
 
-@query("x: SELECT code, count(*) AS n FROM (SELECT unnest(CASE WHEN k = 5 AND label = 'unknown' THEN ['$.quality.warnings:severity_uncertainty', '$.quality.status:invalid'] ELSE ['$.quality.status:invalid'] END) AS code FROM x WHERE quality = 'invalid') GROUP BY 1")
+@query("x: SELECT code, count(*) AS n FROM (SELECT unnest(CASE WHEN k = 5 AND label = 'unknown' THEN ['$.severity.label:severity_uncertainty', '$.quality.status:invalid'] ELSE ['$.quality.status:invalid'] END) AS code FROM x WHERE quality = 'invalid') GROUP BY 1")
 def quarantine_codes(spark, sf_dir):
-    return store.quarantine_rows(unified(spark, sf_dir)).select(F.explode("error_codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{stored(spark, sf_dir)}/quarantine").select(F.explode("error_codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("x: SELECT count(*) AS total, count(DISTINCT id) AS distinct_events FROM x WHERE quality <> 'invalid'")
+def store_totals(spark, sf_dir):
+    return store.totals(rows(spark, sf_dir))
+
+
+@query("x: SELECT count(*) AS quarantined, 0::BIGINT AS storage_failures FROM x WHERE quality = 'invalid' AND ingested + INTERVAL 1 SECOND < TIMESTAMP '2024-01-15 00:00:00'")
+def quarantine_range(spark, sf_dir):
+    return store.quarantine_summary(spark.read.parquet(f"{stored(spark, sf_dir)}/quarantine"), end="2024-01-15 00:00:00")
+
+
+@query("x: SELECT id AS event_id, action FROM x WHERE quality <> 'invalid' ORDER BY ingested DESC, id DESC LIMIT 100")
+def newest_events(spark, sf_dir):
+    return store.newest_inserted(rows(spark, sf_dir).withColumn("_at", F.struct("ingested_at", "event_id")), "_at").select("event_id", "action")
+
+
+@query("x: SELECT id AS event_id FROM x WHERE quality <> 'invalid' AND (ends AND (sip LIKE '%10.1.%' OR dip LIKE '%10.1.%'))")
+def text_in_columns(spark, sf_dir):
+    return rows(spark, sf_dir).where(store.contains_any("10.1.", "vendor", "source_ip", "destination_ip")).select("event_id")
+
+
+@query("x: SELECT observed AS observed_at, id AS event_id, vendor, action, label AS severity_label, quality AS quality_status FROM x WHERE quality <> 'invalid' ORDER BY observed DESC, id LIMIT 500")
+def investigation_table(spark, sf_dir):
+    return store.investigation(rows(spark, sf_dir)).select("observed_at", "event_id", "vendor", "action", "severity_label", "quality_status")
+
+
+@query("x: SELECT id AS event_id, id AS raw_event_id, coalesce(pack, 'unknown_source_pack') AS source_pack_name, CASE WHEN pack IS NULL THEN '0.0.0' ELSE '1.0.0' END AS source_pack_version, ingested + INTERVAL 1 SECOND AS normalized_at FROM x WHERE quality <> 'invalid' ORDER BY observed DESC, id LIMIT 100")
+def provenance_table(spark, sf_dir):
+    return store.investigation(rows(spark, sf_dir), store.PROVENANCE, 100).select("event_id", "raw_event_id", "source_pack_name", "source_pack_version", "normalized_at")
 
 
 @query("x: SELECT count(*) AS total, count(*) FILTER (quality = 'valid') AS valid, count(*) FILTER (quality <> 'valid') AS quarantine, '1.0.0' AS schema_version FROM x WHERE quality <> 'invalid'")
@@ -345,9 +392,9 @@ def dup_flag_documents(spark, sf_dir):
     return collect.flag_duplicates(docs.select("doc_id", "sha"), "sha", "doc_id").select("doc_id", "duplicate")
 
 
-@query("SELECT reason, count(*) AS n, sum(strlen(text)) AS bytes FROM (SELECT text, CASE WHEN strlen(text) = 0 THEN 'empty_event' WHEN strlen(text) > 4096 THEN 'oversized_event' ELSE 'accepted' END AS reason FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+@query("SELECT reason, count(*) AS n, sum(strlen(text)) AS bytes FROM (SELECT text, CASE WHEN text IS NULL THEN 'invalid_payload' WHEN strlen(text) = 0 THEN 'empty_event' WHEN strlen(text) > 4096 THEN 'oversized_event' ELSE 'accepted' END AS reason FROM documents) GROUP BY 1")
 def reject_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("event_id"), F.col("source").alias("source_id"), F.lit(None).cast("string").alias("source_ip"), F.col("text").cast("binary").alias("payload"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("event_id"), F.col("source").alias("source_id"), F.lit(None).cast("string").alias("source_ip"), F.col("text").cast("binary").alias("payload"))
     return collect.ingest(docs, 4096).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.sum("raw_size").alias("bytes"))
 
 
@@ -411,6 +458,17 @@ def replay_by_ids(spark, sf_dir):
     return collect.replay(lines, asked).select("event_id", "error_code")
 
 
+@query("x: SELECT count(*) AS attempted, count(*) FILTER (code IS NULL) AS published, count(*) FILTER (code IS NOT NULL) AS failed, array_to_string(list_sort(['ARCHIVE_READ_FAILED=' || count(*) FILTER (code = 'ARCHIVE_READ_FAILED'), 'ARCHIVE_VALIDATION_FAILED=' || count(*) FILTER (code = 'ARCHIVE_VALIDATION_FAILED')]), ',') AS errors FROM (SELECT CASE WHEN e % 6 = 0 THEN 'ARCHIVE_READ_FAILED' WHEN e % 10 = 0 THEN 'ARCHIVE_VALIDATION_FAILED' END AS code FROM x WHERE e % 2 = 0)")
+def replay_totals(spark, sf_dir):
+    return collect.replay_summary(replay_by_ids(spark, sf_dir))
+
+
+@query("SELECT count(*) AS received, count(*) FILTER (strlen(text) BETWEEN 1 AND 4096) AS accepted, count(*) FILTER (text IS NULL OR strlen(text) NOT BETWEEN 1 AND 4096) AS rejected, (SELECT round(avg(n_chars), 3) FROM (SELECT n_chars FROM documents ORDER BY doc_id DESC LIMIT 1000)) AS latency_mean_ms FROM documents")
+def collector_health(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("s").alias("source_id"), F.lit(None).cast("string").alias("source_ip"), F.col("text").cast("binary").alias("payload"), "n_chars")
+    return collect.health(collect.ingest(docs, 4096), "n_chars", "doc_id")
+
+
 @query("x: SELECT id AS event_id FROM x WHERE ingested >= TIMESTAMP '2024-01-15 00:00:00'")
 def replay_since(spark, sf_dir):
     return collect.replay_since(raw(spark, sf_dir), "2024-01-15 00:00:00").select("event_id")
@@ -501,10 +559,7 @@ def load_schedule(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str, transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """The result of a stream over the rendered events, run to the end of what is there, from a table in the shared folder."""
-    import tempfile
-    import uuid
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vantalog-")).rstrip("/") + f"/stream-{name}-{uuid.uuid4().hex}"
+    root = new_path(spark, f"stream-{name}")
     sent = collect.envelope(collect.ingest(raw(spark, sf_dir)))
     stages.publish(sent, root, stages.RAW)
     stream = transform(stages.topic(spark, root, stages.RAW, sent.schema))
@@ -538,9 +593,7 @@ def stream_rollup(spark, sf_dir):
 @query("""x: SELECT id AS event_id, CASE WHEN e % 11 = 0 OR fails > 5 THEN 'dead-letter' WHEN quality = 'invalid' THEN 'quarantine' ELSE 'events' END AS outcome, CASE WHEN e % 11 = 0 THEN 0 ELSE least(fails, 5) END::INT AS attempt FROM (SELECT x.*, CASE WHEN event_type = 'error' THEN e % 7 ELSE 0 END AS fails FROM x JOIN events ON e = event_id)""")
 def stream_outcomes(spark, sf_dir):
     """Where each event ends when some fail for a number of attempts and some break the contract: a row per output row."""
-    import uuid
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vantalog-")).rstrip("/") + f"/stream-outcomes-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream-outcomes")
     number, out = F.right("event_id", F.lit(12)).cast("long"), f"{root}/out"
     kinds = table(spark, sf_dir, "events").select(uuid_of(F.col("event_id")).alias("event_id"), F.when(F.col("event_type") == "error", F.col("event_id") % 7).otherwise(0).alias("fails"))
     sent = collect.envelope(collect.ingest(raw(spark, sf_dir))).join(kinds, "event_id").withColumns({"raw_size": F.col("raw_size") + F.when(number % 11 == 0, 1).otherwise(0), "attempt": F.lit("0")})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsers
-from ..functions.text import built, decoded, groups, let, strip, valid_ip, zoned_timestamp
+from ..functions.text import Layout, built, decoded, let, strip, valid_ip, zoned_timestamp
 
 ISSUE = "struct<code:string,message:string,severity:string,field:string>"
 PARSED = f"struct<status:string,issues:array<{ISSUE}>,fields:map<string,string>>"
@@ -77,7 +77,7 @@ class Pack:
             value = {n: F.coalesce(F.try_element_at(raw, F.lit(s)), F.lit(d)) for n, s, _, d in self.fields}
             more = self.after(raw, text) if self.after else {}
             made = F.map_filter(F.create_map(*[v for n, c in (value | more).items() for v in (F.lit(n), c)]), lambda _, v: v.isNotNull())
-            missing = F.array_compact(F.array(*[F.when(value[n].isNull(), issue("FIELD_EXTRACTION_FAILED", f"Required field '{n}' is missing", "error", n)) for n, _, required, _ in self.fields if required]))
+            missing = F.array_compact(F.array(*[F.when(value[n].isNull(), issue("FIELD_EXTRACTION_FAILED", f"{n} is needed and was not found", "error", n)) for n, _, required, _ in self.fields if required]))
             good = parsed(F.when(F.size(missing) > 0, "partial").otherwise("success"), missing, made)
             return F.when(raw.isNull(), parsed("failed", F.array(issue("SOURCE_PACK_FAILED", f"The payload isn't {self.format}", "critical")), F.lit(None))).otherwise(good)
 
@@ -87,13 +87,28 @@ class Pack:
 # Names of syslog severities and facilities.
 SEVERITIES = ("emergency", "alert", "critical", "error", "warning", "notice", "informational", "debug")
 FACILITIES = {0: "kern", 1: "user", 2: "mail", 3: "daemon", 4: "auth", 5: "syslog", 6: "lpr", 7: "news", 8: "uucp", 9: "cron", 10: "authpriv", 11: "ftp"} | {16 + i: f"local{i}" for i in range(8)}
-# The firewall's message layouts, by message id, with the event type each stands for.
-_HEADER = (r"(?:<(\d{1,3})>\s*)?(?:([A-Za-z]{3}\s+\d{1,2}\s+\d{4}\s+\d{2}:\d{2}:\d{2})\s+)?(?:(\S+)\s*:\s*)?%ASA-(\d)-(\d{6}):\s*(.*)", ["priority", "timestamp_raw", "hostname", "severity", "message_id", "message_text"])
-_ADDRESS = r"[0-9a-fA-F.:]+"
+def _ends(between: str, address: str = ":", port: str = "/{}", loose: bool = False) -> Layout:
+    """Source, what stands between, destination. ``loose``: ports may lack, as in messages on protocols that have none."""
+    made = []
+    for side in ("src", "dst"):
+        of = Layout(*[x for x in (port.split("{}")[0], Layout.field(f"{side}_port", r"\d+"), port.split("{}")[1])])
+        made.append(Layout(Layout.field(f"{side}_interface", r"\S+"), address, Layout.field(f"{side}_ip", "[0-9A-Fa-f:.]+"), of.maybe() if loose else of))
+    return Layout(made[0], between, made[1])
+
+
+#: What stands before a firewall message's text: syslog priority, date and device, each of which may lack, and its tag with severity and id.
+_HEADER = Layout(
+    Layout("<", Layout.field("priority", r"\d{1,3}"), r">\s*").maybe(),
+    Layout(Layout.field("timestamp_raw", r"[A-Za-z]{3}\s+\d{1,2}\s+\d{4}\s+(?:\d\d:){2}\d\d"), r"\s+").maybe(),
+    Layout(Layout.field("hostname", r"\S+"), r"\s*:\s*").maybe(),
+    "%ASA-", Layout.field("severity", r"\d"), "-", Layout.field("message_id", r"\d{6}"), r":\s*", Layout.field("message_text", ".*"),
+)
+_PROTOCOL, _ACL = Layout.field("protocol", r"\S+"), r"\S+"
+#: Event type and layout of the messages that are read beyond their header, by the ids that have them.
 _BODIES = {
-    ("106023",): ("acl_deny", rf'(Deny)\s+(\S+)\s+src\s+(\S+):({_ADDRESS})(?:/(\d+))?\s+dst\s+(\S+):({_ADDRESS})(?:/(\d+))?\s+by\s+access-group\s+"([^"]+)"', "action protocol src_interface src_ip src_port dst_interface dst_ip dst_port acl_name"),
-    ("302013", "302014"): ("connection_lifecycle", rf"(Built|Teardown)\s+(inbound|outbound)\s+(\S+)\s+connection\s+(\d+)\s+for\s+(\S+):({_ADDRESS})/(\d+)\s*(?:\([^)]*\))?\s*to\s+(\S+):({_ADDRESS})/(\d+)", "action direction protocol connection_id src_interface src_ip src_port dst_interface dst_ip dst_port"),
-    ("106100",): ("acl_hit", rf"access-list\s+(\S+)\s+(permitted|denied)\s+(\S+)\s+(\S+)/({_ADDRESS})\((\d+)\)\s*->\s*(\S+)/({_ADDRESS})\((\d+)\)", "acl_name action protocol src_interface src_ip src_port dst_interface dst_ip dst_port"),
+    ("106023",): ("acl_deny", Layout(Layout.field("action", "Deny"), r"\s+", _PROTOCOL, r"\s+src\s+", _ends(r"\s+dst\s+", loose=True), r'\s+by\s+access-group\s+"', Layout.field("acl_name", '[^"]+'), '"')),
+    ("106100",): ("acl_hit", Layout(r"access-list\s+", Layout.field("acl_name", _ACL), r"\s+", Layout.field("action", "permitted|denied"), r"\s+", _PROTOCOL, r"\s+", _ends(r"\s*->\s*", "/", r"\({}\)"))),
+    ("302013", "302014"): ("connection_lifecycle", Layout(Layout.field("action", "Built|Teardown"), r"\s+", Layout.field("direction", "inbound|outbound"), r"\s+", _PROTOCOL, r"\s+connection\s+", Layout.field("connection_id", r"\d+"), r"\s+for\s+", _ends(r"\s*(?:\([^)]*\))?\s*to\s+"))),
 }
 
 
@@ -101,9 +116,9 @@ def _table(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), key)
 
 
-def _body(message: Column, kind: str, pattern: str, names: str) -> Column:
+def _body(message: Column, kind: str, layout: Layout) -> Column:
     """A message's fields and its event type; null if it doesn't have the layout."""
-    return let(groups(message, pattern, names.split(), whole=False), lambda g: F.when(g.isNotNull(), F.map_concat(g, F.create_map(F.lit("event_type"), F.lit(kind)))))
+    return let(layout.of(message, whole=False), lambda g: F.when(g.isNotNull(), F.map_concat(g, F.create_map(F.lit("event_type"), F.lit(kind)))))
 
 
 def _asa(text: Column) -> Column:
@@ -114,11 +129,11 @@ def _asa(text: Column) -> Column:
         base = F.map_concat(F.map_filter(h, lambda k, _: k != "message_text"), F.create_map(F.lit("severity_name"), F.coalesce(name, F.lit("unknown")), F.lit("message_text"), message))
         body = F.coalesce(*[F.when(own.isin(*ids), _body(message, *layout)) for ids, layout in _BODIES.items()])
         known = own.isin(*[i for ids in _BODIES for i in ids])
-        trouble = F.when(~known, F.array(issue("ASA_UNKNOWN_MESSAGE_ID", F.concat(F.lit("No parser registered for ASA message ID "), own), "warning", "message_id"))).when(body.isNull(), F.array(issue("ASA_MESSAGE_BODY_NO_MATCH", "The message body doesn't have the layout of its message id", "error", "message")))
+        trouble = F.when(~known, F.array(issue("ASA_UNKNOWN_MESSAGE_ID", F.concat(F.lit("messages with id "), own, F.lit(" are read no further than their header")), "warning", "message_id"))).when(body.isNull(), F.array(issue("ASA_MESSAGE_BODY_NO_MATCH", "the text doesn't have the layout of its message id", "error", "message")))
         return parsed(F.when(trouble.isNull(), "success").otherwise("partial"), F.coalesce(trouble, F.array().cast(f"array<{ISSUE}>")), F.coalesce(F.map_concat(base, body), base))
 
-    none = parsed("failed", F.array(issue("ASA_HEADER_NO_MATCH", "Payload does not match the Cisco ASA syslog header grammar")), F.lit(None))
-    return let(groups(strip(text), *_HEADER), lambda h: F.when(h.isNull(), none).otherwise(with_header(h)))
+    none = parsed("failed", F.array(issue("ASA_HEADER_NO_MATCH", "the firewall's tag and what stands before it can't be read")), F.lit(None))
+    return let(_HEADER.of(strip(text)), lambda h: F.when(h.isNull(), none).otherwise(with_header(h)))
 
 
 EVE_KINDS = ("alert", "flow", "dns", "http")
@@ -134,22 +149,69 @@ def _eve(text: Column) -> Column:
         known = kind.isin(*EVE_KINDS) & (type_of("event_type") == "STRING")
         time = F.when(type_of("timestamp") == "STRING", got("timestamp"))
         checks = [
-            F.when(~F.coalesce(known, F.lit(False)), issue("SURICATA_EVENT_TYPE_INVALID", "event_type must be one of alert, flow, dns or http", "error", "event_type")),
-            F.when(time.isNull(), issue("SURICATA_TIMESTAMP_MISSING", "timestamp is required", "error", "timestamp")).when(zoned_timestamp(time).isNull(), issue("SURICATA_TIMESTAMP_INVALID", "timestamp must be an ISO 8601 value with timezone", "error", "timestamp")),
-            *[F.when(valid_ip(F.when(type_of(f) == "STRING", got(f))).isNull(), issue("SURICATA_IP_INVALID", f"{f} must be a valid IPv4 or IPv6 address", "error", f)) for f in ("src_ip", "dest_ip")],
-            *[F.when((type_of(f) != "absent") & ~((type_of(f) == "BIGINT") & F.coalesce(got(f, "bigint").between(0, 65535), F.lit(False))), issue("SURICATA_PORT_INVALID", f"{f} must be an integer from 0 to 65535", "error", f)) for f in ("src_port", "dest_port")],
-            F.when(known & ~F.coalesce(*[F.when(kind == k, type_of(k).startswith("OBJECT")) for k in EVE_KINDS]), issue("SURICATA_EVENT_BODY_MISSING", F.concat(kind, F.lit(" event body must be a JSON object")), "error", kind)),
+            F.when(~F.coalesce(known, F.lit(False)), issue("SURICATA_EVENT_TYPE_INVALID", "the event type is none of the four that are mapped", "error", "event_type")),
+            F.when(time.isNull(), issue("SURICATA_TIMESTAMP_MISSING", "no timestamp", "error", "timestamp")).when(zoned_timestamp(time).isNull(), issue("SURICATA_TIMESTAMP_INVALID", "the timestamp isn't ISO 8601 with a zone", "error", "timestamp")),
+            *[F.when(valid_ip(F.when(type_of(f) == "STRING", got(f))).isNull(), issue("SURICATA_IP_INVALID", f"{f} holds no IP address", "error", f)) for f in ("src_ip", "dest_ip")],
+            *[F.when((type_of(f) != "absent") & ~((type_of(f) == "BIGINT") & F.coalesce(got(f, "bigint").between(0, 65535), F.lit(False))), issue("SURICATA_PORT_INVALID", f"{f} holds no port number", "error", f)) for f in ("src_port", "dest_port")],
+            F.when(known & ~F.coalesce(*[F.when(kind == k, type_of(k).startswith("OBJECT")) for k in EVE_KINDS]), issue("SURICATA_EVENT_BODY_MISSING", F.concat(F.lit("no object under "), kind), "error", kind)),
         ]
         flat = F.create_map(*[x for n in _EVE_TEXT for x in (F.lit(n), got(n))], *[x for k, names in _EVE_NESTED.items() for n in names.split() for x in (F.lit(f"{k}.{n}"), got(f"{k}.{n}"))])
         return let(F.array_compact(F.array(*checks)), lambda issues: parsed(F.when(F.size(issues) > 0, "failed").otherwise("success"), issues, F.map_filter(flat, lambda _, x: x.isNotNull())))
 
     document = F.try_parse_json(F.when(F.is_valid_utf8(text), text))
-    failed = parsed("failed", F.array(issue("SOURCE_PACK_FAILED", "Suricata EVE payload must be a JSON object", "critical")), F.lit(None))
+    failed = parsed("failed", F.array(issue("SOURCE_PACK_FAILED", "the payload is no JSON object", "critical")), F.lit(None))
     return let(document, lambda v: F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), with_object(v)).otherwise(failed))
 
 
-# Names of the key-value fields and the keys they come from.
-FORTI_FIELDS = "timestamp=eventtime hostname=devname device_id=devid log_id=logid vdom=vd event_type=type event_subtype=subtype level=level action=action reason=reason status=status src_ip=srcip src_port=srcport src_intf=srcintf dst_ip=dstip dst_port=dstport dst_intf=dstintf protocol=proto src_country=srccountry dst_country=dstcountry policy_id=policyid policy_name=policyname service=service session_id=sessionid duration=duration sent_bytes=sentbyte rcvd_bytes=rcvdbyte sent_pkts=sentpkt rcvd_pkts=rcvdpkt message=msg log_description=logdesc user=user virus_name=virus virus_id=virusid filename=filename url=url attack_signature=attack app_name=app app_category=appcat app_risk=apprisk"
+# Names of the firewall's fields and the keys they come from.
+FORTI_FIELDS = {
+    # what happened
+    "event_type": "type",
+    "event_subtype": "subtype",
+    "action": "action",
+    "status": "status",
+    "reason": "reason",
+    "level": "level",
+    "message": "msg",
+    "log_description": "logdesc",
+    # when and where it was seen
+    "timestamp": "eventtime",
+    "hostname": "devname",
+    "device_id": "devid",
+    "log_id": "logid",
+    "vdom": "vd",
+    # the connection
+    "src_ip": "srcip",
+    "src_port": "srcport",
+    "src_intf": "srcintf",
+    "src_country": "srccountry",
+    "dst_ip": "dstip",
+    "dst_port": "dstport",
+    "dst_intf": "dstintf",
+    "dst_country": "dstcountry",
+    "protocol": "proto",
+    "service": "service",
+    "session_id": "sessionid",
+    "duration": "duration",
+    # its volume
+    "sent_bytes": "sentbyte",
+    "rcvd_bytes": "rcvdbyte",
+    "sent_pkts": "sentpkt",
+    "rcvd_pkts": "rcvdpkt",
+    # policy and user
+    "policy_id": "policyid",
+    "policy_name": "policyname",
+    "user": "user",
+    # what was found in it
+    "virus_name": "virus",
+    "virus_id": "virusid",
+    "filename": "filename",
+    "url": "url",
+    "attack_signature": "attack",
+    "app_name": "app",
+    "app_category": "appcat",
+    "app_risk": "apprisk",
+}
 FORTI_LEVELS = {"emergency": "critical", "alert": "critical", "critical": "critical", "error": "high", "warning": "medium", "notice": "medium", "information": "info", "debug": "info"}
 
 
@@ -167,7 +229,7 @@ def _linux_after(raw: Column, _: Column) -> dict[str, Column]:
 PACKS: tuple[Pack, ...] = (
     Pack("cisco_asa", "Cisco", "ASA", 100, (Rule("regex", (r"%ASA-\d-\d{6}:", r"ASA-\d-\d{6}")),), "syslog", "cisco_asa.syslog", parse=_asa),
     Pack("suricata_eve", "OISF", "Suricata", 90, (Rule("regex", (r'"event_type"\s*:\s*"(alert|flow|dns|http)"',)), Rule("keyword", ('"flow_id"', '"suricata_version"'))), "json", "suricata.eve.json", parse=_eve),
-    Pack("fortinet_fortigate", "Fortinet", "FortiGate", 60, (Rule("keyword", ("devname=", "devid=")), Rule("regex", (r'logid="?\d{10}"?',))), "key_value", "fortinet_fortigate.key_value", tuple((n, s, n in ("hostname", "event_type"), None) for n, s in (p.split("=") for p in FORTI_FIELDS.split())), after=_forti_after),
+    Pack("fortinet_fortigate", "Fortinet", "FortiGate", 60, (Rule("keyword", ("devname=", "devid=")), Rule("regex", (r'logid="?\d{10}"?',))), "key_value", "fortinet_fortigate.key_value", tuple((n, s, n in ("hostname", "event_type"), None) for n, s in FORTI_FIELDS.items()), after=_forti_after),
     Pack("generic_linux_syslog", "Generic", "Linux Syslog", 10, (Rule("regex", (r"^<\d{1,3}>(\d\s)?[A-Za-z0-9:\-\.]+",)), Rule("keyword", ("sshd", "CRON", "systemd", "sudo", "kernel:"))), "syslog", "generic_linux_syslog.syslog", (("timestamp", "timestamp", False, None), ("hostname", "hostname", True, None), ("process", "appname", False, None), ("pid", "procid", False, None), ("message", "message", True, None), ("syslog_facility", "facility", False, None), ("severity", "severity_code", False, "unknown"), ("syslog_variant", "variant", False, None)), after=_linux_after),
 )
 
@@ -190,6 +252,13 @@ def detect(raw: DataFrame, packs: tuple[Pack, ...] = PACKS) -> DataFrame:
     return text.withColumn("pack", built(("detect", packs), lambda: F.coalesce(*[F.when(p.detect(F.col("text")), F.lit(p.pack_id)) for p in by_priority(packs)])))
 
 
+def parse_only(raw: DataFrame, pack_id: str, packs: tuple[Pack, ...] = PACKS) -> DataFrame:
+    """``parse`` for the events of one pack: all packs are tried for detection, and only that one's events are parsed."""
+    own = next(p for p in packs if p.pack_id == pack_id)
+    found = detect(raw, packs).where(F.col("pack") == pack_id)
+    return found.withColumn("_parsed", built(("parse", own), lambda: own.parsed(F.col("text")))).select("*", "_parsed.status", "_parsed.issues", "_parsed.fields").drop("_parsed")
+
+
 def parse(raw: DataFrame, packs: tuple[Pack, ...] = PACKS) -> DataFrame:
     """``detect`` with status (success, partial, failed, unrecognized), issues and fields. Never fails on a payload. All packs are one projection: a row is parsed only by the pack that it matched."""
     found = detect(raw, packs)
