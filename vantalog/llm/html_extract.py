@@ -36,8 +36,9 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search aler
 _TOKEN = re.compile(r"""<!--(?:.*?)(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to split() only
 _BLANKS = re.compile(r"[ \t\n\r\f\v\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_RAW_ENDS = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -80,7 +81,6 @@ class Page:
         self.pieces: list[tuple[int, str | None]] = []
         stack, at, size = [0], 0, len(source)
         pieces = self.pieces
-        low = None
         find = _TOKEN.search
         while at < size:
             m = find(source, at)
@@ -123,9 +123,8 @@ class Page:
             if tag not in INLINE:
                 self.blocks.append(len(stack) - 1)
             if tag in RAW:
-                low = low if low is not None else source.translate(_LOWER)  # A-Z only: lower() makes some characters two, and places differ
-                end = low.find("</" + tag, at)
-                at = size if end < 0 else end
+                end = _RAW_ENDS[tag].search(source, at)
+                at = end.start() if end else size
 
     def _hidden(self, tag: str, found: dict[str, str]) -> bool:
         if tag == "header":  # of the page, not of the article
@@ -215,7 +214,8 @@ class Page:
         for i in range(1, len(self.tag)):
             inside[i] = (inside[i] or inside[self.parent[i]]) and not self.drop[i]
         parts = [" " if text is None else text for node, text in self.pieces if inside[node]]
-        return " ".join(w for w in _BLANKS.split(html.unescape("".join(parts))) if w)
+        told = html.unescape("".join(parts))
+        return " ".join(told.split() if not _SEPARATORS.search(told) else (w for w in _BLANKS.split(told) if w))
 
     def at(self, path: str | None) -> str:
         """The text at the path (of several articles the best one), or at the page's own best container if the path has none."""

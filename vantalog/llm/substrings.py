@@ -15,13 +15,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, doc_key, texts
+from .common import batches, doc_key, saved, small, texts
 
 #: Bytes that the hash sees; a chunk ends where the top ``MASK_BITS`` of 16 bits are 0, so after 32 bytes on average, and after ``MOST`` at the latest.
 WINDOW, MASK_BITS, MOST = 16, 5, 256
 _CHUNK = "digest long, doc_id long, doc_key long, seq int, start int, size int, words int, before int, after int, again boolean"
 
 
+#: Tasks that the chunks of a crowded digest go to.
+_SALTS = 64
+
+
 def gear_table() -> np.ndarray:
     """16 random bits a byte, from a digest of the byte; 0 for NUL, which separates texts."""
     return np.array([0] + [xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(1, 256)], np.uint16)
@@ -90,19 +94,25 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", doc_key(F.col("text"))).where("doc_id is not null").mapInArrow(_rows, _CHUNK)
 
 
-def repeats(docs: DataFrame, least_words: int = 50, least_run: int = 12, within: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, least_words: int = 50, least_run: int = 12, within: bool = False, crowd: int = 2048) -> DataFrame:
     """doc_id, doc_key, start, n_bytes, n_words, first_doc_id: runs of chunks that an earlier document (smaller doc_id) holds, or, if ``within``, the document itself further up.
 
     A run is reported if it has ``least_run`` words at least and, with the chunks at its two ends, in which the repeat
     begins and ends, ``least_words``: so a repeat of that length is found, and shorter ones only if they nearly reach
     it. ``first_doc_id`` is the smallest document that holds the run's longest chunk (of several, the one held first). Rows that share a doc_id count as one
     document that holds all their texts: what they share is no repeat, but each text has its own runs, told apart by
-    ``doc_key``; rows equal in both have theirs once. Nothing is capped: a chunk in a third of all documents is aggregated before the shuffle and joined by
-    digest, never gathered.
+    ``doc_key``; rows equal in both have theirs once. Nothing is capped: a chunk in a third of all documents is aggregated before the shuffle, and digests
+    with more than ``crowd`` chunks are joined in several tasks each.
     """
     own = chunks(docs)
-    first = own.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.max("again").alias("_again")).where(F.expr("first_doc_id < _last") | (F.col("_again") & F.lit(within))).select(F.col("digest").alias("_digest"), "first_doc_id")
-    held = own.join(first, own["digest"] == first["_digest"]).where(F.expr("doc_id > first_doc_id") | (F.col("again") & F.lit(within)))
+    first = own.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.max("again").alias("_again"), F.count("*").alias("n")).where(F.expr("first_doc_id < _last") | (F.col("_again") & F.lit(within)))
+    first = saved(first.select(F.col("digest").alias("of"), "first_doc_id", "n"), "chunk-firsts")
+    # Digests of very many chunks go to several tasks: their chunks by document, their first holder to each.
+    hot = first.where(F.col("n") > crowd).select(F.col("of").alias("hot"))
+    salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))).cast("int").alias("salt")
+    spread = first.select("of", "first_doc_id", F.explode(F.when(F.col("n") > crowd, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("of_salt"))
+    salted = own.join(small(saved(hot, "chunk-crowds"), 16), F.col("digest") == F.col("hot"), "left").select("*", salt)
+    held = salted.join(spread, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).where(F.expr("doc_id > first_doc_id") | (F.col("again") & F.lit(within)))
     held = held.select("doc_id", "doc_key", "seq", "start", "size", "words", "before", "after", "first_doc_id").repartition("doc_id", "doc_key").dropDuplicates(["doc_id", "doc_key", "seq"])
     along = Window.partitionBy("doc_id", "doc_key").orderBy("seq")
     runs = held.withColumn("run", F.col("seq") - F.row_number().over(along)).groupBy("doc_id", "doc_key", "run").agg(
