@@ -144,7 +144,7 @@ def _chunks(most_bytes: int):
     """Runs of documents as numbered words: the distinct words' hashes, sorted, and each token's place among them; every document closes with an end."""
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, hashes = TaskContext.get().partitionId(), 0, WordHashes()
+        part, seq, hashes = TaskContext.get().partitionId(), 0, WordHashes(200_000)
         ids, train, own, size = [], [], [], 0
 
         def out():
@@ -153,7 +153,7 @@ def _chunks(most_bytes: int):
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(columns.values(), kinds, strict=True)], list(columns))
 
-        for batch in batches(rows, 4 << 20):
+        for batch in batches(rows, 2 << 20):
             for doc, text, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 if own and size + len(text or b"") > most_bytes:
                     yield out()
@@ -297,7 +297,7 @@ def _score(order: int, buckets: int, tokens: int, kinds: int, top: float, mass:
     return score
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 3, mass: float = 8.0, chunk_bytes: int = 4 << 20, bucket_tokens: int = 3 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 3, mass: float = 8.0, chunk_bytes: int = 3 << 20, bucket_tokens: int = 3 << 19) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of ``docs``.
 
     The model learns from all whole texts for which ``held_out`` is false, of which null ids are. Tokens are the words
