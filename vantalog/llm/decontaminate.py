@@ -6,6 +6,7 @@ places of the window, and each is followed to the longest verbatim match. Docume
 """
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -126,7 +127,7 @@ def _found(shard: Shard, blocks: list[Broadcast]) -> list[tuple[list, list, int,
     """Per text of the shard: spans, items, longest match, matches. Blocks are held one at a time."""
     found: dict[int, list[tuple[int, int, int | None, int]]] = {}
     for block in blocks:
-        items = block.value
+        items = SimpleNamespace(**block.value)
         place, asked, size = shard.matches(items)
         doc = np.searchsorted(shard.begins, place, "right") - 1
         columns = (doc, place - shard.begins[doc], size, asked - items.first[asked])
@@ -147,16 +148,16 @@ def _found(shard: Shard, blocks: list[Broadcast]) -> list[tuple[list, list, int,
 
 
 def item_blocks(benchmark: DataFrame, window: int, most_bytes: int) -> list[Broadcast]:
-    """The benchmark as broadcast blocks of at most ``most_bytes`` of text (or one item): the driver and a task hold one block of it at a time, whatever its size."""
+    """The benchmark as broadcast blocks of at most ``most_bytes`` of text (or one item): the driver and a task hold one block of it at a time, whatever its size. Blocks are plain arrays, which workers read without this package."""
     context, blocks, own, size = benchmark.sparkSession.sparkContext, [], [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text")).toLocalIterator():
         own.append((row[0], bytes(row[1]) if row[1] is not None else None))
         size += len(own[-1][1] or b"")
         if size >= most_bytes:
-            blocks.append(context.broadcast(Items(own, window)))
+            blocks.append(context.broadcast(vars(Items(own, window))))
             own, size = [], 0
     if own:
-        blocks.append(context.broadcast(Items(own, window)))
+        blocks.append(context.broadcast(vars(Items(own, window))))
     return blocks
 
 
