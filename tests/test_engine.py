@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from vantalog.operators import collect, export, metrics, store
+from vantalog.operators import collect, deliver, export, metrics, store
 from vantalog.operators.validate import document_issues, validate
 from vantalog.plans.normalize import normalize
 from vantalog.plans.packs import PACKS, by_priority, parse
@@ -88,6 +88,36 @@ def test_collection(raw):
     assert collect.split_frames(b"a\nb\nc") == ([b"a", b"b"], b"c") and collect.split_frames(b"x" * 10, 5) == ([b"x" * 10], b"")
 
 
+def test_archive_keeps_exact_bytes(spark, raw, tmp_path):
+    collect.archive(collect.ingest(raw), str(tmp_path / "archive"))
+    kept = spark.read.parquet(str(tmp_path / "archive"))
+    assert {r.name: bytes(r.payload) for r in kept.collect()} == {n: p for n, p in LINES.items() if p}
+    assert collect.replay(kept, raw).where("error_code is not null").select("error_code").collect() == [("ARCHIVE_READ_FAILED",)]
+
+
+def test_rejected_payloads_are_logged_with_a_sample(spark):
+    rows = spark.createDataFrame([("a", b"\xff" + b"x" * 600), ("b", None), ("c", b""), ("d", b"ok")], "event_id string, payload binary")
+    named = rows.withColumns({"source_id": F.lit(None).cast("string"), "source_ip": F.lit("192.0.2.1")})
+    found = {r.event_id: (r.reason, r.raw_size, len(r.sample) if r.sample is not None else None) for r in collect.rejected(collect.ingest(named, 100)).collect()}
+    assert found == {"a": ("oversized_event", 601, 512), "b": ("invalid_payload", None, None), "c": ("empty_event", 0, 0)}
+
+
+def test_delivery_decides_by_the_answers(spark):
+    def transport(documents):
+        if "down" in documents:
+            raise ConnectionError
+        return [int(d) for d in documents]
+
+    asked = [("a", "200"), ("b", "429"), ("c", "400")]
+    rows = spark.createDataFrame(asked, "event_id string, document string").coalesce(1)
+    answered = deliver.send(rows, transport).withColumn("result", deliver.outcome(F.col("status")))
+    first = {r.event_id: r.d for r in answered.select("event_id", deliver.decision(F.col("result"), F.lit(1)).alias("d")).collect()}
+    assert first == {"a": "ack", "b": "retry", "c": "dead_letter"}
+    assert answered.where("event_id = 'b'").select(deliver.decision(F.col("result"), F.lit(5))).collect() == [("dead_letter",)]
+    lost = spark.createDataFrame([*asked, ("d", "down")], "event_id string, document string").coalesce(1)
+    assert {r.status for r in deliver.send(lost, transport).collect()} == {503}
+
+
 def test_recent_duplicates_are_those_of_a_bounded_cache(spark):
     digests = list("abcabadeaab") + ["x", "y", "x", "b"]
     rows = spark.createDataFrame([(i, "s", d) for i, d in enumerate(digests)], "n long, source string, sha string")

@@ -127,6 +127,15 @@ def zoned_timestamp(text: Column) -> Column:
     return F.when(text.rlike(r"([zZ]|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(text))
 
 
+def any_timestamp(text: Column) -> Column:
+    """A timestamp from ISO text that ends in Z or an offset, or from a BSD syslog time, which has no year and gets 1900; null for anything else."""
+    iso = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}((\.\d{1,6})?Z|[+-]\d\d:?\d\d)$")
+    bsd = text.rlike(r"^[A-Za-z]{3}\s+\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$")
+    zoned = F.regexp_replace(text, r"([+-]\d\d)(\d\d)$", "$1:$2")
+    dated = F.concat(F.lit("1900 "), F.regexp_replace(text, r"\s+", " "))
+    return F.when(iso, F.try_to_timestamp(zoned)).when(bsd, F.try_to_timestamp(dated, F.lit("yyyy MMM d H:m:s")))
+
+
 def safe_token(text: Column, allowed: str = "A-Za-z0-9_-") -> Column:
     """Text fit for a path: other characters become underscores; ``unknown`` if nothing is left."""
     made = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{allowed}]+", "_"), F.lit("_"))

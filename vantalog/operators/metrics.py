@@ -42,6 +42,18 @@ def percentile_exclusive(rows: DataFrame, key: str, value: str, percent: int, na
     return got.select(key, F.when(F.col("_n") == 1, F.col("_low")).otherwise((F.col("_low") * (100 - F.col("_delta")) + F.col("_high") * F.col("_delta")) / 100).alias(name))
 
 
+def latest_samples(rows: DataFrame, key: str, order: str, room: int = 2000) -> DataFrame:
+    """The ``room`` latest rows of each key, as a window's reservoir keeps them. Spark cuts to that many rows a key before it shuffles."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
+    return rows.withColumn("_place", place).where(F.col("_place") <= room).drop("_place")
+
+
+def resources(rows: DataFrame, worker: str, *measures: str) -> DataFrame:
+    """The mean over workers of each worker's highest measure."""
+    highest = rows.groupBy(worker).agg(*[F.max(m).alias(m) for m in measures])
+    return highest.agg(*[F.avg(m).alias(m) for m in measures])
+
+
 def ring_mean(rows: DataFrame, key: str, order: str, value: str, room: int = 128) -> DataFrame:
     """The mean of each row's last ``room`` values of its key."""
     return rows.withColumn("ring_mean", F.avg(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(1 - room, 0)))

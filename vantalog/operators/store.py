@@ -124,6 +124,23 @@ def facet(rows: DataFrame, column: str, vendor: str | None = None) -> DataFrame:
     return (rows.where(F.col("vendor") == vendor) if vendor else rows).select(column).distinct()
 
 
+#: The columns whose values a dashboard offers for choice.
+FACETS = ("vendor", "product", "category", "action", "severity_label", "quality_status")
+
+
+def facets(rows: DataFrame, columns: tuple[str, ...] = FACETS, vendor: str | None = None) -> DataFrame:
+    """facet, value: the distinct values of several columns in order, of one vendor's rows if asked; one pass over the rows."""
+    chosen = rows.where(F.col("vendor") == vendor) if vendor else rows
+    pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
+    return chosen.select(F.explode(pairs).alias("pair")).select("pair.*").distinct().orderBy("facet", "value")
+
+
+def source_shares(rows: DataFrame) -> DataFrame:
+    """Events of each vendor and product and their share of all in whole per cent, half up."""
+    every = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row a product by now
+    return by_source(rows).withColumn("percent", F.floor((F.col("n") * 200 + every) / (every * 2)).cast("long"))
+
+
 def totals(rows: DataFrame) -> DataFrame:
     """Rows as they are, repeats counted, and distinct events."""
     return rows.agg(F.count("*").alias("total"), F.count_distinct("event_id").alias("distinct_events"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsers
-from ..functions.text import valid_ip
+from ..functions.text import any_timestamp, utc_z, valid_ip
 from ..operators import collect, deliver, export, metrics, store
 from ..operators.validate import structural_issues, validate
 from ..sources.events import render, spread, table, uuid_of
@@ -277,6 +277,37 @@ def facet_products(spark, sf_dir):
     return store.facet(rows(spark, sf_dir), "product", "Fortinet")
 
 
+@query("x: " + " UNION ".join(f"SELECT '{facet}' AS facet, {column} AS value FROM x WHERE quality <> 'invalid'" for facet, column in zip(store.FACETS, ("vendor", "product", "category", "action", "label", "quality"), strict=True)))
+def facet_lists(spark, sf_dir):
+    return store.facets(rows(spark, sf_dir))
+
+
+@query("x: SELECT vendor, product, count(*) AS n, (count(*) * 200 + t) // (t * 2) AS percent FROM x, (SELECT count(*) AS t FROM x WHERE quality <> 'invalid') WHERE quality <> 'invalid' GROUP BY vendor, product, t")
+def source_shares(spark, sf_dir):
+    return store.source_shares(rows(spark, sf_dir))
+
+
+@query("x: SELECT strftime(observed, '%Y-%m-%d') AS day, category, quality <> 'valid' AS quarantined, count(*) AS n FROM x WHERE quality <> 'invalid' GROUP BY ALL")
+def lake_read_back(spark, sf_dir):
+    """The stored events exported as a lake, and what is read back from its partitions."""
+    path = new_path(spark, "lake")
+    export.lake(rows(spark, sf_dir), path)
+    read = lambda at: spark.read.option("basePath", at).parquet(f"{at}/year=*")
+    day = F.make_date("year", "month", "day").cast("string").alias("day")
+    found = [read(at).select(day, "category", F.lit(apart).alias("quarantined")) for at, apart in ((path, False), (f"{path}/quarantine", True))]
+    return found[0].unionByName(found[1]).groupBy("day", "category", "quarantined").agg(F.count("*").alias("n"))
+
+
+@query("x: SELECT vendor, quality AS quality_status, quality <> 'valid' AS quarantined, count(*) AS n FROM x WHERE quality <> 'invalid' GROUP BY ALL")
+def jsonl_read_back(spark, sf_dir):
+    """The stored events exported as JSON lines, and what is read back from them."""
+    path = new_path(spark, "jsonl")
+    export.jsonl(rows(spark, sf_dir), path)
+    lines = spark.read.text([f"{path}/normalized", f"{path}/quarantine"]).select(F.try_parse_json("value").alias("j"), F.col("_metadata.file_path").contains(f"{path.rsplit('/', 1)[-1]}/quarantine/").alias("quarantined"))
+    part = lambda at: F.try_variant_get("j", at, "string")
+    return lines.groupBy(part("$.observer.vendor").alias("vendor"), part("$.quality.status").alias("quality_status"), "quarantined").agg(F.count("*").alias("n"))
+
+
 @query("x: SELECT code, count(*) AS n FROM (SELECT unnest(CASE WHEN k = 5 AND label = 'unknown' THEN ['$.severity.label:severity_uncertainty', '$.quality.status:invalid'] ELSE ['$.quality.status:invalid'] END) AS code FROM x WHERE quality = 'invalid') GROUP BY 1")
 def quarantine_codes(spark, sf_dir):
     return spark.read.parquet(f"{stored(spark, sf_dir)}/quarantine").select(F.explode("error_codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
@@ -398,6 +429,14 @@ def reject_documents(spark, sf_dir):
     return collect.ingest(docs, 4096).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.sum("raw_size").alias("bytes"))
 
 
+@query("SELECT event_id, reason, strlen(text) AS raw_size, sha256(text) AS raw_sha256 FROM (SELECT doc_id::VARCHAR AS event_id, text, CASE WHEN text IS NULL THEN 'invalid_payload' WHEN strlen(text) = 0 THEN 'empty_event' WHEN strlen(text) > 1024 THEN 'oversized_event' END AS reason FROM documents) WHERE reason IS NOT NULL")
+def rejection_log(spark, sf_dir):
+    """Documents that arrive as text or, every other one, as base64, and the log of those refused."""
+    coded = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+    sent = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("event_id"), F.col("source").alias("source_id"), F.lit(None).cast("string").alias("source_ip"), F.when(~coded, F.col("text")).alias("raw_text"), F.when(coded, F.base64(F.encode("text", "utf-8"))).alias("raw_base64"))
+    return collect.rejected(collect.ingest(sent.withColumn("payload", collect.payload_of()), 1024)).select("event_id", "reason", "raw_size", "raw_sha256")
+
+
 @query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY 1")
 def last_message(spark, sf_dir):
     return store.latest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ("conv_id",), ("turn",)).select("conv_id", "text")
@@ -430,6 +469,28 @@ def percentile_exclusive(spark, sf_dir):
     return metrics.percentile_exclusive(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", 95, "p95")
 
 
+@query("SELECT worker_id, (l[j] * (100 - d) + l[j + 1] * d) / 100 AS p95 FROM (SELECT worker_id, l, least(greatest(95 * (n + 1) // 100, 1), n - 1) AS j, 95 * (n + 1) - j * 100 AS d FROM (SELECT worker_id, list_sort(list(micros)) AS l, count(*) AS n FROM (SELECT user_id % 4 AS worker_id, round(value * 1000000)::BIGINT AS micros, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id DESC) AS place FROM events) WHERE place <= 2000 GROUP BY 1))")
+def latest_percentile(spark, sf_dir):
+    """The percentile of each worker's reservoir of its latest 2,000 samples."""
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4).alias("worker_id"), F.round(F.col("value") * 1000000).cast("long").alias("micros"))
+    return metrics.percentile_exclusive(metrics.latest_samples(events, "worker_id", "event_id"), "worker_id", "micros", 95, "p95")
+
+
+@query("SELECT avg(cpu) AS cpu, avg(memory) AS memory FROM (SELECT max(round(value * 1000000)::BIGINT) AS cpu, max(strlen(props)) AS memory FROM events GROUP BY user_id % 4)")
+def worker_resources(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("worker_id"), F.round(F.col("value") * 1000000).cast("long").alias("cpu"), F.octet_length("props").cast("long").alias("memory"))
+    return metrics.resources(events, "worker_id", "cpu", "memory")
+
+
+@query("SELECT event_id AS seq, CASE event_id % 5 WHEN 0 THEN ts WHEN 3 THEN try_strptime('1900 ' || strftime(ts, '%m-%d %H:%M:%S'), '%Y %m-%d %H:%M:%S') WHEN 4 THEN NULL ELSE date_trunc('second', ts) END AS at FROM events")
+def timestamp_forms(spark, sf_dir):
+    """Times written in four forms that are read, and in one that isn't."""
+    e, ts = F.col("event_id"), F.col("ts")
+    form = lambda pattern, at=ts: F.date_format(at, pattern)
+    text = F.when(e % 5 == 0, utc_z(ts)).when(e % 5 == 1, form("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(e % 5 == 2, form("yyyy-MM-dd'T'HH:mm:ss'+0200'", ts + F.expr("INTERVAL 2 HOURS"))).when(e % 5 == 3, form("MMM dd HH:mm:ss")).otherwise(form("dd.MM.yyyy HH:mm"))
+    return table(spark, sf_dir, "events").select(e.alias("seq"), any_timestamp(text).alias("at"))
+
+
 @query("SELECT event_id, event_id % 9 AS attempt, least(15 * (1 << (event_id % 9)::INT), 1800)::BIGINT AS delay FROM events")
 def retry_schedule(spark, sf_dir):
     attempt = stages.attempt_of((F.col("event_id") % 9).cast("string"))
