@@ -17,7 +17,7 @@ def sf_dir(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["asa_deny_fields", "asa_connection_fields", "semantic_rule_hits", "canonical_json_all", "semantic_rule_hits_all", "structural_rule_hits_all", "stream_outcomes", "facet_lists", "source_shares", "lake_read_back", "jsonl_read_back", "latest_percentile", "worker_resources", "timestamp_forms"])
+@pytest.mark.parametrize("name", ["asa_deny_fields", "asa_connection_fields", "semantic_rule_hits", "canonical_json", "cef_lines", "rfc5424_lines", "delivery_reconcile", "structural_rule_hits", "canonical_json_all", "semantic_rule_hits_all", "structural_rule_hits_all", "stream_outcomes", "facet_lists", "source_shares", "lake_read_back", "jsonl_read_back", "latest_percentile", "worker_resources", "timestamp_forms"])
 def test_agrees_with_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -5,6 +5,7 @@ The SQL never parses a log line: it derives the expected fields from the columns
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,10 +178,12 @@ def lake_partitions(spark, sf_dir):
     return store.lake_rows(rows(spark, sf_dir)).groupBy("year", "month", "day", "category", "quarantined").agg(F.count("*").alias("n"))
 
 
-@query("""x: SELECT id AS event_id, sha256('noise ' || e || ' without a format') AS raw_sha256, '{"content":"noise ' || e || ' without a format","content_type":"text/plain","encoding":"utf-8"}' AS raw_event FROM x WHERE k = 6""")
+@query("""x: SELECT id AS event_id, true AS whole, 'text/plain' AS content_type, 'utf-8' AS encoding, CASE WHEN pack IS NULL THEN 'noise ' || e || ' without a format' ELSE '' END AS noise FROM x WHERE quality <> 'invalid'""")
 def canonical_json(spark, sf_dir):
-    found = rows(spark, sf_dir).where("vendor = 'unknown'")
-    return found.select("event_id", "raw_sha256", F.parse_json("normalized_json").alias("j")).select("event_id", "raw_sha256", F.variant_get("j", "$.traceability.raw_event", "variant").cast("string").alias("raw_event"))
+    """The raw event inside every stored event's canonical JSON; ``whole``: its content has the recorded hash. ``noise`` is the content where no pack read it."""
+    part = lambda name: F.try_variant_get("j", f"$.traceability.raw_event.{name}", "string")
+    found = rows(spark, sf_dir).select("event_id", "raw_sha256", "vendor", F.parse_json("normalized_json").alias("j"))
+    return found.select("event_id", (F.sha2(F.encode(part("content"), "utf-8"), 256) == F.col("raw_sha256")).alias("whole"), part("content_type").alias("content_type"), part("encoding").alias("encoding"), F.when(F.col("vendor") == "unknown", part("content")).otherwise("").alias("noise"))
 
 
 @query("""x: SELECT id AS event_id, true AS whole, vendor, product, category, action, score AS severity, label AS severity_label, CASE WHEN ends THEN sip END AS source_ip, CASE WHEN ends THEN dport END::INT AS destination_port, quality AS quality_status FROM x WHERE quality <> 'invalid'""")
@@ -353,14 +356,19 @@ def kpi_cards(spark, sf_dir):
     return store.kpis(rows(spark, sf_dir))
 
 
-@query("x: SELECT id AS event_id, 'CEF:0|Vantalog|Engine|1.0.0|unmapped_event|Unmapped source event|0|schemaVersion=1.0.0 externalId=' || id || ' rawSha256=' || sha256('noise ' || e || ' without a format') || ' sourcePack=unknown_source_pack sourcePackVersion=0.0.0 parser=none parserVersion=0.0.0 quality=unknown act=unknown' AS line FROM x WHERE k = 6")
+@query("x: SELECT id AS event_id, score AS severity, quality, action AS act, CASE WHEN ends THEN sip END AS src, CASE WHEN ends AND NOT (k = 5 AND m % 5 = 4) THEN sport END::INT AS spt, CASE WHEN ends THEN dip END AS dst, CASE WHEN ends THEN dport END::INT AS dpt FROM x")
 def cef_lines(spark, sf_dir):
-    return unified(spark, sf_dir).where("pack is null").select("event_id", deliver.cef_line().alias("line"))
+    """Every unified event's CEF line, read back by the CEF parser."""
+    found = unified(spark, sf_dir).select("event_id", parsers.cef(deliver.cef_line()).alias("fields"))
+    return found.where(_field("externalId") == F.col("event_id")).select("event_id", _field("severity", "int"), *[_field(n) for n in ("quality", "act", "src", "dst")], *[_field(n, "int") for n in ("spt", "dpt")])
 
 
-@query("x: SELECT id AS event_id, '<128>1 ' || strftime(ingested, '%Y-%m-%dT%H:%M:%S.%fZ') || ' - vantalog - unmapped_event [vantalog@32473 schemaVersion=\"1.0.0\" eventId=\"' || id || '\" rawSha256=\"' || sha256('noise ' || e || ' without a format') || '\" sourcePack=\"unknown_source_pack\" sourcePackVersion=\"0.0.0\" parser=\"none\" parserVersion=\"0.0.0\" quality=\"unknown\"] Unmapped source event' AS line FROM x WHERE k = 6")
+@query("x: SELECT id AS event_id, '1' AS version, 128 + least(score, 7) AS pri, strftime(observed, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, 'vantalog' AS appname, coalesce(pack, 'unknown_source_pack') AS pack, quality FROM x")
 def rfc5424_lines(spark, sf_dir):
-    return unified(spark, sf_dir).where("pack is null").select("event_id", deliver.rfc5424_line().alias("line"))
+    """Every unified event's RFC 5424 line, read back by the syslog parser."""
+    found = unified(spark, sf_dir).select("event_id", parsers.syslog(deliver.rfc5424_line()).alias("fields"))
+    param = lambda name: F.regexp_extract(_field("structured_data"), f'{name}="([^"]*)"', 1)
+    return found.where(param("eventId") == F.col("event_id")).select("event_id", *[_field(n) for n in ("version", "timestamp", "appname")], _field("pri", "int"), param("sourcePack").alias("pack"), param("quality").alias("quality"))
 
 
 @query()
@@ -535,37 +543,31 @@ def replay_since(spark, sf_dir):
     return collect.replay_since(raw(spark, sf_dir), "2024-01-15 00:00:00").select("event_id")
 
 
-@query("SELECT count(*) AS attempted, count(*) FILTER (s = 200) AS delivered, count(*) FILTER (s IN (429, 503)) AS retryable, count(*) FILTER (s = 400) AS terminal, true AS reconciled FROM (SELECT [200, 200, 429, 400, 503][event_id % 5 + 1] AS s FROM events)")
-def delivery_reconcile(spark, sf_dir):
-    status = F.element_at(F.array(*map(F.lit, (200, 200, 429, 400, 503))), (F.col("event_id") % 5 + 1).cast("int"))
-    return deliver.reconcile(table(spark, sf_dir, "events").select(status.alias("status")))
+def _strict_index(documents: list[str]) -> list[int]:
+    """The answers of an index that takes valid events only and is too busy for those of the highest scores."""
+    found = [json.loads(d) for d in documents]
+    return [503 if d["severity"]["normalized"] >= 9 else 200 if d["quality"]["status"] == "valid" else 400 for d in found]
 
 
-@query("x: SELECT r.rule, count(*) AS n FROM x, (SELECT unnest(['timestamp_order', 'network_endpoint', 'action_consistency', 'severity_consistency', 'vendor_namespace', 'raw_integrity']) AS rule) r WHERE k = 0 GROUP BY 1")
-def semantic_rule_hits(spark, sf_dir):
-    good = normalize(parse(raw(spark, sf_dir)), F.col("ingested_at")).where("event.type = 'acl_deny'")
-    c, hour = F.col, F.expr("INTERVAL 1 HOUR")
-    changes = {
-        "timestamp_order": ("time", c("time").withField("observed_at", c("time.ingested_at") + hour)),
-        "network_endpoint": ("source", F.lit(None)),
-        "action_consistency": ("action", c("action").withField("outcome", F.lit("success"))),
-        "severity_consistency": ("severity", c("severity").withField("normalized", F.lit(9))),
-        "vendor_namespace": ("extensions", F.create_map(F.lit("Bad-Name"), c("fields"))),
-        "raw_integrity": ("traceability", c("traceability").withField("raw_sha256", F.lit("0" * 64))),
-    }
-    copies = good.withColumn("_m", F.explode(F.array(*map(F.lit, changes))))
-    for name, (column, changed) in changes.items():
-        copies = copies.withColumn(column, F.when(c("_m") == name, changed).otherwise(c(column)))
-    return validate(copies).select(F.explode("validation").alias("v")).groupBy(F.col("v.rule").alias("rule")).agg(F.count("*").alias("n"))
+@query("x: SELECT count(*) AS attempted, count(*) FILTER (score < 9 AND quality = 'valid') AS delivered, count(*) FILTER (score >= 9) AS retryable, count(*) FILTER (score < 9 AND quality <> 'valid') AS terminal, true AS reconciled FROM x WHERE quality <> 'invalid'")
+def delivery_reconcile(spark, sf_dir):
+    """All stored events, sent in chunks to a strict index: what became of them."""
+    return deliver.reconcile(deliver.send(rows(spark, sf_dir).select("event_id", F.col("normalized_json").alias("document")), _strict_index))
 
 
 _RULES = ("timestamp_order", "network_endpoint", "category_requirement", "action_consistency", "severity_consistency", "severity_uncertainty", "outcome_consistency", "partial_explanation", "vendor_namespace", "raw_integrity")
 
 
+@query(f"x: SELECT r.rule, count(*) AS n FROM x, (SELECT unnest({list(_RULES)}) AS rule) r GROUP BY 1")
+def semantic_rule_hits(spark, sf_dir):
+    """How many events each rule is found in, of all events, each changed so that it breaks the rule."""
+    return semantic_rule_hits_all(spark, sf_dir).groupBy("rule").agg(F.sum("hit").alias("n"))
+
+
 @query(f"x: SELECT coalesce(pack, 'none') AS pack, r.rule, count(*) AS n, count(*) AS hit FROM x, (SELECT unnest({list(_RULES)}) AS rule) r GROUP BY ALL")
 def semantic_rule_hits_all(spark, sf_dir):
     """Every event, changed once for each rule so that it breaks it, and in how many of them the rule is found."""
-    good = normalize(parse(raw(spark, sf_dir)), F.col("ingested_at"))
+    good = unified(spark, sf_dir).drop("validation", "storable")
     c, none = F.col, F.array().cast("array<string>")
     user = F.struct(F.lit("u").alias("user"), F.lit("success").alias("result"))
     changes = {
@@ -592,16 +594,14 @@ def semantic_rule_hits_all(spark, sf_dir):
 
 @query("x: SELECT vendor, rule, count(*) AS n FROM (SELECT vendor, unnest(['additionalProperties', 'maximum']) AS rule FROM x WHERE quality <> 'invalid') GROUP BY ALL")
 def structural_rule_hits_all(spark, sf_dir):
-    """As ``structural_rule_hits``, over every stored event."""
+    """The issues of every stored event's JSON, changed so that it breaks two rules."""
     broken = F.regexp_replace(F.regexp_replace("normalized_json", r'"normalized":\d+', '"normalized":11'), r"^\{", '{"surprise":1,')
     return rows(spark, sf_dir).select("vendor", F.explode(structural_issues(broken)).alias("i")).groupBy("vendor", F.col("i.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
-@query("x: SELECT rule, count(*) AS n FROM (SELECT unnest(['additionalProperties', 'maximum']) AS rule FROM x WHERE quality <> 'invalid' AND k = 0) GROUP BY 1")
+@query("x: SELECT rule, count(*) AS n FROM (SELECT unnest(['additionalProperties', 'maximum']) AS rule FROM x WHERE quality <> 'invalid') GROUP BY 1")
 def structural_rule_hits(spark, sf_dir):
-    found = rows(spark, sf_dir).where("source_pack_name = 'cisco_asa' and action = 'deny'")
-    broken = F.regexp_replace(F.regexp_replace("normalized_json", r'"normalized":\d+', '"normalized":11'), r"^\{", '{"surprise":1,')
-    return found.select(F.explode(structural_issues(broken)).alias("i")).groupBy(F.col("i.rule").alias("rule")).agg(F.count("*").alias("n"))
+    return structural_rule_hits_all(spark, sf_dir).groupBy("rule").agg(F.sum("n").alias("n"))
 
 
 @query("x: SELECT count(*) AS n, count(*) FILTER (transport_ok) AS good FROM (SELECT e % 13 <> 0 AS transport_ok FROM x)")

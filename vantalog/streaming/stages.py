@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import computed_once
 from ..operators.collect import contract_error
 from ..operators.store import event_rows, quarantine_rows
 from ..operators.validate import validate
@@ -71,16 +72,21 @@ def run_pipeline(spark: SparkSession, root: str, schema, out: str, checkpoint: s
 
     Each batch is written under its own number, so a batch that runs again replaces itself. ``transient`` says of an
     envelope (with its ``attempt``, 0 at first) whether processing fails for now; such envelopes are held in the retry
-    topic until ``release_due`` feeds them back, for which ``schema`` must have ``attempt``.
+    topic until ``release_due`` feeds them back, for which ``schema`` must have ``attempt``. The clock is a column, so
+    the code generated for one batch serves the next; what is parsed and validated is kept for the batch's writes.
     """
     columns = schema.fieldNames()
 
     def write(batch: DataFrame, number: int) -> None:
         put = lambda rows, name: rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        decided = parsed_decisions(batch if transient is None else batch.withColumn("transient", transient), now_ms).persist()
+        clock = {"_now_ms": now_ms if now_ms is not None else F.unix_millis(F.current_timestamp()), "_now": F.current_timestamp()}
+        timed = computed_once(batch.withColumns(clock), "clock")
+        decided = parsed_decisions(timed if transient is None else timed.withColumn("transient", transient), F.col("_now_ms")).persist()
+        kept = [decided]
         try:
             to = lambda name: decided.where(F.col("decision.topic") == name)
-            good = validate(normalize(to(PARSED)))
+            good = validate(normalize(to(PARSED), F.col("_now"))).persist()
+            kept.append(good)
             stored = event_rows(good.where("storable"))
             put(stored, "events")
             put(stored.select("event_id", "normalized_json"), NORMALIZED)
@@ -89,7 +95,8 @@ def run_pipeline(spark: SparkSession, root: str, schema, out: str, checkpoint: s
             put(to(RETRY).select(*[c for c in columns if c != "attempt"], "decision.attempt", "decision.not_before_ms", F.lit(STAGES[0]).alias("stage")), RETRY)
             put(decided.groupBy("decision.topic").agg(F.count("*").alias("n")), METRICS)
         finally:
-            decided.unpersist()
+            for rows in kept:
+                rows.unpersist()
 
     return topic(spark, root, RAW, schema).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
