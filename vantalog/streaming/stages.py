@@ -72,8 +72,8 @@ def run_pipeline(spark: SparkSession, root: str, schema, out: str, checkpoint: s
 
     Each batch is written under its own number, so a batch that runs again replaces itself. ``transient`` says of an
     envelope (with its ``attempt``, 0 at first) whether processing fails for now; such envelopes are held in the retry
-    topic until ``release_due`` feeds them back, for which ``schema`` must have ``attempt``. The clock is a column, so
-    the code generated for one batch serves the next; what is parsed and validated is kept for the batch's writes.
+    topic until ``release_due`` feeds them back, for which ``schema`` must have ``attempt``. The clock is a column
+    of the batch; what is parsed and validated is kept for the batch's writes.
     """
     columns = schema.fieldNames()
 
