@@ -1,11 +1,11 @@
-"""The queries of the ten operators over their whole tables, with production parameters, and their SQL where SQL can express them."""
+"""The queries of the operators over their whole tables, with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, mixing, ngram_lm, sharding, simhash, substrings, topk, toxicity
+from . import alignment, decontaminate, html_extract, licenses, mixing, ngram_lm, sharding, simhash, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op4_uniform_shards, op5_exact_top_k, op6_source_mix, op7_simhash, op8_decontaminate, op9_ngram_lm, op10_main_text)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op4_uniform_shards, op5_exact_top_k, op6_source_mix, op7_simhash, op8_decontaminate, op9_ngram_lm, op10_main_text, op11_tokenizer_alignment)}
 
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
