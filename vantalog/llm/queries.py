@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html_extract, licenses, mixing, ngram_lm, sharding, simhash, substrings, topk, toxicity
+from . import alignment, decontaminate, html_extract, licenses, mixing, ngram_lm, sharding, simhash, spelling, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +66,25 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op4_uniform_shards, op5_exact_top_k, op6_source_mix, op7_simhash, op8_decontaminate, op9_ngram_lm, op10_main_text, op11_tokenizer_alignment)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), one_in=199))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op4_uniform_shards, op5_exact_top_k, op6_source_mix, op7_simhash, op8_decontaminate, op9_ngram_lm, op10_main_text, op11_tokenizer_alignment, op13_spelling_variants)}
 
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _crc_steps(half: int) -> int:
+    """Four steps of CRC-32's division."""
+    for _ in range(4):
+        half = half >> 1 ^ (half & 1) * 0xEDB88320
+    return half
+
+
+_CRC = [_crc_steps(i) for i in range(16)]
+
 ORACLE_SQL = {
     "op5_exact_top_k": """
         WITH v AS (
@@ -115,4 +129,31 @@ ORACLE_SQL = {
         )
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL
+        ), bytes AS (
+            SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM runs
+        ), halves AS (
+            SELECT run, n, list_transform([4294967295] || flatten(list_transform(b, lambda x: [x & 15, x >> 4])), lambda x: x::BIGINT) AS b FROM bytes
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 4, {_CRC}[(xor(c, x) & 15) + 1])), 4294967295) AS h FROM halves
+        ), words AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+        ), lost AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word)))::INT AS i FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM lost a JOIN lost b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT w.word, d.word, d.n FROM words w JOIN lost d ON d.rest = w.word
+            UNION SELECT d.word, w.word, w.n FROM words w JOIN lost d ON d.rest = w.word
+        ), best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+        ), told AS (
+            SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+            FROM words w LEFT JOIN best USING (word)
+        ), steps AS (
+            SELECT word, word AS here, form AS ahead FROM told
+            UNION ALL SELECT s.word, t.word, t.form FROM steps s JOIN told t ON t.word = s.ahead
+        )
+        SELECT word, form, here AS root, n, n_near, form_n FROM told JOIN (SELECT word, here FROM steps WHERE ahead IS NULL) USING (word)""",
 }
