@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html_extract, licenses, mixing, ngram_lm, sharding, simhash, spelling, substrings, topk, toxicity
+from . import alignment, decontaminate, html_extract, licenses, mixing, ngram_lm, pii, sharding, simhash, spelling, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +66,19 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(_table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), one_in=199))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op4_uniform_shards, op5_exact_top_k, op6_source_mix, op7_simhash, op8_decontaminate, op9_ngram_lm, op10_main_text, op11_tokenizer_alignment, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op3_toxicity, op4_uniform_shards, op5_exact_top_k, op6_source_mix, op7_simhash, op8_decontaminate, op9_ngram_lm, op10_main_text, op11_tokenizer_alignment, op12_personal_data, op13_spelling_variants)}
 
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
