@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -368,18 +370,70 @@ def test_decontamination(spark, docs, texts, empty, most_bytes):
         r = found[d]
         assert r.n_words == len(own) and {w for s in r.spans for w in range(s.first, s.end)} == hit and r["items"] == sorted(ids - {None}), d
     whole = {i: words(t) for i, t in items if i is not None}
-    for d, r in found.items():
+    located = {r.doc_id: r for r in decontaminate.locate(docs, benchmark, most_bytes=most_bytes).collect()}
+    for d, r in located.items():
         own = words(texts[d])
-        for m in r.matches:
-            if m["item"] is not None:
-                assert own[m.first : m.first + m["words"]] == whole[m["item"]][m.start : m.start + m["words"]] and m["words"] <= r.longest
-                assert own[m.first + m["words"] :][:1] != whole[m["item"]][m.start + m["words"] :][:1] or not own[m.first + m["words"] :][:1]
+        starts = {m.first: m for m in r.matches}
+        assert r.longest == max((m["words"] for m in r.matches), default=0) and bool(r.matches) == bool(found[d].spans)
+        for p in range(len(own)):
+            best = max((n for _, t in items for n in agreeing(own[p:], words(t))), default=0)
+            if p in starts:
+                m = starts[p]
+                assert m["words"] == best
+                if m["item"] is not None:
+                    assert own[p : p + best] == whole[m["item"]][m.start : m.start + best]
+            elif best:
+                assert any(m.first < p and m.first + m["words"] >= p + best for m in r.matches), (d, p)
     clean = decontaminate.clean(docs, benchmark)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {d for d, r in found.items() if not r.spans}
     assert decontaminate.find(empty, benchmark).count() == 0
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(texts)
 
 
+def agreeing(rest, item):
+    """Lengths of matches at the start of ``rest`` that hold a window of the item."""
+    n = min(10, len(item))
+    for at in range(len(item) - n + 1 if n else 0):
+        if rest[:n] == item[at : at + n]:
+            size = n
+            while size < len(rest) and at + size < len(item) and rest[size] == item[at + size]:
+                size += 1
+            yield size
+
+
+def test_decontamination_of_repeated_words_is_brute_force(spark):
+    rng = random.Random(9)
+    items = [(1, "a " * 40), (2, "a b " * 15), (3, "a b c d e f g h i j k l " * 4), (4, "b"), (5, "c c c")]
+    docs_ = [" ".join(rng.choices("abc", [8, 2, 1], k=rng.randrange(1, 200))) for _ in range(25)] + ["a " * 300, "a b " * 100, "a b c d e f g h i j k l " * 30, "b b"]
+    rows = spark.createDataFrame(list(enumerate(docs_)), "doc_id long, text string")
+    for r in decontaminate.find(rows, spark.createDataFrame(items, "item_id long, text string")).collect():
+        own, hit, ids = words(docs_[r.doc_id]), set(), set()
+        for i, t in items:
+            w = words(t)
+            n = min(10, len(w))
+            grams = {tuple(w[at : at + n]) for at in range(len(w) - n + 1)}
+            for p in range(len(own) - n + 1):
+                if tuple(own[p : p + n]) in grams:
+                    hit |= set(range(p, p + n))
+                    ids |= {i}
+        assert {w for s in r.spans for w in range(s.first, s.end)} == hit and r["items"] == sorted(ids)
+
+
+def test_decontamination_makes_no_pairs_of_places():
+    class Block:
+        def __init__(self, items):
+            self.value = vars(decontaminate.Items(items))
+
+    for item, text in (("w " * 10_000, "w " * 100_000), ("a b c d e f g h i j k l " * 40, "a b c d e f g h i j k l " * 8_000)):
+        tracemalloc.start()
+        began = time.perf_counter()
+        shard = decontaminate.Shard([text.encode()], decontaminate.WordHashes())
+        hit, ids = decontaminate._found(shard, [Block([(7, item.encode())])])
+        took, most = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert hit[:-1].all() and ids == [{7}] and took < 10 and most < 200 << 20, (took, most)
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_language_model(docs, texts, empty, order):
     held = toxicity.held_out(F.col("doc_id"), 7, 2)
