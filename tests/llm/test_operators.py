@@ -540,3 +540,24 @@ def test_hosts_vote(spark):
     pages = [(i, "http://h.example/", PAGE % "<div class='story2'><p>text of the page</p></div>") for i in range(3)] + [(9, "http://h.example/", PAGE % "<section><p>something else here</p></section>")]
     paths = html_extract.host_paths(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert [(r.host, r.votes, r.pages) for r in paths] == [("h.example", 3, 4)] and paths[0].path.endswith("div.story#")
+
+
+@pytest.mark.parametrize("broken", ["<p", "<p ", '<p "', '<a">"', "<a '\">", "<!", "</", "<!--", '<div><p "x\' >'])
+def test_broken_markup_takes_linear_time(broken):
+    began = time.perf_counter()
+    for end in ("", ">", "<p>kept"):
+        html_extract.Page(broken * (1_000_000 // len(broken)) + end)
+    assert time.perf_counter() - began < 15
+
+
+def test_tags_end_at_the_first_end_outside_quotes():
+    for source, want in (('<a b="x>y">z', [" z"]), ('<a b="x>y', ['y']), ("<p a=\"1\" b='2>'>one</p>", ["one"]), ('<a">"<a">"t', ['"', '"t']), ("text <p", ["text ", "<p"]), ("a<!-- b", ["a"])):
+        pieces = [t for _, t in html_extract.Page(source).pieces if t]
+        assert "".join(pieces).strip() == "".join(want).strip(), source
+
+
+def test_adverts_go_whatever_the_element(spark):
+    page = "<html><body><article><h1>Title of it</h1><p>" + "One long sentence of the article. " * 8 + "</p><p class='ad'>Buy this</p><p>More of the <span class='advert'>Buy that</span> article and a <p class='ad-hoc'>remark.</p></article></body></html>"
+    rows = spark.createDataFrame([(1, "http://h.org/a", page)], "page_id long, url string, html string")
+    (row,) = html_extract.extract(rows).collect()
+    assert "Buy" not in row.text and "remark." in row.text and row.text.startswith("Title of it")

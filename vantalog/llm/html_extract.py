@@ -30,11 +30,15 @@ SAME_ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 NOISE = frozenset("nav navbar navigation menu menus sidebar sidebars footer masthead cookie cookies consent gdpr notice notices notification notifications ad ads adv advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored sponsors promo promos promotion popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs pagination pager paging toolbar topbar login searchbox disclaimer".split())
 # Words that name the shape or place of a part, which stand beside those above.
 SHAPES = frozenset("area bar bars body bottom bottomlinks box block blocks button buttons center column container content fixed form global header head inner item items js left level link links list lists main outer page panel post posts primary right row secondary section sections side site slot slots sticky story stories article articles thread top unit units widget widgets wrap wrapper zone banner banners".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored sponsors".split())
 READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"""<!--(?:.*?)(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
+_TOKEN = re.compile(r"<!--(?:.*?)(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)|<[!?/][^>]*+>", re.S)
+_INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_UP_TO_QUOTE = re.compile(r"""[^>"']*+""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_OTHER_ATTR = re.compile(r"""(?<![\w:.-])(?!(?:class|id|role|hidden|aria-hidden|style)(?![\w:.-]))[\w:.-]++\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to split() only
 _BLANKS = re.compile(r"[ \t\n\r\f\v\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -43,11 +47,43 @@ _RAW_ENDS = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 
 def _attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
-    for m in _ATTR.finditer(re.sub(r"""\b(?!(?:class|id|role|hidden|aria-hidden|style)\b)[\w:.-]+\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", " ", text, flags=re.I)):
+    for m in _ATTR.finditer(_OTHER_ATTR.sub(" ", text)):
         out.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
     return out
 
 
+class _Ends:
+    """Where tags end: at the first ``>`` outside quotes, or at the first one at all if there is none outside.
+
+    Whoever looks for the end of broken markup may walk to the end of the page in vain. Places that such a walk passed
+    are remembered, and a walk that comes to one of them is in vain too, so all walks together stay linear.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last, self.vain = source, source.rfind(">"), None
+
+    def of(self, at: int) -> int:
+        """The place behind the tag whose name ends at ``at``; there is a ``>`` behind it."""
+        if self.vain is None:
+            if m := _INSIDE.match(self.source, at):
+                return m.end()
+            self.vain = set()
+        passed, place = [], at
+        while True:
+            place = _UP_TO_QUOTE.match(self.source, place).end()
+            if place >= len(self.source) or place in self.vain:
+                break
+            if self.source[place] == ">":
+                return place + 1
+            passed.append(place)
+            end = self.source.find(self.source[place], place + 1)
+            if end < 0:
+                break
+            place = end + 1
+        self.vain.update(passed)
+        return self.source.find(">", at) + 1
+
+
 def _noisy(tag: str, names: str, inside: bool = False) -> bool:
     """Whether a class name or id says that the element isn't part of the article: it names such a part, alone or beside words for shapes and places only. ``cookie-notice``, ``ad`` and ``comments-list`` do; ``ad-hoc``, ``related-work`` and ``comment-on-method`` don't. Articles and main parts go for readers' comments only; ``header`` and ``site-header`` go where they don't stand ``inside`` an article."""
     known = READERS if tag in ("article", "main") else NOISE
@@ -61,6 +97,12 @@ def _noisy(tag: str, names: str, inside: bool = False) -> bool:
     return False
 
 
+def _advert(names: str) -> bool:
+    """Whether a class name or id names an advert, alone or beside words for shapes and places only: that goes for any element."""
+    parts = [[p for p in _SPLIT.split(name) if p and not p.isdigit()] for name in names.lower().split()]
+    return any(ADVERTS.intersection(own) and all(p in ADVERTS or p in SHAPES for p in own) for own in parts)
+
+
 def _label(tag: str, classes: str) -> str:
     """A step of a generalised path: the tag and its class names in order, digits as #."""
     names = sorted({re.sub(r"\d+", "#", c.lower()).replace(">", "") for c in classes.split()})
@@ -81,19 +123,22 @@ class Page:
         self.pieces: list[tuple[int, str | None]] = []
         stack, at, size = [0], 0, len(source)
         pieces = self.pieces
-        find = _TOKEN.search
+        find, ends = _TOKEN.search, _Ends(source)
         while at < size:
-            m = find(source, at)
-            if not m:
-                pieces.append((stack[-1], source[at:]))
+            m = find(source, at) if at <= ends.last else None
+            if not m or m.start() > ends.last:  # an open comment hides the rest; what else is open behind the last ``>`` is text
+                comment = source.find("<!--", at)
+                pieces.append((stack[-1], source[at : comment if comment >= 0 else size]))
                 break
             if m.start() > at:
                 pieces.append((stack[-1], source[at : m.start()]))
             at = m.end()
-            name = m[2] or m[5]
+            name = m[2]
             if not name:
                 continue
-            tag, closing, rest = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
+            tag, closing = name.lower(), m[1]
+            at = ends.of(at)
+            rest = source[m.end() : at - 1]
             if tag not in INLINE:
                 pieces.append((stack[-1], None))
             if closing:
@@ -136,7 +181,7 @@ class Page:
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
             return True
         if tag in INLINE or tag in PROSE:
-            return False
+            return _advert(found.get("class", "") + " " + found.get("id", ""))
         return _noisy(tag, found.get("class", "") + " " + found.get("id", ""), bool(self.open.get("article")))
 
     def _close(self, stack: list[int], tag: str, scope: tuple[str, ...] = ()) -> None:
