@@ -5,16 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import Layout, groups, let, strip
-
-_PRI = Layout("<", Layout.field("pri", r"\d{1,3}"), ">")
-#: RFC 5424, 6: HEADER (PRI VERSION, then five words, a dash for none), STRUCTURED-DATA (a dash or elements in brackets), MSG.
-_WORDS = [Layout(r"\s", Layout.field(n, r"\S+")) for n in ("timestamp", "hostname", "appname", "procid", "msgid")]
-_RFC5424 = Layout(_PRI, Layout.field("version", r"\d"), *_WORDS, r"\s", Layout.field("structured_data", r"-|(?:\[.*?\])+"), r"\s?", Layout.field("message", ".*"))
-#: RFC 3164, 4.1: PRI, HEADER (Mmm dd hh:mm:ss and the host), MSG (a tag that a colon, bracket or blank ends, and content).
-_BSD_TIME = r"[A-Z][a-z]{2}\s+\d{1,2}\s(?:\d\d:){2}\d\d"
-_TAG = Layout(Layout.field("appname", r"[^\s:\[]+"), Layout(r"\[", Layout.field("procid", r"\d+"), r"\]").maybe(), ":?")
-_RFC3164 = Layout(_PRI, Layout.field("timestamp", _BSD_TIME), r"\s", Layout.field("hostname", r"\S+"), r"\s", _TAG, r"\s?", Layout.field("message", ".*"))
+from .text import after, entries, groups, let, strip, words
+
 #: A key of letters, digits, dots, dashes and underscores, and a value that is quoted or one word.
 _PAIR = r'[\w.-]+=(?:"[^"]*"|\S+)'
 
@@ -25,15 +17,60 @@ def _with(fields: Column, **more: Column) -> Column:
     return F.map_concat(F.map_filter(fields, lambda k, _: ~k.isin(*more)), F.map_filter(added, lambda _, v: v.isNotNull()))
 
 
+def _structured(tail: Column) -> tuple[Column, Column]:
+    """RFC 5424, 6.3: the structured data at the start of ``tail`` (a dash for none, or elements in brackets that follow each other directly), null if there are none, and what stands behind."""
+    # An element ends at a bracket; the data end at the first bracket that no other element follows.
+    last = F.split(tail, r"\](?!\[)", 2)
+    first = F.split(tail, r"\]", 2)
+    ended = F.when(F.size(last) > 1, last).when(F.size(first) > 1, first)
+    data = F.when(tail.startswith("-"), F.lit("-")).when(tail.startswith("["), F.concat(F.get(ended, F.lit(0)), F.lit("]")))
+    return data, after(tail, data)
+
+
+def _rfc5424(pri: Column, rest: Column) -> Column:
+    """RFC 5424, 6: a digit for the version, five words (a dash for none), structured data and the message, one white space between them."""
+    names = ("version", "timestamp", "hostname", "appname", "procid", "msgid")
+
+    def read(parts: Column) -> Column:
+        data, message = _structured(F.get(parts, F.lit(6)))
+        good = (F.size(parts) == 7) & F.get(parts, F.lit(0)).rlike(r"^\d$") & ~F.exists(F.slice(parts, 2, 5), lambda w: w == "")
+        fields = {n: F.get(parts, F.lit(i)) for i, n in enumerate(names)}
+        return F.when(good & data.isNotNull(), entries(pri=pri, **fields, structured_data=data, message=F.regexp_replace(message, r"(?U)^\s", "")))
+
+    return let(F.split(rest, r"(?U)\s", 7), read)
+
+
+def _rfc3164(pri: Column, rest: Column) -> Column:
+    """RFC 3164, 4.1: month, day and clock, the host, and the message: a tag that ends before a colon, bracket or white space, perhaps the process in brackets, and the content."""
+    dated = F.regexp_replace(F.substr(rest, F.lit(4)), r"(?U)^\s+", "")  # from the day on
+
+    def read(parts: Column) -> Column:
+        day, clock, host, body = (F.get(parts, F.lit(i)) for i in range(4))
+        tag = F.regexp_extract(body, r"(?U)^[^\s:\[]+", 0)
+        behind = after(body, tag)
+        process = F.regexp_extract(behind, r"^\[(\d+)\]", 1)
+        content = F.regexp_replace(F.when(process != "", after(behind, F.concat(F.lit("["), process, F.lit("]")))).otherwise(behind), r"(?U)^:?\s?", "")
+        stamp = F.substr(rest, F.lit(1), F.length(rest) - F.length(dated) + F.length(day) + F.length(clock) + 1)
+        good = (F.size(parts) == 4) & rest.rlike(r"(?U)^[A-Z][a-z]{2}\s") & day.rlike(r"^\d{1,2}$") & clock.rlike(r"^\d\d:\d\d:\d\d$") & (host != "") & (tag != "")
+        return F.when(good, entries(pri=pri, timestamp=stamp, hostname=host, appname=tag, procid=process, message=content))
+
+    return let(F.split(dated, r"(?U)\s", 4), read)
+
+
 def syslog(text: Column) -> Column:
-    """RFC 5424, else RFC 3164, with facility, severity_code and variant."""
+    """RFC 5424, else RFC 3164, with facility, severity_code and variant. The priority is up to three digits in angle brackets; what follows it is read word by word."""
 
     def numbered(fields: Column, variant: str) -> Column:
         pri = fields["pri"].cast("int")
         return _with(fields, facility=F.floor(pri / 8).cast("string"), severity_code=(pri % 8).cast("string"), variant=F.lit(variant), message=F.coalesce(F.try_element_at(fields, F.lit("message")), F.lit("")))
 
-    whole = strip(text)
-    return F.coalesce(let(_RFC5424.of(whole), lambda f: F.when(f.isNotNull(), numbered(f, "rfc5424"))), let(_RFC3164.of(whole), lambda f: F.when(f.isNotNull(), numbered(f, "rfc3164"))))
+    def read(parts: Column) -> Column:
+        pri, rest = F.substr(F.get(parts, F.lit(0)), F.lit(2)), F.get(parts, F.lit(1))
+        new = let(_rfc5424(pri, rest), lambda f: F.when(f.isNotNull(), numbered(f, "rfc5424")))
+        old = let(_rfc3164(pri, rest), lambda f: F.when(f.isNotNull(), numbered(f, "rfc3164")))
+        return F.when(F.get(parts, F.lit(0)).rlike(r"^<\d{1,3}$"), F.coalesce(new, old))
+
+    return let(F.split(strip(text), ">", 2), read)
 
 
 def key_value(text: Column) -> Column:

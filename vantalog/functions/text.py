@@ -54,26 +54,19 @@ def groups(text: Column, pattern: str, names: list[str], whole: bool = True) ->
     return F.when(text.rlike(full), found)
 
 
-class Layout:
-    """A line's layout, put together from plain patterns and named pieces: its regular expression and the names of its groups in order."""
-
-    def __init__(self, *pieces: "str | Layout"):
-        self.pattern = "".join(p if isinstance(p, str) else p.pattern for p in pieces)
-        self.names = [n for p in pieces if isinstance(p, Layout) for n in p.names]
-
-    @classmethod
-    def field(cls, name: str, pattern: str) -> "Layout":
-        made = cls(f"({pattern})")
-        made.names = [name]
-        return made
-
-    def maybe(self) -> "Layout":
-        made = Layout(f"(?:{self.pattern})?")
-        made.names = self.names
-        return made
-
-    def of(self, text: Column, whole: bool = True) -> Column:
-        return groups(text, self.pattern, self.names, whole)
+def words(text: Column) -> Column:
+    """The words between white space."""
+    return F.split(text, r"(?U)\s+")
+
+
+def after(text: Column, start: Column) -> Column:
+    """What stands behind ``start``, with which the text begins."""
+    return F.substr(text, F.length(start) + 1)
+
+
+def entries(**values: Column) -> Column:
+    """A map of the values that are neither null nor empty."""
+    return F.map_filter(F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)]), lambda _, v: v != "")
 
 
 def slug(text: Column, fallback: Column) -> Column:

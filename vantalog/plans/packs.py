@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsers
-from ..functions.text import Layout, built, decoded, let, strip, valid_ip, zoned_timestamp
+from ..functions.text import after, built, decoded, entries, let, strip, valid_ip, words, zoned_timestamp
 
 ISSUE = "struct<code:string,message:string,severity:string,field:string>"
 PARSED = f"struct<status:string,issues:array<{ISSUE}>,fields:map<string,string>>"
@@ -87,38 +87,82 @@ class Pack:
 # Names of syslog severities and facilities.
 SEVERITIES = ("emergency", "alert", "critical", "error", "warning", "notice", "informational", "debug")
 FACILITIES = {0: "kern", 1: "user", 2: "mail", 3: "daemon", 4: "auth", 5: "syslog", 6: "lpr", 7: "news", 8: "uucp", 9: "cron", 10: "authpriv", 11: "ftp"} | {16 + i: f"local{i}" for i in range(8)}
-def _ends(between: str, address: str = ":", port: str = "/{}", loose: bool = False) -> Layout:
-    """Source, what stands between, destination. ``loose``: ports may lack, as in messages on protocols that have none."""
-    made = []
-    for side in ("src", "dst"):
-        of = Layout(*[x for x in (port.split("{}")[0], Layout.field(f"{side}_port", r"\d+"), port.split("{}")[1])])
-        made.append(Layout(Layout.field(f"{side}_interface", r"\S+"), address, Layout.field(f"{side}_ip", "[0-9A-Fa-f:.]+"), of.maybe() if loose else of))
-    return Layout(made[0], between, made[1])
-
-
-#: What stands before a firewall message's text: syslog priority, date and device, each of which may lack, and its tag with severity and id.
-_HEADER = Layout(
-    Layout("<", Layout.field("priority", r"\d{1,3}"), r">\s*").maybe(),
-    Layout(Layout.field("timestamp_raw", r"[A-Za-z]{3}\s+\d{1,2}\s+\d{4}\s+(?:\d\d:){2}\d\d"), r"\s+").maybe(),
-    Layout(Layout.field("hostname", r"\S+"), r"\s*:\s*").maybe(),
-    "%ASA-", Layout.field("severity", r"\d"), "-", Layout.field("message_id", r"\d{6}"), r":\s*", Layout.field("message_text", ".*"),
-)
-_PROTOCOL, _ACL = Layout.field("protocol", r"\S+"), r"\S+"
-#: Event type and layout of the messages that are read beyond their header, by the ids that have them.
-_BODIES = {
-    ("106023",): ("acl_deny", Layout(Layout.field("action", "Deny"), r"\s+", _PROTOCOL, r"\s+src\s+", _ends(r"\s+dst\s+", loose=True), r'\s+by\s+access-group\s+"', Layout.field("acl_name", '[^"]+'), '"')),
-    ("106100",): ("acl_hit", Layout(r"access-list\s+", Layout.field("acl_name", _ACL), r"\s+", Layout.field("action", "permitted|denied"), r"\s+", _PROTOCOL, r"\s+", _ends(r"\s*->\s*", "/", r"\({}\)"))),
-    ("302013", "302014"): ("connection_lifecycle", Layout(Layout.field("action", "Built|Teardown"), r"\s+", Layout.field("direction", "inbound|outbound"), r"\s+", _PROTOCOL, r"\s+connection\s+", Layout.field("connection_id", r"\d+"), r"\s+for\s+", _ends(r"\s*(?:\([^)]*\))?\s*to\s+"))),
-}
 
 
-def _table(values: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), key)
+def _end(word: Column, side: str, mark: str, opening: str, port_needed: bool = True, more: bool = False) -> tuple[Column, dict[str, Column]]:
+    """One end of a connection as a firewall writes it: interface, ``mark``, address, ``opening`` and port, behind which ``more`` may follow. Whether the word is one, and its fields."""
+    tail = F.substring_index(word, mark, -1)
+    interface = F.substr(word, F.lit(1), F.length(word) - F.length(tail) - 1)
+    address, port = F.get(F.split(tail, f"[{opening}]", 2), F.lit(0)), F.get(F.split(tail, f"[{opening}]", 2), F.lit(1))
+    number = F.regexp_extract(port, r"^\d+", 0) if more else port
+    good = interface.rlike(r"(?U)^\S+$") & address.rlike("^[0-9A-Fa-f:.]+$") & F.coalesce(number.rlike(r"^\d+$"), F.lit(not port_needed))
+    return good, {f"{side}_interface": interface, f"{side}_ip": address, f"{side}_port": number}
+
+
+def _deny(message: Column) -> Column:
+    """106023: what was denied, from where to where, and, quoted, the access group that did it."""
+
+    def read(parts: Column) -> Column:
+        w = words(F.get(parts, F.lit(0)))
+        at = lambda i: F.get(w, F.lit(i))
+        src, dst = _end(at(3), "src", ":", "/", False), _end(at(5), "dst", ":", "/", False)
+        said = F.array_join(F.array(at(0), at(2), at(4), at(6), at(7), at(8)), " ") == "Deny src dst by access-group "
+        return F.when((F.size(parts) > 2) & (F.get(parts, F.lit(1)) != "") & (F.size(w) == 9) & said & src[0] & dst[0], entries(action=at(0), protocol=at(1), **src[1], **dst[1], acl_name=F.get(parts, F.lit(1)), event_type=F.lit("acl_deny")))
+
+    return let(F.split(message, '"', 3), read)
+
+
+def _hit(message: Column) -> Column:
+    """106100: the access list, whether it permitted or denied, and both ends with an arrow between."""
+
+    def read(sides: Column) -> Column:
+        w = words(F.get(sides, F.lit(0)))
+        at = lambda i: F.get(w, F.lit(i))
+        closed = F.get(words(F.get(sides, F.lit(1))), F.lit(0))
+        src, dst = _end(F.regexp_replace(at(4), r"\)$", ""), "src", "/", "("), _end(F.substring_index(closed, ")", 1), "dst", "/", "(")
+        good = (F.size(w) == 5) & (at(0) == "access-list") & at(2).isin("permitted", "denied") & at(4).endswith(")") & closed.contains(")")
+        return F.when(good & src[0] & dst[0], entries(acl_name=at(1), action=at(2), protocol=at(3), **src[1], **dst[1], event_type=F.lit("acl_hit")))
+
+    return let(F.split(message, r"(?U)\s*->\s*", 2), read)
+
 
+def _connection(message: Column) -> Column:
+    """302013 and 302014: a connection that was built or torn down, its direction and number, for one end to another; translated addresses in parentheses are passed over."""
 
-def _body(message: Column, kind: str, layout: Layout) -> Column:
-    """A message's fields and its event type; null if it doesn't have the layout."""
-    return let(layout.of(message, whole=False), lambda g: F.when(g.isNotNull(), F.map_concat(g, F.create_map(F.lit("event_type"), F.lit(kind)))))
+    def read(parts: Column) -> Column:
+        w, sides = words(F.get(parts, F.lit(0))), F.split(F.get(parts, F.lit(1)), r"(?U)\s*(?:\([^)]*\))?\s*to\s+", 2)
+        at = lambda i: F.get(w, F.lit(i))
+        src, dst = _end(F.get(sides, F.lit(0)), "src", ":", "/"), _end(F.regexp_extract(F.get(sides, F.lit(1)), r"(?U)^\S+", 0), "dst", ":", "/", more=True)
+        good = (F.size(w) == 5) & at(0).isin("Built", "Teardown") & at(1).isin("inbound", "outbound") & (at(3) == "connection") & at(4).rlike(r"^\d+$")
+        return F.when(good & src[0] & dst[0], entries(action=at(0), direction=at(1), protocol=at(2), connection_id=at(4), **src[1], **dst[1], event_type=F.lit("connection_lifecycle")))
+
+    return let(F.split(message, r"(?U)\s+for\s+", 2), read)
+
+
+#: How the messages are read beyond their header, by the ids that have them.
+_BODIES = {("106023",): _deny, ("106100",): _hit, ("302013", "302014"): _connection}
+
+
+def _header(text: Column) -> Column:
+    """What stands before and in a firewall message's tag, and its text: priority in angle brackets, date and clock in four words, and the device before a colon, each of which may lack; null if something else stands there or there is no tag."""
+
+    def read(parts: Column) -> Column:
+        left, tagged = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        pri = F.regexp_extract(left, r"^<(\d{1,3})>", 1)
+        unmarked = F.regexp_replace(F.when(pri != "", F.substr(left, F.length(pri) + 3)).otherwise(left), r"(?U)^\s+", "")
+        w = words(unmarked)
+        dated = F.coalesce((F.size(w) > 4) & F.get(w, F.lit(0)).rlike("^[A-Za-z]{3}$") & F.get(w, F.lit(1)).rlike(r"^\d{1,2}$") & F.get(w, F.lit(2)).rlike(r"^\d{4}$") & F.get(w, F.lit(3)).rlike(r"^\d\d:\d\d:\d\d$"), F.lit(False))
+        stamp = F.when(dated, F.regexp_extract(unmarked, r"(?U)^(?:\S+\s+){3}\S+", 0))
+        device = strip(F.when(dated, after(unmarked, stamp)).otherwise(unmarked))
+        host = strip(F.substr(device, F.lit(1), F.length(device) - 1))
+        good = tagged.rlike(r"^\d-\d{6}:") & ((device == "") | device.endswith(":") & host.rlike(r"(?U)^\S+$"))
+        return F.when(good, entries(priority=pri, timestamp_raw=stamp, hostname=F.when(device != "", host), severity=F.substr(tagged, F.lit(1), F.lit(1)), message_id=F.substr(tagged, F.lit(3), F.lit(6)), message_text=F.regexp_replace(F.substr(tagged, F.lit(10)), r"(?U)^\s+", "")))
+
+    return let(F.split(text, "%ASA-", 2), read)
+
+
+def _table(values: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(v) for kv in values.items() for v in kv]), key)
 
 
 def _asa(text: Column) -> Column:
@@ -127,18 +171,24 @@ def _asa(text: Column) -> Column:
         message = F.coalesce(F.try_element_at(h, F.lit("message_text")), F.lit(""))
         name = _table(dict(enumerate(SEVERITIES)), h["severity"].cast("int"))
         base = F.map_concat(F.map_filter(h, lambda k, _: k != "message_text"), F.create_map(F.lit("severity_name"), F.coalesce(name, F.lit("unknown")), F.lit("message_text"), message))
-        body = F.coalesce(*[F.when(own.isin(*ids), _body(message, *layout)) for ids, layout in _BODIES.items()])
+        body = F.coalesce(*[F.when(own.isin(*ids), read(message)) for ids, read in _BODIES.items()])
         known = own.isin(*[i for ids in _BODIES for i in ids])
         trouble = F.when(~known, F.array(issue("ASA_UNKNOWN_MESSAGE_ID", F.concat(F.lit("messages with id "), own, F.lit(" are read no further than their header")), "warning", "message_id"))).when(body.isNull(), F.array(issue("ASA_MESSAGE_BODY_NO_MATCH", "the text doesn't have the layout of its message id", "error", "message")))
         return parsed(F.when(trouble.isNull(), "success").otherwise("partial"), F.coalesce(trouble, F.array().cast(f"array<{ISSUE}>")), F.coalesce(F.map_concat(base, body), base))
 
     none = parsed("failed", F.array(issue("ASA_HEADER_NO_MATCH", "the firewall's tag and what stands before it can't be read")), F.lit(None))
-    return let(_HEADER.of(strip(text)), lambda h: F.when(h.isNull(), none).otherwise(with_header(h)))
+    return let(_header(strip(text)), lambda h: F.when(h.isNull(), none).otherwise(with_header(h)))
 
 
 EVE_KINDS = ("alert", "flow", "dns", "http")
-_EVE_TEXT = "timestamp flow_id event_type src_ip src_port dest_ip dest_port proto app_proto direction in_iface out_iface community_id suricata_version".split()
-_EVE_NESTED = {"alert": "action signature_id signature category severity", "flow": "pkts_toserver pkts_toclient bytes_toserver bytes_toclient state reason", "dns": "type rrname rrtype rdata", "http": "hostname url http_method status http_user_agent"}
+# Names of the sensor's fields, as they stand in its documents.
+_EVE_TEXT = ("timestamp", "flow_id", "event_type", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "app_proto", "direction", "in_iface", "out_iface", "community_id", "suricata_version")
+_EVE_NESTED = {
+    "alert": ("action", "signature_id", "signature", "category", "severity"),
+    "flow": ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient", "state", "reason"),
+    "dns": ("type", "rrname", "rrtype", "rdata"),
+    "http": ("hostname", "url", "http_method", "status", "http_user_agent"),
+}
 
 
 def _eve(text: Column) -> Column:
@@ -155,7 +205,7 @@ def _eve(text: Column) -> Column:
             *[F.when((type_of(f) != "absent") & ~((type_of(f) == "BIGINT") & F.coalesce(got(f, "bigint").between(0, 65535), F.lit(False))), issue("SURICATA_PORT_INVALID", f"{f} holds no port number", "error", f)) for f in ("src_port", "dest_port")],
             F.when(known & ~F.coalesce(*[F.when(kind == k, type_of(k).startswith("OBJECT")) for k in EVE_KINDS]), issue("SURICATA_EVENT_BODY_MISSING", F.concat(F.lit("no object under "), kind), "error", kind)),
         ]
-        flat = F.create_map(*[x for n in _EVE_TEXT for x in (F.lit(n), got(n))], *[x for k, names in _EVE_NESTED.items() for n in names.split() for x in (F.lit(f"{k}.{n}"), got(f"{k}.{n}"))])
+        flat = F.create_map(*[x for n in _EVE_TEXT for x in (F.lit(n), got(n))], *[x for k, names in _EVE_NESTED.items() for n in names for x in (F.lit(f"{k}.{n}"), got(f"{k}.{n}"))])
         return let(F.array_compact(F.array(*checks)), lambda issues: parsed(F.when(F.size(issues) > 0, "failed").otherwise("success"), issues, F.map_filter(flat, lambda _, x: x.isNotNull())))
 
     document = F.try_parse_json(F.when(F.is_valid_utf8(text), text))
