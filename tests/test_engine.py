@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from vantalog.operators import collect, deliver, export, metrics, store
+from vantalog.operators import collect, deliver, export, metrics, recent, store
 from vantalog.operators.validate import document_issues, validate
 from vantalog.plans.normalize import normalize
 from vantalog.plans.packs import PACKS, by_priority, parse
@@ -127,7 +127,7 @@ def test_recent_duplicates_are_those_of_a_bounded_cache(spark):
             expected.append(d in cache)
             cache = [c for c in cache if c != d] + [d]
             cache = cache[-room:]
-        assert [r.duplicate for r in collect.flag_recent_duplicates(rows, "sha", "n", "source", room).orderBy("n").collect()] == expected, room
+        assert [r.duplicate for r in recent.flag_recent_duplicates(rows, "sha", "n", "source", room).orderBy("n").collect()] == expected, room
 
 
 def test_percentiles(spark):

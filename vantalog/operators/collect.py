@@ -20,11 +20,24 @@ def rejection(payload: Column, most_bytes: int = MOST_BYTES) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, source: str = "file-replay") -> DataFrame:
-    """The events of log files, one a line: exactly the bytes up to a line feed, carriage returns included, empty lines too; the last line may lack its feed. Ids follow from file, place and bytes, so a file that is read again gives the same."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("payload"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
-    digest = F.sha2(F.concat_ws(":", F.col("file"), F.col("place").cast("string"), F.hex("payload")), 256)
-    named = F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("4"), F.substring(digest, 13, 3)), F.concat(F.lit("8"), F.substring(digest, 16, 3)), F.substring(digest, 19, 12))
-    return lines.select(named.alias("event_id"), F.current_timestamp().alias("ingested_at"), F.lit(source).alias("source_id"), F.lit(None).cast("string").alias("source_ip"), F.lit("file").alias("transport"), "payload")
+    """The events of log files, one a line: exactly the bytes up to a line feed, carriage returns included, empty lines too; the last line may lack its feed.
+
+    Ids follow from the file's name, the line's bytes and how many equal lines stand before it in the file, whatever the
+    splits: a file that is read again, beside others or not, gives the same. Equal lines are numbered within a split,
+    and the splits before it are added by their counts, so lines that are very common, as empty ones, don't meet in one task.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    name, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    placed = lines.select(F.col("value").cast("binary").alias("payload"), name.alias("file"), start.alias("block"), F.monotonically_increasing_id().alias("place")).withColumn("sum", F.sha2("payload", 256))
+    inside = placed.withColumn("nth", F.row_number().over(Window.partitionBy("file", "sum", "block").orderBy("place")) - 1)
+    earlier = Window.partitionBy("file", "sum").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("file", "sum", "block").agg(F.count("*").alias("n")).select("file", "sum", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = inside.join(before, ["file", "sum", "block"])
+    digest = F.sha2(F.concat_ws(":", "file", (F.col("before") + F.col("nth")).cast("string"), F.hex("payload")), 256)
+    cut = lambda at, size: F.substring(digest, at, size)
+    named = F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("4"), cut(13, 3)), F.concat(F.lit("8"), cut(16, 3)), cut(19, 12))
+    fixed = {"ingested_at": F.current_timestamp(), "source_id": F.lit(source), "source_ip": F.lit(None).cast("string"), "transport": F.lit("file")}
+    return placed.select(named.alias("event_id"), *[c.alias(n) for n, c in fixed.items()], "payload")
 
 
 def replay_summary(replayed: DataFrame) -> DataFrame:
@@ -65,28 +78,6 @@ def flag_duplicates(rows: DataFrame, digest: str, order: str) -> DataFrame:
     return rows.join(first, digest).withColumn("duplicate", F.col(order) > F.col("_first")).drop("_first")
 
 
-def flag_recent_duplicates(rows: DataFrame, digest: str, order: str, source: str, room: int = 10_000) -> DataFrame:
-    """As a cache of the ``room`` latest distinct digests of each source flags them: a hit renews a digest.
-
-    A row is a hit if fewer than ``room`` distinct digests lie between it and its digest's last occurrence. Distinct
-    digests in a stretch are those whose next occurrence lies beyond it. Rows with fewer than ``room`` rows since that
-    occurrence are hits at once; the others are joined to what lies between, whose cost grows with the length of such
-    stretches: meant for sources that are bounded in time, as a replayed day is.
-    """
-    own = Window.partitionBy(source, digest).orderBy(order)
-    along = Window.partitionBy(source).orderBy(order)
-    seen = rows.withColumns({"_prev": F.lag(order).over(own), "_n": F.row_number().over(along)})
-    seen = seen.withColumn("_prev_n", F.lag("_n").over(Window.partitionBy(source, digest).orderBy("_n")))
-    # Never more than the rows between: where those are fewer than the room, the cache still holds the digest.
-    sure = F.col("_n") - F.col("_prev_n") <= room
-    doubtful = seen.where(F.col("_prev_n").isNotNull() & ~sure).select(F.col(source).alias("_s"), F.col("_n").alias("_at"), F.col("_prev_n").alias("_from"))
-    marks = seen.select(F.col(source).alias("_s2"), "_n", F.lead("_n").over(Window.partitionBy(source, digest).orderBy("_n")).alias("_next"))
-    between = doubtful.join(marks, (F.col("_s") == F.col("_s2")) & (F.col("_n") > F.col("_from")) & (F.col("_n") < F.col("_at")) & (F.col("_next").isNull() | (F.col("_next") > F.col("_at")))).groupBy("_s", "_at").agg(F.count("*").alias("_distinct"))
-    joined = seen.join(between, (F.col(source) == F.col("_s")) & (F.col("_n") == F.col("_at")), "left")
-    hit = F.when(F.col("_prev_n").isNull(), False).when(sure, True).otherwise(F.coalesce("_distinct", F.lit(0)) < room)
-    return joined.withColumn("duplicate", hit).select(*rows.columns, "duplicate")
-
-
 def envelope(ingested: DataFrame, collector: str = "vantalog", version: str = "1.0.0") -> DataFrame:
     """Accepted events on the wire: base64 payload, size and hash for whoever reads them."""
     return ingested.where("reason is null").select(F.lit("1.0.0").alias("contract_version"), "event_id", "ingested_at", "source_id", "source_ip", "transport", F.base64("payload").alias("raw_payload_b64"), "raw_size", "raw_sha256", F.lit(collector).alias("collector_id"), F.lit(version).alias("collector_version"))
@@ -101,8 +92,33 @@ def contract_error(prefix: str = "") -> Column:
 
 
 def archive(ingested: DataFrame, path: str) -> None:
-    """Exact bytes and their metadata, by day."""
-    ingested.where("reason is null").withColumn("day", F.to_date("ingested_at")).write.mode("append").partitionBy("day").parquet(path)
+    """Exact bytes and their metadata, by day, with filters on id and hash in every file, so that a point read passes over all row groups that can't have it."""
+    rows = ingested.where("reason is null").withColumn("day", F.to_date("ingested_at"))
+    rows.write.options(**bloom_filters("event_id", "raw_sha256")).mode("append").partitionBy("day").parquet(path)
+
+
+def bloom_filters(*columns: str, most: int = 1_000_000) -> dict[str, str]:
+    """Options of a Parquet writer that gives every row group a Bloom filter of each column, sized for at most ``most`` values."""
+    return {f"parquet.bloom.filter.{option}#{c}": value for c in columns for option, value in (("enabled", "true"), ("expected.ndv", str(most)), ("adaptive.enabled", "true"))}
+
+
+#: Values that a point read hands to the files; Spark hands over longer lists as a range only.
+MOST_POINTS = 10
+
+
+def points(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """The rows whose ``column`` is one of a few values: the files' statistics and Bloom filters decide which row groups are read at all. More values than ``MOST_POINTS`` are for ``store.lookup``."""
+    if len(values) > MOST_POINTS:
+        raise ValueError(f"a point read takes at most {MOST_POINTS} values")
+    found = F.lit(False)
+    for v in values:
+        found = found | (F.col(column) == v)
+    return rows.where(found)
+
+
+def archived_event(archived: DataFrame, event_id: str) -> DataFrame:
+    """The archived event of that id, read by point. Nothing if it isn't there whole: bytes and metadata make a pair, and the bytes must have the recorded hash."""
+    return points(archived, "event_id", [event_id]).where(F.col("payload").isNotNull() & (F.sha2("payload", 256) == F.col("raw_sha256")))
 
 
 def replay(archived: DataFrame, asked: DataFrame) -> DataFrame:

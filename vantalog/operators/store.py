@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_token
 from ..plans.normalize import LABELS, STATUSES, unified_json
+from .collect import bloom_filters, points
 
 
 def event_rows(events: DataFrame) -> DataFrame:
@@ -31,9 +32,9 @@ def quarantine_rows(validated: DataFrame) -> DataFrame:
 
 
 def write_events(validated: DataFrame, path: str) -> None:
-    """Events and quarantine below ``path``: by month, in ranges of time and id that Spark sizes, so that scans prune and skip. ``vendor_key`` is the vendor in lower case, for searches that reach the files."""
+    """Events and quarantine below ``path``: by month, in ranges of time and id that Spark sizes, so that scans prune and skip, with Bloom filters on id and hash. ``vendor_key`` is the vendor in lower case, for searches that reach the files."""
     rows = event_rows(validated.where("storable")).withColumns({"vendor_key": F.lower("vendor"), "month": F.date_format("observed_at", "yyyyMM")})
-    rows.repartitionByRange("month", "observed_at", "event_id").sortWithinPartitions("month", "observed_at", "event_id").write.mode("append").partitionBy("month").parquet(f"{path}/events")
+    rows.repartitionByRange("month", "observed_at", "event_id").sortWithinPartitions("month", "observed_at", "event_id").write.options(**bloom_filters("event_id", "raw_sha256")).mode("append").partitionBy("month").parquet(f"{path}/events")
     quarantine_rows(validated).write.mode("append").parquet(f"{path}/quarantine")
 
 
@@ -83,6 +84,11 @@ def lookup(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame
     return latest(rows.join(keys.select(F.col(key).alias(column)).distinct(), column, "left_semi"), (column,))
 
 
+def point(rows: DataFrame, column: str, *values: str) -> DataFrame:
+    """``lookup`` for a few ids or hashes: only row groups that can have them are read."""
+    return latest(points(rows, column, list(values)), (column,))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Totals of events, allowed and denied actions, and their shares of all decisions in per mille, half up."""
     allow, deny = F.count_if(F.col("action").isin("allow", "connect", "authenticate")), F.count_if(F.col("action").isin("deny", "block"))

@@ -65,10 +65,20 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
+def _versions(spark: SparkSession, rows: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of writing of the files behind ``rows``: a file that is written anew under its name is another."""
+    found = []
+    for name in sorted(rows.inputFiles()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def stored(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the unified events and of the event table made from the events: written once an application and input, then read by all queries, as searches and dashboards read what streams have stored."""
     events = table(spark, sf_dir, "events")
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(events.inputFiles())))
+    key = (spark.sparkContext.applicationId, sf_dir, _versions(spark, events))
     if key not in _STORED:
         path = new_path(spark, "events")
         made = validate(normalize(parse(raw(spark, sf_dir)), F.col("ingested_at") + F.expr("INTERVAL 1 SECOND")))
@@ -638,12 +648,6 @@ def stream_parse_counts(spark, sf_dir):
     return out.where(F.col("topic") == stages.PARSED).groupBy(F.coalesce("pack", F.lit("none")).alias("pack"), "status").agg(F.count("*").alias("n"))
 
 
-@query("x: SELECT count(*) AS n FROM x")
-def stream_distinct_events(spark, sf_dir):
-    out = _streamed(spark, sf_dir, "dedupe", lambda s: stages.live_duplicates(s, "ingested_at", "400 days").select("event_id"))
-    return out.agg(F.count("*").alias("n"))
-
-
 @query("x: SELECT m5 AS window_start, 'dev-' || (u % 20) AS source_id, count(*) AS n FROM (SELECT u, time_bucket(INTERVAL 5 SECOND, ingested) AS m5 FROM x) GROUP BY ALL")
 def stream_rollup(spark, sf_dir):
     out = _streamed(spark, sf_dir, "rollup", lambda s: stages.live_rollup(s, "ingested_at", 5, "400 days"), "update")

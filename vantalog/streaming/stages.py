@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +14,7 @@ from ..operators.store import event_rows, quarantine_rows
 from ..operators.validate import validate
 from ..plans.normalize import normalize
 from ..plans.packs import parse
+from .poison import isolated
 
 RAW, PARSED, NORMALIZED, RETRY, DEAD, METRICS = "raw-event", "parsed-event", "normalized-event", "retry", "dead-letter", "metrics"
 MOST_ATTEMPTS, BACKOFF_S, BACKOFF_CAP_S, HORIZON_MS = 5, 15, 1800, 1_805_000
@@ -67,19 +70,34 @@ def publish(rows: DataFrame, root: str, name: str) -> None:
     rows.write.mode("append").parquet(f"{root}/{name}")
 
 
-def run_pipeline(spark: SparkSession, root: str, schema, out: str, checkpoint: str, transient: Column | None = None, now_ms: Column | None = None, **trigger) -> StreamingQuery:
+def dead_letters(rows: DataFrame, code: Column) -> DataFrame:
+    """Envelopes as dead letters: the bytes and their hash as key; where the base64 can't be decoded, its own text stands for them, and is kept."""
+    coded = F.encode(F.coalesce("raw_payload_b64", F.lit("")), "utf-8")
+    payload = F.try_to_binary("raw_payload_b64", F.lit("base64"))
+    undecoded = payload.isNull() & F.col("raw_payload_b64").isNotNull()
+    return rows.select("event_id", F.sha2(F.coalesce(payload, coded), 256).alias("key"), payload.alias("payload"), F.when(undecoded, F.col("raw_payload_b64")).alias("raw_payload_b64"), code.alias("error_code"))
+
+
+def run_pipeline(
+    spark: SparkSession, root: str, schema, out: str, checkpoint: str, transient: Column | None = None, now_ms: Column | None = None, plug: Callable[[DataFrame], DataFrame] | None = None, **trigger
+) -> StreamingQuery:
     """From envelopes to the event table, quarantine, dead letters, retries, normalised events and metrics.
 
     Each batch is written under its own number, so a batch that runs again replaces itself. ``transient`` says of an
     envelope (with its ``attempt``, 0 at first) whether processing fails for now; such envelopes are held in the retry
     topic until ``release_due`` feeds them back, for which ``schema`` must have ``attempt``. The clock is a column
-    of the batch; what is parsed and validated is kept for the batch's writes.
+    of the batch; what is parsed and validated is kept for the batch's writes. ``plug`` is code from outside over the
+    envelopes, columns and all; rows on which it raises are isolated and go to the dead letters as POISON_MESSAGE,
+    while the others go on.
     """
     columns = schema.fieldNames()
 
     def write(batch: DataFrame, number: int) -> None:
         put = lambda rows, name: rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
         clock = {"_now_ms": now_ms if now_ms is not None else F.unix_millis(F.current_timestamp()), "_now": F.current_timestamp()}
+        lost = None
+        if plug is not None:
+            batch, lost = isolated(batch, plug, f"{out}/_isolated/batch={number}")
         timed = computed_once(batch.withColumns(clock), "clock")
         decided = parsed_decisions(timed if transient is None else timed.withColumn("transient", transient), F.col("_now_ms")).persist()
         kept = [decided]
@@ -91,7 +109,8 @@ def run_pipeline(spark: SparkSession, root: str, schema, out: str, checkpoint: s
             put(stored, "events")
             put(stored.select("event_id", "normalized_json"), NORMALIZED)
             put(quarantine_rows(good).withColumn("event_id", F.col("event_id").cast("string")), "quarantine")
-            put(to(DEAD).select("event_id", F.sha2(F.coalesce("payload", F.lit("").cast("binary")), 256).alias("key"), "payload", "decision.error_code"), DEAD)
+            dead = dead_letters(to(DEAD), F.col("decision.error_code"))
+            put(dead if lost is None else dead.unionByName(dead_letters(lost, F.lit("POISON_MESSAGE"))), DEAD)
             put(to(RETRY).select(*[c for c in columns if c != "attempt"], "decision.attempt", "decision.not_before_ms", F.lit(STAGES[0]).alias("stage")), RETRY)
             put(decided.groupBy("decision.topic").agg(F.count("*").alias("n")), METRICS)
         finally:
@@ -115,8 +134,7 @@ def release_due(spark: SparkSession, root: str, schema, out: str, now_ms: Column
     routed = left.withColumn("_route", retry_route(F.col("stage"), F.col("not_before_ms"), now_ms)).persist()
     try:
         open_ = routed.where(F.col("_route") != DEAD).count()
-        payload = F.try_to_binary("raw_payload_b64", F.lit("base64"))
-        lost = routed.where(F.col("_route") == DEAD).select("event_id", F.sha2(F.coalesce(payload, F.lit("").cast("binary")), 256).alias("key"), payload.alias("payload"), F.lit("INVALID_RETRY_HEADERS").alias("error_code"))
+        lost = dead_letters(routed.where(F.col("_route") == DEAD), F.lit("INVALID_RETRY_HEADERS"))
         lost.write.mode("append").parquet(f"{out}/{DEAD}/released")
         publish(routed.where(F.col("_route").isin(*STAGES)).select(*[F.col(f.name).cast(f.dataType) for f in schema]), root, RAW)
         return open_
@@ -127,8 +145,3 @@ def release_due(spark: SparkSession, root: str, schema, out: str, now_ms: Column
 def live_rollup(rows: DataFrame, ts: str = "ts", seconds: int = 5, late: str = "10 minutes") -> DataFrame:
     """Counts per source in tumbling windows of a stream; state ends with the watermark."""
     return rows.withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds"), "source_id").agg(F.count("*").alias("n"))
-
-
-def live_duplicates(rows: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """A stream's first event of each hash within the watermark."""
-    return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(["raw_sha256"])
