@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vantalog.operators import collect, export, recent
+from vantalog.operators import collect, export, recent, store
 from vantalog.sources import topics
 from vantalog.streaming import measures, poison, stages
 
@@ -251,3 +251,24 @@ def test_line_ids_follow_from_file_and_line_only(spark, tmp_path):
     (tmp_path / "0.log").write_bytes(b"another\n")
     beside = {r.event_id for r in collect.read_lines(spark, str(tmp_path)).collect()}
     assert ids["128m"] == ids["4k"] and len(set(ids["4k"])) == 4004 and beside > set(ids["4k"]) and len(beside) == 4005
+
+
+def test_searches_see_versions_that_count_and_reach_the_files(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 5)
+    kind = ", ".join(f"{n} string" for n in ("event_id", "vendor", "product", "category", "event_type", "action", "severity_label", "quality_status", "raw_sha256", "normalized_json")) + ", observed_at timestamp, normalized_at timestamp"
+    row = lambda i, action, turn: (f"e{i}", "Acme", "Gate", "network", "t", action, "low", "valid", f"{i:064d}", f'{{"n":{i}}}', at + datetime.timedelta(days=20 * (i % 4)), at + datetime.timedelta(hours=turn))
+    make = lambda rows: spark.createDataFrame(rows, kind)
+    store.append_rows(make([row(i, "allow", 0) for i in range(40)]), str(tmp_path))
+    store.append_rows(make([row(i, "deny", 1) for i in range(0, 40, 3)] + [row(1, "allow", 0)]), str(tmp_path))
+    store.append_rows(make([row(3, "late", 0), row(6, "again", 1)]), str(tmp_path))  # an old version that came late, and a second of one version
+    rows = store.current(spark.read.parquet(f"{tmp_path}/events"))
+    assert rows.count() == 40
+    found = {a: {r.event_id for r in store.search(rows, action=a, limit=None).collect()} for a in ("allow", "deny", "late", "again")}
+    denied = {f"e{i}" for i in range(0, 40, 3)} - {"e6"}
+    assert found == {"allow": {f"e{i}" for i in range(40) if i % 3}, "deny": denied, "late": set(), "again": {"e6"}}
+    plan = store.search(rows, action="deny", start="2024-02-01", end="2024-03-01", limit=None)._jdf.queryExecution().toString()
+    scans = [line for line in plan.split("== Physical Plan ==")[1].splitlines() if "FileScan" in line]
+    assert len(scans) >= 2 and all("month" in s.split("PartitionFilters: [")[1].split("]")[0] for s in scans)
+    wide = [s for s in scans if "vendor" in s]
+    assert len(wide) < len(scans) and all("action" in s.split("DataFilters: [")[1].split("]")[0] for s in wide)
+    assert {r.event_id for r in store.search(rows, action="deny", start="2024-02-01", end="2024-03-01", limit=None).collect()} == {e for e in denied if int(e[1:]) % 4 == 2}

@@ -33,11 +33,17 @@ def quarantine_rows(validated: DataFrame) -> DataFrame:
 
 def write_events(validated: DataFrame, path: str) -> None:
     """Events and quarantine below ``path``: by month, in ranges of time and id that Spark sizes, so that scans prune and skip, with Bloom filters on id and hash. ``vendor_key`` is the vendor in lower case, for searches that reach the files."""
-    rows = event_rows(validated.where("storable")).withColumns({"vendor_key": F.lower("vendor"), "month": F.date_format("observed_at", "yyyyMM")})
-    rows.repartitionByRange("month", "observed_at", "event_id").sortWithinPartitions("month", "observed_at", "event_id").write.options(**bloom_filters("event_id", "raw_sha256")).mode("append").partitionBy("month").parquet(f"{path}/events")
+    append_rows(event_rows(validated.where("storable")), path)
     quarantine_rows(validated).write.mode("append").parquet(f"{path}/quarantine")
 
 
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Appends event rows to the table; ``stored_at`` and ``stored_row`` tell equal versions of an event apart."""
+    more = {"vendor_key": F.lower("vendor"), "month": F.date_format("observed_at", "yyyyMM"), "stored_at": F.current_timestamp(), "stored_row": F.monotonically_increasing_id()}
+    rows = rows.withColumns(more)
+    rows.repartitionByRange("month", "observed_at", "event_id").sortWithinPartitions("month", "observed_at", "event_id").write.options(**bloom_filters("event_id", "raw_sha256")).mode("append").partitionBy("month").parquet(f"{path}/events")
+
+
 def quarantine_payload(message: Column, payload: Column) -> Column:
     """The quarantine row of a message that isn't a JSON object: its bytes as base64 and their hash, with the one code for it; null for JSON objects."""
     good = F.coalesce(F.schema_of_variant(F.try_parse_json(F.when(F.is_valid_utf8(payload.cast("string")), payload.cast("string")))).startswith("OBJECT"), F.lit(False))
@@ -51,6 +57,19 @@ def latest(rows: DataFrame, keys: tuple[str, ...] = ("observed_at", "event_id"),
     return best.select(*keys, "_best.*").select(*rows.columns)
 
 
+def current(rows: DataFrame) -> DataFrame:
+    """Of every stored event the version that counts: of the highest normalized_at, and of several such the one stored last.
+
+    Only keys and versions are aggregated; the rows themselves are asked whether they are the version that counts. So
+    facets asked of the result reach the files below, a time range reaches both scans, and no JSON moves for rows that
+    a facet leaves out.
+    """
+    keys = [k for k in ("month", "observed_at", "event_id") if k in rows.columns]
+    version = F.struct("normalized_at", "stored_at", "stored_row")
+    newest = rows.select(*keys, version.alias("_v")).groupBy(*keys).agg(F.max("_v").alias("_v")).select(*keys, "_v.*")
+    return rows.join(newest, [*keys, "normalized_at", "stored_at", "stored_row"], "left_semi")
+
+
 def month_range(start: str | None, end: str | None) -> Column:
     """The partitions that a time range can touch."""
     out = F.lit(True)
