@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import collect, export, recent, store
 from ..sources import topics
-from ..sources.events import table
+from ..sources.events import table, uuid_of
 from ..sources.shared import new_path
 from ..streaming import measures, stages
+from . import contracts, legacy
 from .catalog import query, raw, rows
 
 #: Micro-batches that the streams below take.
@@ -138,3 +139,58 @@ def stream_poison(spark, sf_dir):
     taken = every.schema("event_id string").parquet(f"{root}/out/events").select("event_id", F.lit("taken").alias("outcome"))
     dead = every.schema("event_id string, error_code string").parquet(f"{root}/out/{stages.DEAD}").select("event_id", F.col("error_code").alias("outcome"))
     return taken.unionByName(dead)
+
+
+@query(
+    """x: SELECT e AS seq, CASE WHEN e % 13 IN (1, 2, 3, 4, 5, 6, 7, 8) THEN 'INVALID_RAW_CONTRACT' END AS raw_code,
+    CASE WHEN e % 13 IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11) THEN 'INVALID_PARSED_CONTRACT' END AS parsed_code FROM x"""
+)
+def contract_documents(spark, sf_dir):
+    """Every event's envelope and parsed event as documents, most of them broken in one way, and what their contracts say."""
+    seq = F.right("event_id", F.lit(12)).cast("long")
+    sent = collect.envelope(collect.ingest(raw(spark, sf_dir))).withColumn("ingested_at", F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    text, kind = F.to_json(F.struct(*sent.columns)), seq % 13
+    swap = lambda old, new: F.regexp_replace(text, old, new)
+    broken = F.coalesce(
+        F.when(kind == 1, swap(r"^\{", '{"surprise":1,')),
+        F.when(kind == 2, swap(r'("ingested_at":"[^"]*)Z"', '$1+02:00"')),
+        F.when(kind == 3, swap(r',"collector_id":"[^"]*"', "")),
+        F.when(kind == 4, swap(r'"raw_size":(\d+)', '"raw_size":1$1')),
+        F.when(kind == 5, swap(r'"raw_size":(\d+)', '"raw_size":"$1"')),
+        F.when(kind == 6, swap(r'"transport":"file"', '"transport":"pigeon"')),
+        F.when(kind == 7, swap(r'"source_ip":"[^"]*"', '"source_ip":"300.1.1.1"')),
+        F.when(kind == 8, swap(r"\}$", ',"metadata":[]}')),
+        F.when(kind == 12, swap(r'"source_ip":"[^"]*"', '"source_ip":null')),
+        text,
+    )
+    named = F.when(kind == 9, uuid_of(seq + 1)).otherwise(F.upper("event_id"))
+    status = F.when(kind == 10, "maybe").otherwise("partial")
+    severity = F.when(kind == 11, "fatal").otherwise("error")
+    form = '{"event_id":"%s","parsed_at":"2024-01-01T00:00:00","vendor":null,"product":"P","product_version":null,"parser_id":"p","parser_version":"1","source_pack_id":null,"source_pack_version":null,"detected_format":"f","status":"%s","issues":[{"code":"C","message":"m","severity":"%s","field":null}],"extracted_fields":{"a":[1,{"b":null}]},"raw_event":%s}'
+    documents = sent.select(seq.alias("seq"), broken.alias("envelope"), named.alias("named"), status.alias("said"), severity.alias("severity"))
+    documents = documents.withColumn("parsed", F.format_string(form, "named", "said", "severity", "envelope"))
+    return documents.select("seq", contracts.raw_contract_error(F.col("envelope")).alias("raw_code"), contracts.parsed_contract_error(F.col("parsed")).alias("parsed_code"))
+
+
+@query(
+    """x: SELECT e AS seq, e % 3 <> 0 AS kept_id, sha256('line ' || e) AS raw_sha256, CASE WHEN e % 2 = 0 THEN 'cisco.asa.syslog' ELSE 'unknown.legacy_parser' END AS parser_id,
+    CASE WHEN e % 4 = 3 THEN '0.0.0' ELSE '1.2.' || (e % 4) END AS parser_version, CASE WHEN e % 2 = 0 THEN 'syslog' ELSE 'unknown' END AS detected_format,
+    ['success', 'partial', 'failed', 'unrecognized', 'failed'][e % 5 + 1] AS status, e::VARCHAR AS number, CASE WHEN e % 3 = 0 THEN 'old-' || e END AS legacy_id,
+    array_to_string(list_filter([CASE WHEN e % 2 = 0 THEN 'ASA_HEADER_NO_MATCH' ELSE 'LEGACY_PARSE_ERROR' END, CASE WHEN e % 2 = 1 THEN 'LEGACY_PARSER_PROVENANCE_UNKNOWN' END, CASE WHEN e % 3 = 0 THEN 'LEGACY_EVENT_ID_NOT_UUID' END], lambda c: c IS NOT NULL), ',') AS codes FROM x"""
+)
+def legacy_events(spark, sf_dir):
+    """Every event in one of two earlier shapes, adapted."""
+    e = F.col("event_id")
+    named = F.when(e % 3 == 0, F.format_string("old-%d", e)).otherwise(uuid_of(e))
+    line = F.format_string("line %d", e)
+    state = F.element_at(F.array(*map(F.lit, ("success", "partial", "error", "unparsed_fallback", "new"))), (e % 5 + 1).cast("int"))
+    version = F.when(e % 4 != 3, F.format_string("1.2.%d", e % 4))
+    numbers = F.struct(e.alias("number"))
+    error = F.struct(F.lit("ASA_HEADER_NO_MATCH").alias("code"), F.lit("m").alias("message"), F.lit("error").alias("severity"))
+    first = F.struct(named.alias("event_id"), F.struct(F.base64(line.cast("binary")).alias("payload_b64")).alias("raw_event"), F.lit("cisco_asa").alias("source_pack_id"), version.alias("source_pack_version"), state.alias("parse_status"), F.array(error).alias("parse_errors"), numbers.alias("extracted_fields"), F.lit("2024-01-01T00:00:00").alias("parsed_at"))
+    second = F.struct(named.alias("event_id"), F.struct(line.alias("raw_payload")).alias("raw_event"), F.lit("other").alias("source_pack_id"), version.alias("pack_version"), state.alias("status"), F.array(F.lit("went wrong")).alias("errors"), numbers.alias("fields"), F.lit("2024-01-01T00:00:00Z").alias("parsed_at"))
+    documents = table(spark, sf_dir, "events").select(e.alias("seq"), F.when(e % 2 == 0, F.to_json(first)).otherwise(F.to_json(second)).alias("document"))
+    found = legacy.adapted(documents)
+    kept = F.col("event_id") == uuid_of(F.col("seq"))
+    field = lambda n: F.try_element_at("fields", F.lit(n))
+    return found.select("seq", kept.alias("kept_id"), F.sha2("payload", 256).alias("raw_sha256"), "parser_id", "parser_version", "detected_format", "status", field("number").alias("number"), field("_legacy_event_id").alias("legacy_id"), F.array_join(F.transform("issues", lambda i: i.code), ",").alias("codes"))
