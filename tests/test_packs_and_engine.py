@@ -10,7 +10,7 @@ from vantalog.engine import Engine, main
 from vantalog.functions import parsers
 from vantalog.operators import collect, store
 from vantalog.plans import manifests
-from vantalog.plans.packs import asa_confidence, parse
+from vantalog.plans.packs import asa_confidence, guarded, parse
 
 GOOD = {"pack": {"vendor": "Acme", "product": "Gate", "pack_version": "2.1.0"}, "detection": {"priority": 95, "rules": [{"type": "keyword", "any_of": ["acmegate"]}, {"type": "equals", "target": "source_ip", "equals": "192.0.2.77"}]}, "format": {"type": "key_value"}, "fields": [{"name": "action", "source": "act", "required": True}, {"name": "zone", "source": "zone", "default": "none"}]}
 
@@ -81,3 +81,60 @@ def test_small_helpers(spark):
     at = datetime.datetime(2024, 1, 2)
     seen = spark.createDataFrame([("a", ["STORAGE_WRITE_FAILED"], at), ("b", ["x"], at), ("c", ["x"], at + datetime.timedelta(1))], "event_id string, error_codes array<string>, quarantined_at timestamp")
     assert tuple(store.quarantine_summary(seen, end="2024-01-03 00:00:00").first()) == (2, 1)
+
+
+MAPPED = GOOD | {
+    "fields": [{"name": n, "source": n} for n in ("act", "src", "spt", "dst", "dpt", "proto", "sev", "msg", "kind")],
+    "mapping": {
+        "id": "acme_gate",
+        "version": "1.0.0",
+        "name": "Acme Gate event",
+        "category": {"field": "kind", "values": {"flow": "network", "login": "system"}, "default": "unknown"},
+        "type": {"field": "kind", "default": "acme_event"},
+        "message": ["msg"],
+        "source": {"ip": "src", "port": "spt"},
+        "destination": {"ip": "dst", "port": "dpt"},
+        "transport": "proto",
+        "action": {"field": "act", "values": {"drop": ["deny", "failure"], "pass": ["allow", "success"]}},
+        "severity": {"field": "sev", "values": {"1": [8, "high"], "3": [2, "low"]}},
+        "observer_type": "firewall",
+    },
+}
+
+
+def _mapping(**changes):
+    return MAPPED | {"mapping": {k: v for k, v in (MAPPED["mapping"] | changes).items() if v is not None}}
+
+
+@pytest.mark.parametrize("changes", [{"id": "Acme"}, {"version": "1"}, {"name": None}, {"category": {"default": "sports"}}, {"category": {"field": "kind"}}, {"action": {"field": "act", "values": {"x": "deny"}}}, {"severity": {"field": "sev", "values": {"1": [11, "high"]}}}, {"source": []}, {"message": "msg"}])
+def test_broken_mappings(changes):
+    assert manifests.problems(_mapping(**changes)) and manifests.problems(MAPPED) == []
+
+
+def test_a_manifest_with_a_mapping_reaches_valid_events_without_code(spark, tmp_path):
+    for name, data in {"acme": MAPPED, "twin": _with("pack", id="other") | {"mapping": MAPPED["mapping"]}}.items():
+        (tmp_path / "packs" / name).mkdir(parents=True)
+        (tmp_path / "packs" / name / "manifest.json").write_text(json.dumps(data))
+    engine = Engine(spark, str(tmp_path / "store"), str(tmp_path / "packs"))
+    assert engine.left_out == {"twin": ["mapping acme_gate is taken"]}
+    lines = [b'acmegate kind=flow act=DROP src=192.0.2.1 spt=1024 dst=198.51.100.2 dpt=443 proto=tcp sev=1 msg="a b"', b"acmegate kind=flow act=pass src=192.0.2.1 proto=17 sev=9 msg=m", b"acmegate kind=login act=pass sev=3 msg=hello", b"acmegate x=1"]
+    (tmp_path / "in.log").write_bytes(b"\n".join(lines))
+    found = sorted(engine.evaluated(collect.read_lines(spark, str(tmp_path / "in.log"))).collect(), key=lambda r: lines.index(bytes(r.payload)))
+    first, second, third, bare = found
+    assert (first.quality.status, first.quality.parsing_confidence, first.storable) == ("valid", 1.0, True)
+    assert (first.event.category, first.event.type, first.event.name, first.event.message) == ("network", "flow", "Acme Gate event", "a b")
+    assert (first.action.original, first.action.normalized, first.action.outcome) == ("DROP", "deny", "failure")
+    assert (first.severity.normalized, first.severity.label, first.network.transport, first.observer.type) == (8, "high", "tcp", "firewall")
+    assert (first.source.ip, first.source.port, first.destination.ip, first.destination.port) == ("192.0.2.1", 1024, "198.51.100.2", 443)
+    assert (second.quality.status, second.event.category, second.severity.label) == ("partial", "unknown", "unknown")
+    assert second.quality.missing_fields == ["destination.ip"] and second.network is None
+    assert (third.quality.status, third.event.category, third.action.normalized) == ("valid", "system", "allow")
+    assert (bare.event.category, bare.event.type, bare.quality.missing_fields, bare.storable) == ("unknown", "acme_event", ["event.message"], True)
+
+
+def test_results_that_speak_of_other_events_count_for_nothing(spark):
+    rows = parse(spark.createDataFrame([(i, "1.1.1.1", b"<38>Jan  2 03:04:05 node cron[77]: job") for i in ("a", "b", "c")], "event_id string, source_ip string, payload binary"))
+    said = rows.withColumns({"said_event_id": F.when(F.col("event_id") == "b", "a").otherwise(F.col("event_id")), "said_raw_sha256": F.when(F.col("event_id") == "c", "0" * 64).otherwise(F.sha2("payload", 256))})
+    found = {r.event_id: r for r in guarded(said).collect()}
+    assert [found[i].status for i in "abc"] == ["success", "failed", "failed"] and found["a"].fields and not found["b"].fields
+    assert [i.code for i in found["c"].issues] == ["PARSER_IDENTITY_MISMATCH"] and "said_event_id" not in found["a"]

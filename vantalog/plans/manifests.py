@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from ..functions import parsers
+from .mappings import ACTIONS, CATEGORIES, OUTCOMES, of_manifest
 from .packs import PACKS, Pack, Rule, by_priority
 
 @dataclass(frozen=True)
@@ -40,6 +41,9 @@ def _texts(v: object) -> bool:
     return isinstance(v, list) and all(isinstance(w, str) for w in v)
 
 
+# Labels of severities.
+LABELS = ("critical", "high", "medium", "low", "informational", "unknown")
+
 _NAME = Form("a text", lambda v: isinstance(v, str))
 _FILLED = Form("a text that isn't blank", lambda v: isinstance(v, str) and bool(v.strip()))
 #: What a detection rule may look at beside the text, and how rules of each type name their values.
@@ -47,6 +51,45 @@ _TARGET = Form("one of raw_payload, source_ip", lambda v: v in ("raw_payload", "
 VALUES = {"regex": "pattern", "keyword": "any_of", "equals": "equals"}
 _VALUE_FORMS = {"regex": Form("a regular expression", _compiles), "keyword": Form("a list of texts", _texts), "equals": _NAME}
 _RULE = Form("a mapping", _mapping, by="type", forms={kind: Form("a mapping", _mapping, {VALUES[kind]: form, "target": _TARGET}) for kind, form in _VALUE_FORMS.items()})
+
+
+def _form_of(good: Callable[[object], bool], said: str, optional: bool = True) -> Form:
+    return Form(said, good, optional=optional)
+
+
+def _table_form(stands: Callable[[object], bool], optional: bool = True) -> Form:
+    """A table from a field's values to what they stand for, or a default alone."""
+    values = _form_of(lambda v: isinstance(v, dict) and all(isinstance(k, str) and stands(x) for k, x in v.items()), "a mapping of texts to what they stand for")
+    field_ = _form_of(lambda v: isinstance(v, str) and bool(v), "a field's name")
+    return Form("a mapping with field and values, or a default", lambda v: _mapping(v) and ("default" in v or {"field", "values"} <= set(v)), {"field": field_, "values": values, "default": _form_of(stands, "what a value stands for")}, optional=optional)
+
+
+def _pair(first: Callable[[object], bool], second: tuple[str, ...]) -> Callable[[object], bool]:
+    return lambda v: isinstance(v, list) and len(v) == 2 and first(v[0]) and v[1] in second
+
+
+_SNAKE = _form_of(lambda v: isinstance(v, str) and re.fullmatch("[a-z][a-z0-9_]*", v) is not None, "a snake_case name", False)
+_END = Form("a mapping", _mapping, {n: _form_of(lambda v: isinstance(v, str), "a field's name") for n in ("ip", "port", "interface")}, optional=True)
+#: How a pack reaches the unified schema.
+MAPPING = Form(
+    "a mapping",
+    _mapping,
+    {
+        "id": _SNAKE,
+        "version": _form_of(lambda v: isinstance(v, str) and re.fullmatch(r"\d+\.\d+\.\d+", v) is not None, "a semantic version", False),
+        "name": _FILLED,
+        "category": _table_form(lambda v: v in CATEGORIES, False),
+        "type": Form("a mapping", _mapping, {"field": _form_of(lambda v: isinstance(v, str), "a field's name"), "default": Form(_SNAKE.said, _SNAKE.good, optional=True)}, optional=True),
+        "message": _form_of(_texts, "a list of fields"),
+        "source": _END,
+        "destination": _END,
+        "transport": _form_of(lambda v: isinstance(v, str), "a field's name"),
+        "action": _table_form(_pair(lambda a: a in ACTIONS, OUTCOMES)),
+        "severity": _table_form(_pair(lambda n: isinstance(n, int) and not isinstance(n, bool) and 0 <= n <= 10, LABELS)),
+        "observer_type": _form_of(lambda v: isinstance(v, str) and bool(v), "a text"),
+    },
+    optional=True,
+)
 #: The whole of a manifest.
 MANIFEST = Form(
     "a mapping",
@@ -63,6 +106,7 @@ MANIFEST = Form(
         ),
         "format": Form("a mapping", _mapping, {"type": Form(f"one of {', '.join(parsers.PARSERS)}", lambda v: isinstance(v, str) and v in parsers.PARSERS)}),
         "fields": Form("a list", lambda v: isinstance(v, list), each=Form("a mapping", _mapping, {"name": _NAME, "source": _NAME})),
+        "mapping": MAPPING,
     },
 )
 
@@ -88,7 +132,7 @@ def pack_of(manifest: dict, name: str) -> Pack:
     rules = tuple(Rule(r["type"], tuple(r["any_of"]) if r["type"] == "keyword" else (r[VALUES[r["type"]]],), r.get("target", "raw_payload")) for r in detection.get("rules", []))
     default = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)
     fields = tuple((f["name"], f["source"], bool(f.get("required", False)), default(f.get("default"))) for f in manifest["fields"])
-    return Pack(pack_id, meta["vendor"], meta["product"], detection.get("priority", 0), rules, manifest["format"]["type"], f"{pack_id}.{manifest['format']['type']}", fields, meta["pack_version"])
+    return Pack(pack_id, meta["vendor"], meta["product"], detection.get("priority", 0), rules, manifest["format"]["type"], f"{pack_id}.{manifest['format']['type']}", fields, meta["pack_version"], mapping=of_manifest(manifest["mapping"]) if "mapping" in manifest else None)
 
 
 def _decoded(text: str):
@@ -116,6 +160,8 @@ def load(spark: SparkSession, folder: str) -> tuple[tuple[Pack, ...], dict[str,
             wrong[name] = found
         elif (pack := pack_of(manifest, name)).pack_id in packs:
             wrong[name] = [f"id {pack.pack_id} is taken"]
+        elif pack.mapping and pack.mapping.mapping_id in {p.mapping.mapping_id for p in packs.values() if p.mapping}:
+            wrong[name] = [f"mapping {pack.mapping.mapping_id} is taken"]
         else:
             packs[pack.pack_id] = pack
     return tuple(by_priority(tuple(packs.values()))), wrong

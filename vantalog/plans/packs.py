@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsers
 from ..functions.text import after, built, decoded, entries, let, strip, valid_ip, words, zoned_timestamp
+from .mappings import Mapping
 
 ISSUE = "struct<code:string,message:string,severity:string,field:string>"
 PARSED = f"struct<status:string,issues:array<{ISSUE}>,fields:map<string,string>>"
@@ -65,6 +66,7 @@ class Pack:
     version: str = "1.0.0"
     parse: Callable[[Column], Column] | None = field(default=None, compare=False)
     after: Callable[[Column, Column], dict[str, Column]] | None = field(default=None, compare=False)
+    mapping: Mapping | None = None
 
     def detect(self, text: Column) -> Column:
         return _any([r.matches(text) for r in self.rules])
@@ -293,6 +295,9 @@ def by_priority(packs: tuple[Pack, ...] = PACKS) -> list[Pack]:
     """Higher priority first, then by id; duplicates aren't allowed."""
     if len({p.pack_id for p in packs}) < len(packs):
         raise ValueError("pack ids must differ")
+    mapped = [p.mapping.mapping_id for p in packs if p.mapping]
+    if len(set(mapped)) < len(mapped):
+        raise ValueError("mapping ids must differ")
     return sorted(packs, key=lambda p: (-p.priority, p.pack_id))
 
 
@@ -302,6 +307,14 @@ def detect(raw: DataFrame, packs: tuple[Pack, ...] = PACKS) -> DataFrame:
     return text.withColumn("pack", built(("detect", packs), lambda: F.coalesce(*[F.when(p.detect(F.col("text")), F.lit(p.pack_id)) for p in by_priority(packs)])))
 
 
+def guarded(rows: DataFrame, said_id: str = "said_event_id", said_sha256: str = "said_raw_sha256") -> DataFrame:
+    """What a parser from outside gave for each event, beside the event's own id and payload: where it speaks of another id or other bytes, its fields count for nothing and the event has failed. The two columns go."""
+    other = ~F.coalesce((F.col(said_id) == F.col("event_id")) & (F.col(said_sha256) == F.sha2("payload", 256)), F.lit(False))
+    blame = F.array(issue("PARSER_IDENTITY_MISMATCH", "the parser's result speaks of another event", "critical", "event_id")).cast(f"array<{ISSUE}>")
+    none = F.create_map().cast("map<string,string>")
+    return rows.withColumns({"status": F.when(other, "failed").otherwise(F.col("status")), "issues": F.when(other, blame).otherwise(F.col("issues")), "fields": F.when(other, none).otherwise(F.col("fields"))}).drop(said_id, said_sha256)
+
+
 def parse_only(raw: DataFrame, pack_id: str, packs: tuple[Pack, ...] = PACKS) -> DataFrame:
     """``parse`` for the events of one pack: all packs are tried for detection, and only that one's events are parsed."""
     own = next(p for p in packs if p.pack_id == pack_id)
