@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import small_methods
 from .operators import collect, export, store
 from .operators.validate import structural_issues, validate
 from .plans import manifests
@@ -56,7 +57,8 @@ class Engine:
         """Stores all events and answers with a row each: event_id, status (stored, quarantined or rejected), reason or validation codes, pack, parse status, quality, hash."""
         made = self.evaluated(raw).persist()
         try:
-            store.write_events(made, self.store_path)
+            with small_methods(self.spark):
+                store.write_events(made, self.store_path)
             codes = F.array_join(F.transform("validation", lambda i: F.concat_ws(":", i.path, i.rule)), ",")
             kept = made.select("event_id", F.when(F.col("storable"), "stored").otherwise("quarantined").alias("status"), codes.alias("detail"), "pack", F.col("status").alias("parse_status"), F.col("quality.status").alias("quality"), F.col("traceability.raw_sha256").alias("raw_sha256"))
             refused = collect.ingest(raw).where("reason is not null").select("event_id", F.lit("rejected").alias("status"), F.col("reason").alias("detail"), *[F.lit(None).cast("string").alias(n) for n in ("pack", "parse_status", "quality")], "raw_sha256")

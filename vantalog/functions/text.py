@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SEP = "\x01"
@@ -33,6 +34,20 @@ def computed_once(rows: DataFrame, name: str) -> DataFrame:
     return rows.observe(name, F.count(F.lit(1)).alias("rows"))
 
 
+_METHODS = "spark.sql.codegen.hugeMethodLimit"
+
+
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Plans that run in here fall back to code per projection where a stage's method passes 8,000 bytes: beyond that the JVM doesn't compile methods, and wide stages run interpreted."""
+    before = spark.conf.get(_METHODS, None)
+    spark.conf.set(_METHODS, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_METHODS) if before is None else spark.conf.set(_METHODS, before)
+
+
 def decoded(payload: Column) -> Column:
     """Bytes as text; invalid sequences become replacement characters."""
     return F.make_valid_utf8(payload.cast("string"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsers
-from ..functions.text import any_timestamp, utc_z, valid_ip
+from ..functions.text import any_timestamp, small_methods, utc_z, valid_ip
 from ..operators import collect, deliver, export, metrics, store
 from ..operators.validate import structural_issues, validate
 from ..sources.events import render, spread, table, uuid_of
@@ -81,11 +81,12 @@ def stored(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, _versions(spark, events))
     if key not in _STORED:
         path = new_path(spark, "events")
-        made = validate(normalize(parse(raw(spark, sf_dir)), F.col("ingested_at") + F.expr("INTERVAL 1 SECOND")))
-        made.drop("text", "issues").write.parquet(f"{path}/unified")
-        made = spark.read.parquet(f"{path}/unified")
-        store.append_rows(superseded(store.event_rows(made.where("storable"))), path)
-        store.write_events(made, path)
+        with small_methods(spark):
+            made = validate(normalize(parse(raw(spark, sf_dir)), F.col("ingested_at") + F.expr("INTERVAL 1 SECOND")))
+            made.drop("text", "issues").write.parquet(f"{path}/unified")
+            made = spark.read.parquet(f"{path}/unified")
+            store.append_rows(superseded(store.event_rows(made.where("storable"))), path)
+            store.write_events(made, path)
         _STORED[key] = path
     return _STORED[key]
 
