@@ -136,13 +136,84 @@ def test_one_id_and_two_texts(spark):
 def test_chunks_cover_texts_and_resist_shifts():
     rng = random.Random(2)
     text = bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
-    parts = [None, b"", text, b"new words " + text, "é".encode() * 700, b"\0\0a\0"]
-    at, start, end, _, digest = substrings.chunk(parts)
+    parts = [None, b"", text, b"new words " + text, "é".encode() * 700, b"\0\0a\0", b" \n", b"x " * 500]
+    at, first, end, digest = substrings.chunk(parts)
     for i, t in enumerate(parts):
-        own = [(a, b) for k, a, b in zip(at, start, end, strict=True) if k == i]
-        assert b"".join((t or b"")[a:b] for a, b in own) == (t or b"")
-        assert all(0 < b - a <= substrings.MOST for a, b in own)
+        own = [(a, b) for k, a, b in zip(at, first, end, strict=True) if k == i]
+        assert [w for a, b in own for w in range(a, b)] == list(range(len((t or b"").split())))
+        assert all(0 < b - a <= substrings.SPAN for a, b in own)
     assert len(set(digest[at == 2]) - set(digest[at == 3])) <= 4
+    assert all(len(x) == 0 for x in substrings.chunk([None, b"  "]))
+
+
+def _repeats_by_force(texts, size):
+    """(text's index, first word, words, first holder) of all passages, from every window of every text."""
+    holder, found = {}, []
+    for i, t in enumerate(texts):
+        own = (t or "").encode().split()
+        grams = [tuple(own[j : j + size]) for j in range(len(own) - size + 1)]
+        run = None
+        for j, g in enumerate(grams):
+            if g in holder:
+                if run and j - run[1] < size:
+                    run[1] = j
+                else:
+                    found.append(run := [j, j, i, holder[g]])
+        for g in grams:
+            holder.setdefault(g, i)
+    return sorted((i, a, b - a + size, h) for a, b, i, h in found)
+
+
+@pytest.mark.parametrize("size, crowd", [(50, 2048), (20, 3), (10, 2048)])
+def test_substring_repeats_agree_with_brute_force(spark, size, crowd):
+    rng = random.Random(size)
+    fresh = lambda n, most: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, most))) for _ in range(n))
+    texts = []
+    for most in (1, 3, 9):
+        for n in [size - 5, size - 1, size, size + 1, size + 5, size * 2] * 6:
+            p = fresh(n, most)
+            texts.append(f"{fresh(rng.randint(0, 40), most)} {p} {fresh(rng.randint(0, 40), most)}")
+            before, after = rng.choice([(0, 30), (30, 0), (9, 9), (0, 0)])
+            texts.append(f"{fresh(before, most)}\n{p.replace(' ', rng.choice([' ', '  ', chr(10)]))} {fresh(after, most)}")
+    long = fresh(300, 9)
+    texts += [long, "x " * 700, "y " + "x " * 400, "a b " * 300, None, "", " \n", fresh(size - 1, 9), "w" * 5000, long, long[:900] + " " + long[300:], "x " * 700]
+    # A passage whose halves come from two documents is none, but overlapping windows of two holders are one.
+    left, right, middle = fresh(size - 1, 9), fresh(size - 1, 9), fresh(size - 4, 9)
+    texts += [left, right, f"{left} {right}", f"{fresh(4, 9)} {middle}", f"{middle} {fresh(4, 9)}"]
+    texts.append(" ".join([texts[-2], *texts[-1].split()[-4:]]))
+    docs = table(spark, texts).repartition(5)
+    found = substrings.repeats(docs, size, crowd=crowd).collect()
+    expected = _repeats_by_force(texts, size)
+    assert sorted((r.doc_id, len(texts[r.doc_id].encode()[: r.start].split()), r.n_words, r.first_doc_id) for r in found) == expected
+    for r in found:
+        piece = texts[r.doc_id].encode()[r.start : r.start + r.n_bytes]
+        assert piece == piece.strip() and len(piece.split()) == r.n_words
+    cleaned = {r.doc_id: r.text for r in substrings.clean(docs, least_words=size).collect()}
+    for i, t in enumerate(texts):
+        left = (t or "").split()
+        for k, a, n, _ in reversed(expected):
+            if k == i:
+                del left[a : a + n]
+        assert (cleaned[i] is None) == (t is None) and (cleaned[i] or "").split() == left
+
+
+def test_substring_repeats_within_a_text(spark):
+    rng = random.Random(8)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    p = fresh(55)
+    docs = table(spark, [f"{fresh(10)} {p} {fresh(9)} {p}", fresh(200)])
+    assert substrings.repeats(docs).count() == 0
+    assert [(r.doc_id, r.n_words, r.first_doc_id) for r in substrings.repeats(docs, within=True).collect()] == [(0, 55, 0)]
+    with pytest.raises(ValueError):
+        substrings.repeats(docs, least_words=9)
+
+
+def test_op2_query_agrees_with_brute_force(spark, docs, texts, tmp_path):
+    long = [t for t in texts if len(words(t, SPACED)) == 200]
+    more = texts + [f"{i} {long[i % 3]} {long[i % 2]} {i}" for i in range(9)]
+    table(spark, more).write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted((r.doc_id, len(more[r.doc_id].encode()[: r.start].split()), r.n_words, r.first_doc_id) for r in queries.op2_substring_dedup(spark, str(tmp_path)).collect())
+    assert found and found == _repeats_by_force(more, 50)
 
 
 def test_toxicity_learns_words_and_misspellings(spark):
