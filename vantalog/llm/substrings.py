@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, doc_key, saved, small, texts
+from .common import WordHashes, batches, doc_key, forget, saved, shuffles_dropped, small, texts
 
 #: Bytes that the hash sees, and the most words of a passage whose ends see bytes before it.
 WINDOW = 16
@@ -163,19 +163,25 @@ def _windows(least_words: int, span: int):
     return rows_of
 
 
-def _held(rows: DataFrame, within: bool, crowd: int, name: str) -> DataFrame:
-    """``rows`` (digest, doc_id, again and more) whose digest several documents hold, or, if ``within``, one text twice; with first_doc_id, the smallest of them.
+def _held(rows: DataFrame, within: bool, crowd: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (digest, doc_id, again and more) whose digest several documents hold, or, if ``within``, one text twice; with first_doc_id, the smallest of them. Also the table of digests that they are joined to.
 
     Digests are aggregated before the shuffle; those of more than ``crowd`` rows are joined in several tasks each,
     their rows by document, their first holder sent to all.
     """
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.max("again").alias("_again"), F.count("*").alias("n")).where(F.expr("first_doc_id < _last") | (F.col("_again") & F.lit(within)))
-    first = saved(first.select(F.col("digest").alias("of"), "first_doc_id", "n"), f"{name}-firsts")
+    twice = F.expr("first_doc_id < _last")
+    found = [F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.count("*").alias("n")]
+    if within:
+        found.append(F.max("again").alias("_again"))
+        twice = twice | F.col("_again")
+    else:
+        rows = rows.drop("again")
+    first = saved(rows.groupBy("digest").agg(*found).where(twice).select(F.col("digest").alias("of"), "first_doc_id", "n"), f"{name}-firsts")
     hot = first.where(F.col("n") > crowd).select(F.col("of").alias("hot"))
     salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))).cast("int").alias("salt")
     spread = first.select("of", "first_doc_id", F.explode(F.when(F.col("n") > crowd, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("of_salt"))
     salted = rows.join(small(saved(hot, f"{name}-crowds"), 16), F.col("digest") == F.col("hot"), "left").select("*", salt)
-    return salted.join(spread, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).drop("hot", "salt", "of", "of_salt")
+    return salted.join(spread, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).drop("hot", "salt", "of", "of_salt"), first
 
 
 def repeats(docs: DataFrame, least_words: int = 50, within: bool = False, crowd: int = 2048) -> DataFrame:
@@ -193,12 +199,21 @@ def repeats(docs: DataFrame, least_words: int = 50, within: bool = False, crowd:
     if least_words < LEAD + 2:
         raise ValueError(f"passages of {LEAD + 2} words at least")
     span = min(SPAN, (least_words - LEAD) // 2)
-    held = _held(saved(chunks(docs, span), "chunks"), within, crowd, "chunk")
-    spans = held.groupBy(F.col("doc_id").alias("of"), F.col("doc_key").alias("of_key")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    near = docs.select("doc_id", doc_key(F.col("text")).alias("doc_key"), "text").join(spans, (F.col("doc_id") == F.col("of")) & (F.col("doc_key") == F.col("of_key")))
-    grams = saved(near.select("doc_id", "doc_key", "text", "spans").mapInArrow(_windows(least_words, span), _GRAM), "chunk-windows")
-    hits = _held(grams, within, crowd, "window").where(F.expr("doc_id > first_doc_id") | (F.col("again") & F.lit(within)))
-    hits = hits.select("doc_id", "doc_key", "at", "start", "stop", "first_doc_id").repartition("doc_id", "doc_key").dropDuplicates(["doc_id", "doc_key", "at"])
+    of_text = [F.col("doc_id").alias("of"), F.col("doc_key").alias("of_key")]
+    # A step's tables and shuffles go when the next table is written.
+    with shuffles_dropped(docs.sparkSession):
+        own = saved(chunks(docs, span), "chunks")
+        held, first = _held(own, within, crowd, "chunk")
+        spans = saved(held.groupBy(*of_text).agg(F.collect_set(F.struct("a", "b")).alias("spans")), "chunk-spans")
+        forget(own), forget(first)
+        near = docs.select("doc_id", doc_key(F.col("text")).alias("doc_key"), "text").join(spans, (F.col("doc_id") == F.col("of")) & (F.col("doc_key") == F.col("of_key")))
+        grams = saved(near.select("doc_id", "doc_key", "text", "spans").mapInArrow(_windows(least_words, span), _GRAM), "chunk-windows")
+        forget(spans)
+        hits, first = _held(grams, within, crowd, "window")
+        later = F.expr("doc_id > first_doc_id" + (" or again" if within else ""))
+        hits = saved(hits.where(later).select("doc_id", "doc_key", "at", "start", "stop", "first_doc_id"), "chunk-hits")
+        forget(grams), forget(first)
+    hits = hits.repartition("doc_id", "doc_key").dropDuplicates(["doc_id", "doc_key", "at"])
     along = Window.partitionBy("doc_id", "doc_key").orderBy("at")
     begins = F.coalesce(F.col("at") - F.lag("at").over(along) >= least_words, F.lit(True))
     runs = hits.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(along)).groupBy("doc_id", "doc_key", "run").agg(
