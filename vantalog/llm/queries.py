@@ -17,7 +17,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats(_table(spark, sf_dir, "documents"))
+    return substrings.repeats(_table(spark, sf_dir, "documents")).select("doc_id", "start", "n_bytes", "n_words", "first_doc_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,22 @@ def _crc_steps(half: int) -> int:
 _CRC = [_crc_steps(i) for i in range(16)]
 
 ORACLE_SQL = {
+    "op2_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS p
+            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+        ), grams AS (
+            SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+        ), firsts AS (SELECT gram, min(doc_id) AS first_doc_id FROM grams GROUP BY gram HAVING min(doc_id) < max(doc_id)
+        ), hits AS (SELECT doc_id, i, first_doc_id FROM grams JOIN firsts USING (gram) WHERE doc_id > first_doc_id
+        ), begun AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) >= 50, true)::INT AS begins FROM hits
+        ), numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM begun
+        ), runs AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS b, arg_min(first_doc_id, i) AS first_doc_id FROM numbered GROUP BY doc_id, run
+        ), placed AS (
+            SELECT doc_id, a, b, first_doc_id, list_sum(list_transform(p[1:a], lambda x: strlen(x)))::BIGINT - strlen(w[a]) AS start, list_sum(list_transform(p[1:b], lambda x: strlen(x)))::BIGINT AS stop
+            FROM runs JOIN d USING (doc_id)
+        )
+        SELECT doc_id, start, stop - start AS n_bytes, (b - a + 1)::BIGINT AS n_words, first_doc_id FROM placed""",
     "op5_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
