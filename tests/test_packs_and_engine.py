@@ -68,6 +68,28 @@ def test_engine_and_command(spark, pack_folder, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["action"] == "deny"
     (tmp_path / "doc.json").write_text('{"surprise":1}\n')
     assert main(["validate", str(tmp_path / "doc.json")]) == 1 and main(["--packs", pack_folder, "--store", str(tmp_path / "store"), "packs"]) == 1
+    # A file as one document; what can't be read, or a limit beyond its bounds, is the command's fault.
+    good = engine.search(vendor="cisco").first().normalized_json
+    (tmp_path / "whole.json").write_text(json.dumps(json.loads(good), indent=1))
+    assert main(["validate", "--whole", str(tmp_path / "whole.json")]) == 0 and main(["validate", str(tmp_path / "whole.json")]) == 1
+    assert main(["validate", str(tmp_path / "absent.json")]) == 2
+    for limit in (0, 501):
+        with pytest.raises(ValueError):
+            engine.search(limit=limit)
+        with pytest.raises(SystemExit) as refused:
+            main(["search", "--limit", str(limit)])
+        assert refused.value.code == 2
+    manifest = engine.export(str(tmp_path / "one"), "jsonl", limit=1)
+    newest = engine.search(limit=1).first().normalized_json
+    lines = [r.value for r in spark.read.text([str(tmp_path / "one" / part) for part in ("normalized", "quarantine")]).collect()]
+    assert lines == [newest] and sum(f["rows"] for f in manifest["files"]) == 1
+    command = ["--store", str(tmp_path / "store"), "export", str(tmp_path / "cisco"), "--form", "jsonl", "--vendor", "cisco"]
+    assert main(command) == 0 and main(command) == 2
+    engine.export(str(tmp_path / "lake"))
+    assert sum(len(list((tmp_path / "lake").rglob(f"*{end}"))) for end in (".parquet",)) >= 1
+    for wrong in ({"form": "csv"}, {"limit": 0}):
+        with pytest.raises(ValueError):
+            engine.export(str(tmp_path / "none"), **wrong)
 
 
 def test_small_helpers(spark):

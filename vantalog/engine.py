@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,34 +71,74 @@ class Engine:
         """Of every stored event the version that counts."""
         return store.current(self.spark.read.parquet(f"{self.store_path}/events"))
 
-    def search(self, **facets) -> DataFrame:
-        return store.search(self.events(), **facets)
+    def search(self, limit: int = 50, **facets) -> DataFrame:
+        """The newest events of these facets; a ``limit`` beyond 1 to 500 is refused."""
+        return store.search(self.events(), limit=within_bounds(limit), **facets)
 
-    def export(self, path: str) -> None:
-        """The store as a lake below ``path``."""
-        export.lake(self.events(), path)
+    def export(self, path: str, form: str = "lake", limit: int | None = None, **facets) -> dict | None:
+        """The events of these facets below ``path``, as a lake or as JSON lines committed as one, whose manifest is returned.
+
+        ``limit``: only the newest so many, however large; None: all.
+        """
+        if form not in ("lake", "jsonl"):
+            raise ValueError(f"unknown form: {form}")
+        if limit is not None and limit < 1:
+            raise ValueError(f"limit below 1: {limit}")
+        rows = store.search(self.events(), limit=None, **facets)
+        if limit is not None:
+            rows = rows.orderBy(F.col("observed_at").desc(), "event_id").limit(limit)
+        if form == "lake":
+            return export.lake(rows, path)
+        return export.commit_jsonl(rows.withColumn("schema_version", F.get_json_object("normalized_json", "$.schema_version")), path)
+
+
+def within_bounds(limit: int | str) -> int:
+    """The limit of a search, 1 to 500."""
+    if not 1 <= int(limit) <= 500:
+        raise ValueError(f"limit beyond 1 to 500: {limit}")
+    return int(limit)
+
+
+def document_problems(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """path, rule, document (its beginning): what is wrong with the JSON documents at ``path``, one a line or, if ``whole``, one a file."""
+    text = spark.read.text(path, wholetext=whole)
+    return text.select("value", F.explode(structural_issues("value")).alias("issue")).select("issue.path", "issue.rule", F.substring("value", 1, 80).alias("document"))
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Commands: packs, process FILES, search, validate FILES. Exit codes: 0 good, 1 something is wrong with the input, 2 the command is."""
+    """Commands: packs, health, process FILES, search, export PATH, validate FILES. Exit codes: 0 good, 1 something is wrong with the input, 2 the command is, or a path can't be read or is taken."""
     ask = argparse.ArgumentParser(prog="vantalog")
     ask.add_argument("--store", default="vantalog-store")
     ask.add_argument("--packs")
     commands = ask.add_subparsers(dest="command", required=True)
     commands.add_parser("packs")
     commands.add_parser("health")
-    for name in ("process", "validate"):
-        commands.add_parser(name).add_argument("path")
-    find = commands.add_parser("search")
+    commands.add_parser("process").add_argument("path")
+    check, find, out = (commands.add_parser(name) for name in ("validate", "search", "export"))
+    check.add_argument("path")
+    check.add_argument("--whole", action="store_true", help="a file is one document")
     for facet in ("vendor", "category", "action", "severity", "quality", "text", "start", "end"):
         find.add_argument(f"--{facet}")
-    find.add_argument("--limit", type=int, default=50)
+        out.add_argument(f"--{facet}")
+    find.add_argument("--limit", type=within_bounds, default=50)
+    out.add_argument("path")
+    out.add_argument("--form", choices=("lake", "jsonl"), default="lake")
+    out.add_argument("--limit", type=int)
     given = ask.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     say = lambda df: [print(r.j) for r in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()]
-    if given.command == "validate":  # one JSON document a line
-        issues = spark.read.text(given.path).select("value", F.explode(structural_issues("value")).alias("issue")).select("issue.path", "issue.rule", F.substring("value", 1, 80).alias("document"))
-        return int(bool(say(issues)))
+    try:
+        return _run(spark, given, say)
+    except (AnalysisException, FileExistsError) as e:
+        if isinstance(e, AnalysisException) and e.getCondition() not in ("PATH_NOT_FOUND", "PATH_ALREADY_EXISTS"):
+            raise
+        print(str(e).splitlines()[0], file=sys.stderr)
+        return 2
+
+
+def _run(spark: SparkSession, given: argparse.Namespace, say) -> int:
+    if given.command == "validate":
+        return int(bool(say(document_problems(spark, given.path, given.whole))))
     engine = Engine(spark, given.store, given.packs)
     if given.command in ("packs", "health"):
         print(json.dumps(engine.list_packs() if given.command == "packs" else engine.health()))
@@ -105,7 +146,11 @@ def main(argv: list[str] | None = None) -> int:
     if given.command == "process":
         counts = engine.process(collect.read_lines(spark, given.path)).groupBy("status").agg(F.count("*").alias("n"))
         return int(any(json.loads(r.j)["status"] == "rejected" for r in counts.select(F.to_json(F.struct("*")).alias("j")).collect() if not print(r.j)))
-    say(engine.search(**{k: v for k, v in vars(given).items() if k not in ("command", "store", "packs")}))
+    asked = {k: v for k, v in vars(given).items() if k not in ("command", "store", "packs")}
+    if given.command == "export":
+        print(json.dumps(engine.export(**asked)))
+    else:
+        say(engine.search(**asked))
     return 0
 
 
