@@ -272,3 +272,18 @@ def test_searches_see_versions_that_count_and_reach_the_files(spark, tmp_path):
     wide = [s for s in scans if "vendor" in s]
     assert len(wide) < len(scans) and all("action" in s.split("DataFilters: [")[1].split("]")[0] for s in wide)
     assert {r.event_id for r in store.search(rows, action="deny", start="2024-02-01", end="2024-03-01", limit=None).collect()} == {e for e in denied if int(e[1:]) % 4 == 2}
+
+
+def test_recent_duplicates_sql_forgets_as_the_cache_does(spark, tmp_path):
+    """With more texts than a cache holds, the SQL has the cache's rule too."""
+    import duckdb
+
+    from vantalog.plans import live
+
+    texts = ["again", *[f"t{i}" for i in range(recent.ROOM - 1)], "again", *[f"u{i}" for i in range(recent.ROOM)], "again", None, None]
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "source": "s"}).to_parquet(tmp_path / "documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    said = {n: flag for n, _, flag in db.execute(live._REPEATS).fetchall()}
+    assert said == {r.doc_id: r.duplicate for r in live.recent_duplicates(spark, str(tmp_path)).collect()}
+    assert [n for n, flag in said.items() if flag] == [recent.ROOM]
