@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantalog.plans import catalog
+from vantalog.plans.packs import PACKS
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,10 @@ def test_delivery_lines_of_all_events(spark, sf_dir, monkeypatch, name, line):
     assert found == {r.event_id: line(r) for r in events}
     assert len(found) == 280 and len({r.pack for r in events}) == 5
     assert any("a = b|c]" in (r.event.message or "") for r in events) and any(r.source and r.source.port for r in events)
+
+
+def test_parsed_values_are_bound(spark):
+    """What a firewall's parser asks several times is computed once: its expression stays small."""
+    own = next(p for p in PACKS if p.pack_id == "cisco_asa").parsed(F.col("text"))
+    plan = spark.createDataFrame([("a",)], "text string").select(own)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") < 100
