@@ -5,7 +5,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from vantalog.functions.text import utc_z
+from vantalog.operators import store
 from vantalog.plans import catalog
+from vantalog.plans.normalize import SECTIONS, unified_json
 from vantalog.plans.packs import PACKS
 
 
@@ -72,6 +75,34 @@ def test_delivery_lines_of_all_events(spark, sf_dir, monkeypatch, name, line):
     assert any("a = b|c]" in (r.event.message or "") for r in events) and any(r.source and r.source.port for r in events)
 
 
+def test_unified_json_is_canonical(spark, sf_dir):
+    """Structs written in order are the text that a detour over VARIANT gives: sorted keys, no nulls, no trailing .0."""
+    time = F.struct(*[utc_z(F.col(f"time.{n}")).alias(n) for n in ("ingested_at", "normalized_at", "observed_at")])
+    detour = F.parse_json(F.to_json(F.struct(F.lit("1.0.0").alias("schema_version"), *[(time if s == "time" else F.col(s)).alias(s) for s in SECTIONS]))).cast("string")
+    found = catalog.unified(spark, sf_dir).select(detour.alias("a"), unified_json().alias("b")).collect()
+    assert len(found) > 100 and all(r.a == r.b for r in found)
+
+
+def test_json_is_made_once_a_row(spark, sf_dir, tmp_path):
+    """Ranges are found by a pass over the rows in which no JSON is made."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(event_id):
+        asked.add(1)
+        return event_id
+
+    stored = catalog.unified(spark, sf_dir).where("storable")
+    store._append(stored, F.col("time.observed_at"), str(tmp_path), lambda r: store.event_rows(r, "month").withColumn("normalized_json", made("event_id")))
+    assert asked.value == stored.count() == spark.read.parquet(f"{tmp_path}/events").count()
+
+
+def test_unified_events_do_not_wait_for_the_event_table(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalog, "_STORED", {})
+    monkeypatch.setattr(catalog.store, "write_events", lambda *_: pytest.fail("the event table isn't asked"))
+    assert catalog.action_map(spark, sf_dir).count() > 0
+
+
 def test_parsed_values_are_bound(spark):
     """What a firewall's parser asks several times is computed once: its expression stays small."""
     own = next(p for p in PACKS if p.pack_id == "cisco_asa").parsed(F.col("text"))
