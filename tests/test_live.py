@@ -287,3 +287,19 @@ def test_recent_duplicates_sql_forgets_as_the_cache_does(spark, tmp_path):
     said = {n: flag for n, _, flag in db.execute(live._REPEATS).fetchall()}
     assert said == {r.doc_id: r.duplicate for r in live.recent_duplicates(spark, str(tmp_path)).collect()}
     assert [n for n, flag in said.items() if flag] == [recent.ROOM]
+
+
+def test_poison_is_sought_in_what_failed(spark, tmp_path):
+    """A try reads the rows that it tries: the whole is asked a few times only, however many halvings there are."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def count(n):
+        asked.add(1)
+        return n
+
+    rows = spark.range(400).select(count("id").alias("n"), F.col("id").cast("string").alias("event_id"))
+    bad = F.when(F.col("n") == 77, F.raise_error(F.lit("no"))).otherwise(F.col("n"))
+    good, lost = poison.isolated(rows, lambda part: part.withColumn("n", bad), str(tmp_path))
+    assert [r.n for r in lost.collect()] == [77] and good.count() == 399
+    assert asked.value <= 400 * 4
