@@ -108,3 +108,8 @@ def test_parsed_values_are_bound(spark):
     own = next(p for p in PACKS if p.pack_id == "cisco_asa").parsed(F.col("text"))
     plan = spark.createDataFrame([("a",)], "text string").select(own)._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") < 100
+
+
+def test_delivery_lines_are_read_once(spark, sf_dir):
+    plan = catalog.cef_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?s)CEF:(.*)$") == 1
