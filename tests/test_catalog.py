@@ -10,6 +10,7 @@ from vantalog.operators import store
 from vantalog.plans import catalog
 from vantalog.plans.normalize import SECTIONS, unified_json
 from vantalog.plans.packs import PACKS
+from vantalog.sources import events
 
 
 @pytest.fixture(scope="module")
@@ -110,6 +111,22 @@ def test_parsed_values_are_bound(spark):
     assert plan.count("split(") < 100
 
 
+def test_rows_are_dealt_whatever_the_splits(spark, tmp_path, monkeypatch):
+    """A file of one row group has as many splits as its bytes make, and all rows lie in one of them."""
+    spark.range(9000).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = events.table(spark, str(tmp_path), "events")
+        assert rows.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        told = events.spread(rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(told) == 4 and max(r["count"] for r in told) < 3000
+    monkeypatch.setattr(events, "TASK_ROWS", 1000)
+    assert events.spread(spark.range(9000)).rdd.getNumPartitions() == 12
+
+
 def test_delivery_lines_are_read_once(spark, sf_dir):
     plan = catalog.cef_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?s)CEF:(.*)$") == 1
