@@ -127,6 +127,28 @@ def test_rows_are_dealt_whatever_the_splits(spark, tmp_path, monkeypatch):
     assert events.spread(spark.range(9000)).rdd.getNumPartitions() == 12
 
 
+def test_what_is_long_is_written_once(spark, sf_dir):
+    """The payload and its fields are parts of the sections; beside them they aren't written again."""
+    assert not {"payload", "fields", "text"} & set(catalog.unified(spark, sf_dir).columns)
+
+
+@pytest.mark.parametrize("name", ["lookup_by_id", "lookup_by_hash", "replacing_final"])
+def test_lookups_move_no_json(spark, sf_dir, name):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert not [line for line in plan.splitlines() if "normalized_json" in line and "Relation [" not in line]
+
+
+def test_rules_read_their_sections_only(spark, sf_dir):
+    """Each event is copied once a rule: what no rule reads isn't."""
+    plan = catalog.semantic_rule_hits_all(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "Relation [" in line)
+    assert "traceability#" in scan and not any(f"{n}#" in plan.split("Generate explode")[0] for n in ("http", "network", "observer"))
+
+
 def test_delivery_lines_are_read_once(spark, sf_dir):
     plan = catalog.cef_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?s)CEF:(.*)$") == 1
