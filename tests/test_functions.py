@@ -39,6 +39,12 @@ def test_key_value_last_wins_and_quotes(spark):
     assert one(spark, parsers.key_value(F.lit("nothing here"))) is None
 
 
+def test_key_value_compares_keys_only_where_some_repeat(spark):
+    lines = spark.createDataFrame([("a=1 b=2 a=3",), ('c="" d="x y" e=5',), ("nothing",)], "line string").select(parsers.key_value(F.col("line")).alias("c"))
+    assert [r.c for r in lines.collect()] == [{"b": "2", "a": "3"}, {"c": "", "d": "x y", "e": "5"}, None]
+    assert "array_distinct" in lines._jdf.queryExecution().analyzed().toString()
+
+
 def test_syslog_variants(spark):
     old = one(spark, parsers.syslog(F.lit("<38>Jan  2 03:04:05 node cron[7]: job done")))
     assert (old["facility"], old["severity_code"], old["variant"], old["procid"], old["message"]) == ("4", "6", "rfc3164", "7", "job done")

@@ -160,3 +160,16 @@ def test_results_that_speak_of_other_events_count_for_nothing(spark):
     found = {r.event_id: r for r in guarded(said).collect()}
     assert [found[i].status for i in "abc"] == ["success", "failed", "failed"] and found["a"].fields and not found["b"].fields
     assert [i.code for i in found["c"].issues] == ["PARSER_IDENTITY_MISMATCH"] and "said_event_id" not in found["a"]
+
+
+def test_fields_of_one_pack_are_looked_up_for_its_events_only(spark, monkeypatch):
+    from vantalog.plans import normalize as module
+
+    monkeypatch.setattr(module, "_ASKED", {})
+    monkeypatch.setattr(module, "_OWNER", {})
+    rows = spark.createDataFrame([("cisco_asa", {"proto": "tcp", "src_ip": "10.0.0.1"}), ("suricata_eve", {"proto": "udp", "src_ip": "10.0.0.2"}), (None, {"proto": "x"})], "pack string, fields map<string,string>")
+    found = lambda: [tuple(r.f) for r in rows.select(module._looked_up().alias("f")).collect()]
+    module._f("proto", "suricata_eve"), module._f("src_ip")
+    assert found() == [(None, "10.0.0.1"), ("udp", "10.0.0.2"), (None, None)]
+    module._f("proto")  # a mapping that came as data asks for it too
+    assert found() == [("tcp", "10.0.0.1"), ("udp", "10.0.0.2"), ("x", None)]
