@@ -152,3 +152,22 @@ def test_rules_read_their_sections_only(spark, sf_dir):
 def test_delivery_lines_are_read_once(spark, sf_dir):
     plan = catalog.cef_lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?s)CEF:(.*)$") == 1
+
+
+def moved(frame):
+    """What the plan's exchanges between tasks say of themselves, columns and all."""
+    spark = frame.sparkSession
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        told = frame._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    return [part for part in told.split("\n\n") if part.split("\n")[0].endswith(") Exchange")]
+
+
+@pytest.mark.parametrize("name", ["structural_rule_hits", "structural_rule_hits_all", "canonical_json", "canonical_json_all", "delivery_reconcile", "event_row_projection"])
+def test_passes_over_the_table_leave_its_rows_where_they_are(spark, sf_dir, name):
+    """Only keys, versions and places move to find the versions that count."""
+    exchanges = moved(catalog.QUERIES[name](spark, sf_dir))
+    assert any("event_id" in part for part in exchanges) and not any("normalized_json" in part or "destination_ip" in part for part in exchanges)

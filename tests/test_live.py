@@ -303,3 +303,21 @@ def test_poison_is_sought_in_what_failed(spark, tmp_path):
     good, lost = poison.isolated(rows, lambda part: part.withColumn("n", bad), str(tmp_path))
     assert [r.n for r in lost.collect()] == [77] and good.count() == 399
     assert asked.value <= 400 * 4
+
+
+def test_versions_that_count_are_told_by_place(spark, tmp_path, monkeypatch):
+    """``current_all`` gives the rows of ``current``, over several files, versions and bitmaps, facets and odd places included."""
+    at, rng = datetime.datetime(2024, 1, 5), random.Random(4)
+    kind = "event_id string, vendor string, action string, raw_sha256 string, normalized_json string, observed_at timestamp, normalized_at timestamp"
+    row = lambda i, turn: (f"e{i}", "Acme", f"a{turn}", f"{i:064d}", f'{{"n":{i},"turn":{turn}}}', at + datetime.timedelta(days=20 * (i % 4)), at + datetime.timedelta(hours=turn))
+    for turn in (3, 1, 2, 3):
+        some = [row(i, turn) for i in range(400) if rng.random() < 0.6]
+        store.append_rows(spark.createDataFrame(some, kind), str(tmp_path))
+    stored = spark.read.parquet(f"{tmp_path}/events")
+    wanted = sorted(map(tuple, store.current(stored).select(*stored.columns).collect()), key=repr)
+    for bits in (store._BITS, 8, 9):
+        monkeypatch.setattr(store, "_BITS", bits)
+        found = store.current_all(stored)
+        assert found.columns == stored.columns and sorted(map(tuple, found.collect()), key=repr) == wanted, bits
+    assert {r.event_id for r in found.where("action = 'a2'").collect()} == {w[0] for w in wanted if "a2" in w} != set()
+    assert len(wanted) == stored.select("event_id").distinct().count() < stored.count()
