@@ -1,6 +1,8 @@
 """Queries over all rendered events against their SQL, and delivery lines against serialisers in Python."""
 
 import datetime
+import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +173,14 @@ def test_passes_over_the_table_leave_its_rows_where_they_are(spark, sf_dir, name
     """Only keys, versions and places move to find the versions that count."""
     exchanges = moved(catalog.QUERIES[name](spark, sf_dir))
     assert any("event_id" in part for part in exchanges) and not any("normalized_json" in part or "destination_ip" in part for part in exchanges)
+
+
+def test_the_table_leaves_no_shuffle_behind(spark, sf_dir, monkeypatch, tmp_path):
+    """What writing the tables moved is gone when they are there, and they are packed."""
+    monkeypatch.setattr(catalog, "_STORED", {})
+    local = lambda: sum(len(files) for at, _, files in os.walk(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]) for f in files if f.startswith("shuffle_"))
+    before = local()
+    at = catalog.stored(spark, sf_dir)
+    assert local() <= before
+    files = [f for table in (at, catalog._written(spark, sf_dir, "unified", lambda _: pytest.fail("it is there"))) for f in Path(table.removeprefix("file://")).rglob("*.parquet")]
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files if "quarantine" not in f.parts)
