@@ -1,6 +1,7 @@
 """Streams with state, topics, committed exports, point reads, poison messages, line ids."""
 
 import datetime
+import gzip
 import json
 import random
 import time
@@ -321,3 +322,31 @@ def test_versions_that_count_are_told_by_place(spark, tmp_path, monkeypatch):
         assert found.columns == stored.columns and sorted(map(tuple, found.collect()), key=repr) == wanted, bits
     assert {r.event_id for r in found.where("action = 'a2'").collect()} == {w[0] for w in wanted if "a2" in w} != set()
     assert len(wanted) == stored.select("event_id").distinct().count() < stored.count()
+
+
+def test_compressed_exports_are_there_whole_and_proven(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/export"
+    made = export.commit_jsonl(lake_rows(spark), path, "gzip")
+    lines = 0
+    for f in made["files"]:
+        data = (Path(path) / f["path"]).read_bytes()
+        assert f["path"].endswith(".txt.gz") and (len(data), gzip.decompress(data).count(b"\n")) == (f["bytes"], f["rows"])
+        lines += f["rows"]
+    assert lines == made["total"] == 300 and export.verify_committed(spark, path).count() == 0
+    victim = next(f["path"] for f in made["files"] if f["rows"])
+    for crc in (Path(path) / victim).parent.glob(".*.crc"):
+        crc.unlink()
+    (Path(path) / victim).write_bytes(gzip.compress(b"{}\n"))
+    assert [tuple(r) for r in export.verify_committed(spark, path).collect()] == [(victim, "changed")]
+
+
+def test_committed_export_is_packed(spark, tmp_path, monkeypatch):
+    from vantalog.plans import catalog, live
+
+    rows = [(i, datetime.datetime(2024, 1, 10), i, "view", 0.5, "{}") for i in range(140)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(catalog, "_STORED", {})
+    monkeypatch.setattr(live, "new_path", lambda *_: f"{tmp_path}/export")
+    (told,) = live.committed_export(spark, str(tmp_path)).collect()
+    files = list((tmp_path / "export").rglob("*.txt*"))
+    assert told.problems == 0 and told.total > 100 and files and all(f.name.endswith(".txt.gz") for f in files if not f.name.startswith("."))

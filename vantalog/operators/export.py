@@ -24,11 +24,11 @@ def split_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(valid).alias("valid"), F.count_if(~valid).alias("quarantine"), F.when(F.size(versions) == 0, "unknown").when(F.size(versions) == 1, F.get(versions, F.lit(0))).otherwise("mixed").alias("schema_version"))
 
 
-def jsonl(rows: DataFrame, path: str) -> None:
-    """Canonical JSON, a line an event, valid events and the rest apart. The committer makes each directory appear whole."""
+def jsonl(rows: DataFrame, path: str, compression: str = "none") -> None:
+    """Canonical JSON, a line an event, valid events and the rest apart. The committer makes each directory appear whole. ``compression``: as of Spark's text files, such as gzip."""
     valid = F.coalesce("quality_status", F.lit("valid")) == "valid"
-    rows.where(valid).select(F.col("normalized_json").alias("value")).write.text(f"{path}/normalized")
-    rows.where(~valid).select(F.col("normalized_json").alias("value")).write.text(f"{path}/quarantine")
+    rows.where(valid).select(F.col("normalized_json").alias("value")).write.option("compression", compression).text(f"{path}/normalized")
+    rows.where(~valid).select(F.col("normalized_json").alias("value")).write.option("compression", compression).text(f"{path}/quarantine")
 
 
 def lake(rows: DataFrame, path: str, files_per_partition: int = 1) -> None:
@@ -70,13 +70,15 @@ def manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Data
 
 #: What the manifest of a committed export says of itself.
 MANIFEST, MANIFEST_VERSION = "manifest.json", "2.0"
+#: The files of lines, compressed or not.
+_LINES = "*.txt*"
 
 
-def commit_jsonl(rows: DataFrame, path: str) -> dict:
+def commit_jsonl(rows: DataFrame, path: str, compression: str = "none") -> dict:
     """Exports canonical JSON, a line an event, valid events and the rest apart, as one: nothing is at ``path`` before all is.
 
     Lines are written beside ``path``, below a name of their own, then the manifest: its version, totals and, of every
-    file, part, rows, bytes and SHA-256. One rename puts the whole export in place; a run that ends before leaves none.
+    file, part, rows, bytes and SHA-256 as it lies there, compressed or not. One rename puts the whole export in place; a run that ends before leaves none.
     The manifest is what is returned. A path that is taken is refused.
     """
     spark = rows.sparkSession
@@ -84,7 +86,7 @@ def commit_jsonl(rows: DataFrame, path: str) -> dict:
     if system.exists(at):
         raise FileExistsError(path)
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.staged"
-    jsonl(rows, staged)
+    jsonl(rows, staged, compression)
     files = _files(spark, staged).orderBy("path")
     totals = split_counts(rows).first()
     told = [{"path": r.path, "part": r.path.split("/")[0], "rows": r.rows, "bytes": r.bytes, "sha256": r.sha256} for r in files.toLocalIterator()]
@@ -104,15 +106,15 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     """path, rows, bytes, sha256 of the text files of an export, empty ones too."""
     at, system = _hadoop(spark, path)
     root = system.makeQualified(at).toUri().getPath().rstrip("/") + "/"
-    counted = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").option("lineSep", "\n").text(path).groupBy(F.substring_index("_metadata.file_path", root, -1).alias("path")).agg(F.count("*").alias("rows"))
-    return manifest(spark, path, "*.txt").join(counted, "path", "left").select("path", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), "bytes", "sha256")
+    counted = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _LINES).option("lineSep", "\n").text(path).groupBy(F.substring_index("_metadata.file_path", root, -1).alias("path")).agg(F.count("*").alias("rows"))
+    return manifest(spark, path, _LINES).join(counted, "path", "left").select("path", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), "bytes", "sha256")
 
 
 def verify_committed(spark: SparkSession, path: str) -> DataFrame:
     """path and problem (missing, unexpected, outside, changed, rows) of every file of a committed export that isn't as its manifest says; empty if all are."""
     kind = "manifest_version string, files array<struct<path:string,part:string,rows:long,bytes:long,sha256:string>>"
     recorded = spark.read.schema(kind).option("multiLine", "true").json(f"{path}/{MANIFEST}").select(F.explode("files").alias("f")).select("f.*")
-    wrong = verify(spark, path, recorded.select("path", "bytes", "sha256"), "*.txt")
+    wrong = verify(spark, path, recorded.select("path", "bytes", "sha256"), _LINES)
     counted = _files(spark, path).select("path", F.col("rows").alias("_rows"))
     miscounted = recorded.join(counted, "path").where(F.col("rows") != F.col("_rows")).select("path", F.lit("rows").alias("problem"))
     return wrong.unionByName(miscounted.join(wrong, "path", "left_anti"))
