@@ -184,3 +184,10 @@ def test_the_table_leaves_no_shuffle_behind(spark, sf_dir, monkeypatch, tmp_path
     assert local() <= before
     files = [f for table in (at, catalog._written(spark, sf_dir, "unified", lambda _: pytest.fail("it is there"))) for f in Path(table.removeprefix("file://")).rglob("*.parquet")]
     assert files and all(f.name.endswith(".zstd.parquet") for f in files if "quarantine" not in f.parts)
+
+
+def test_lines_are_made_once_after_they_were_dealt(spark, sf_dir):
+    """Whether a line is accepted is asked of the dealt lines, not of the files' splits, which would make them too."""
+    plan = catalog.envelopes(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Repartition ")[1]
+    assert "format_string" not in below and plan.count("executed the") == 1

@@ -350,3 +350,28 @@ def test_committed_export_is_packed(spark, tmp_path, monkeypatch):
     (told,) = live.committed_export(spark, str(tmp_path)).collect()
     files = list((tmp_path / "export").rglob("*.txt*"))
     assert told.problems == 0 and told.total > 100 and files and all(f.name.endswith(".txt.gz") for f in files if not f.name.startswith("."))
+
+
+def test_a_batch_is_kept_as_files_not_in_memory(spark, tmp_path, monkeypatch):
+    """What a batch parsed and validated fills no executor's memory, and is gone when the batch is done; a topic's files are of bounded size."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    asked, persist = [], DataFrame.persist
+    monkeypatch.setattr(DataFrame, "cache", lambda rows: pytest.fail("rows are cached"))
+    monkeypatch.setattr(DataFrame, "persist", lambda rows, *level: asked.append(level) or persist(rows, *level))
+    monkeypatch.setattr(stages, "FILE_ROWS", 30)
+    sent = envelopes(spark, [b"<38>Jan  2 03:04:05 node cron[77]: job %d" % i for i in range(70)]).coalesce(1).withColumn("attempt", F.lit("0"))
+    stages.publish(sent, f"{tmp_path}/in", stages.RAW)
+    files = spark.read.parquet(f"{tmp_path}/in/{stages.RAW}").groupBy(F.col("_metadata.file_path")).count().collect()
+    assert sorted(f["count"] for f in files) == [10, 30, 30]
+    for turn in range(3):  # a tenth fails twice
+        fails = (stages.attempt_of(F.col("attempt")) < 2) & F.col("event_id").endswith("7")
+        now = F.lit(1_700_000_000_000 + turn * stages.HORIZON_MS)
+        stages.run_pipeline(spark, f"{tmp_path}/in", sent.schema, f"{tmp_path}/out", f"{tmp_path}/c", fails, now).awaitTermination()
+        left = stages.release_due(spark, f"{tmp_path}/in", sent.schema, f"{tmp_path}/out", now + stages.HORIZON_MS)
+        assert left == (7 if turn < 2 else 0)
+    assert asked and not any(level.useMemory for (level,) in asked)
+    assert not list(tmp_path.glob("out/_*/batch=*"))
+    every = spark.read.option("recursiveFileLookup", "true")
+    assert every.parquet(f"{tmp_path}/out/events").select("event_id").distinct().count() == 70
+    assert sorted(r.event_id for r in every.parquet(f"{tmp_path}/out/events").collect()) == sorted(r.event_id for r in every.parquet(f"{tmp_path}/out/{stages.NORMALIZED}").collect())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,8 +13,10 @@ from ..functions.text import computed_once
 from ..operators.collect import contract_error
 from ..operators.store import event_rows, quarantine_rows
 from ..operators.validate import validate
-from ..plans.normalize import normalize
+from ..plans.normalize import SECTIONS, normalize
 from ..plans.packs import parse
+from ..sources.events import spread
+from ..sources.shared import dropped
 from .poison import isolated
 
 RAW, PARSED, NORMALIZED, RETRY, DEAD, METRICS = "raw-event", "parsed-event", "normalized-event", "retry", "dead-letter", "metrics"
@@ -66,8 +69,12 @@ def topic(spark: SparkSession, root: str, name: str, schema, per_batch: int = 64
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(f"{root}/{name}")
 
 
+#: Rows of a topic's file at most: a batch takes a number of files.
+FILE_ROWS = 250_000
+
+
 def publish(rows: DataFrame, root: str, name: str) -> None:
-    rows.write.mode("append").parquet(f"{root}/{name}")
+    rows.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").parquet(f"{root}/{name}")
 
 
 def dead_letters(rows: DataFrame, code: Column) -> DataFrame:
@@ -86,27 +93,30 @@ def run_pipeline(
     Each batch is written under its own number, so a batch that runs again replaces itself. ``transient`` says of an
     envelope (with its ``attempt``, 0 at first) whether processing fails for now; such envelopes are held in the retry
     topic until ``release_due`` feeds them back, for which ``schema`` must have ``attempt``. The clock is a column
-    of the batch; what is parsed and validated is kept for the batch's writes. ``plug`` is code from outside over the
+    of the batch; what is parsed and validated is kept as files until the batch's writes are done, so executors hold
+    none of it, however large the batch. ``plug`` is code from outside over the
     envelopes, columns and all; rows on which it raises are isolated and go to the dead letters as POISON_MESSAGE,
     while the others go on.
     """
     columns = schema.fieldNames()
 
     def write(batch: DataFrame, number: int) -> None:
-        put = lambda rows, name: rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        put = lambda rows, name: rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}/batch={number}")
+
+        def kept(rows: DataFrame, name: str) -> DataFrame:
+            put(rows, name)
+            return batch.sparkSession.read.schema(rows.schema).parquet(f"{out}/{name}/batch={number}")
+
         clock = {"_now_ms": now_ms if now_ms is not None else F.unix_millis(F.current_timestamp()), "_now": F.current_timestamp()}
         lost = None
         if plug is not None:
             batch, lost = isolated(batch, plug, f"{out}/_isolated/batch={number}")
-        timed = computed_once(batch.withColumns(clock), "clock")
-        decided = parsed_decisions(timed if transient is None else timed.withColumn("transient", transient), F.col("_now_ms")).persist()
-        kept = [decided]
+        timed = computed_once(spread(batch).withColumns(clock), "clock")
         try:
+            decided = kept(parsed_decisions(timed if transient is None else timed.withColumn("transient", transient), F.col("_now_ms")), "_decided")
             to = lambda name: decided.where(F.col("decision.topic") == name)
-            good = validate(normalize(to(PARSED), F.col("_now"))).persist()
-            kept.append(good)
-            stored = event_rows(good.where("storable"))
-            put(stored, "events")
+            good = kept(validate(normalize(to(PARSED), F.col("_now"))).select("event_id", *SECTIONS, "validation", "storable"), "_validated")
+            stored = kept(event_rows(good.where("storable")), "events")
             put(stored.select("event_id", "normalized_json"), NORMALIZED)
             put(quarantine_rows(good).withColumn("event_id", F.col("event_id").cast("string")), "quarantine")
             dead = dead_letters(to(DEAD), F.col("decision.error_code"))
@@ -114,8 +124,8 @@ def run_pipeline(
             put(to(RETRY).select(*[c for c in columns if c != "attempt"], "decision.attempt", "decision.not_before_ms", F.lit(STAGES[0]).alias("stage")), RETRY)
             put(decided.groupBy("decision.topic").agg(F.count("*").alias("n")), METRICS)
         finally:
-            for rows in kept:
-                rows.unpersist()
+            for name in ("_decided", "_validated"):
+                dropped(batch.sparkSession, f"{out}/{name}/batch={number}")
 
     return topic(spark, root, RAW, schema).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -131,7 +141,7 @@ def release_due(spark: SparkSession, root: str, schema, out: str, now_ms: Column
     sent = spark.read.schema(schema).parquet(f"{root}/{RAW}").select("event_id", F.col("attempt").cast("int").alias("attempt"))
     dead = spark.read.option("recursiveFileLookup", "true").schema("event_id string").parquet(f"{out}/{DEAD}")
     left = held.join(sent, ["event_id", "attempt"], "left_anti").join(dead, "event_id", "left_anti")
-    routed = left.withColumn("_route", retry_route(F.col("stage"), F.col("not_before_ms"), now_ms)).persist()
+    routed = left.withColumn("_route", retry_route(F.col("stage"), F.col("not_before_ms"), now_ms)).persist(StorageLevel.DISK_ONLY)
     try:
         open_ = routed.where(F.col("_route") != DEAD).count()
         lost = dead_letters(routed.where(F.col("_route") == DEAD), F.lit("INVALID_RETRY_HEADERS"))
