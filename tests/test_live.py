@@ -375,3 +375,23 @@ def test_a_batch_is_kept_as_files_not_in_memory(spark, tmp_path, monkeypatch):
     every = spark.read.option("recursiveFileLookup", "true")
     assert every.parquet(f"{tmp_path}/out/events").select("event_id").distinct().count() == 70
     assert sorted(r.event_id for r in every.parquet(f"{tmp_path}/out/events").collect()) == sorted(r.event_id for r in every.parquet(f"{tmp_path}/out/{stages.NORMALIZED}").collect())
+
+
+def test_what_is_released_comes_in_few_files(spark, tmp_path):
+    """As many files as tasks that have work, not as partitions of the shuffle that sought what is due."""
+    sent = envelopes(spark, [b"noise %d" % i for i in range(40)]).withColumn("attempt", F.lit("0"))
+    stages.publish(sent, str(tmp_path), stages.RAW)
+    held = sent.withColumns({"attempt": F.lit(1), "not_before_ms": F.lit(0).cast("long"), "stage": F.lit("parser")})
+    held.write.parquet(f"{tmp_path}/out/{stages.RETRY}/batch=0")
+    sent.limit(0).select("event_id").write.parquet(f"{tmp_path}/out/{stages.DEAD}/batch=0")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert stages.release_due(spark, str(tmp_path), sent.schema, f"{tmp_path}/out", F.lit(1_000).cast("long")) == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    released = spark.read.parquet(f"{tmp_path}/{stages.RAW}").where("attempt = '1'")
+    assert released.count() == 40 and released.select("_metadata.file_path").distinct().count() <= spark.sparkContext.defaultParallelism

@@ -146,7 +146,8 @@ def release_due(spark: SparkSession, root: str, schema, out: str, now_ms: Column
         open_ = routed.where(F.col("_route") != DEAD).count()
         lost = dead_letters(routed.where(F.col("_route") == DEAD), F.lit("INVALID_RETRY_HEADERS"))
         lost.write.mode("append").parquet(f"{out}/{DEAD}/released")
-        publish(routed.where(F.col("_route").isin(*STAGES)).select(*[F.col(f.name).cast(f.dataType) for f in schema]), root, RAW)
+        due = routed.where(F.col("_route").isin(*STAGES)).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+        publish(spread(due), root, RAW)  # a file a task: those of a shuffle are many and small, and would make as many batches
         return open_
     finally:
         routed.unpersist()
