@@ -157,14 +157,17 @@ def test_delivery_lines_are_read_once(spark, sf_dir):
 
 
 def moved(frame):
-    """What the plan's exchanges between tasks say of themselves, columns and all."""
+    """What the exchanges between tasks say of themselves, columns and all, of the plan for tables that are too large to be sent around."""
     spark = frame.sparkSession
-    before = spark.conf.get("spark.sql.debug.maxToStringFields")
-    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    conf = {"spark.sql.debug.maxToStringFields": "1000", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
     try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         told = frame._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     finally:
-        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return [part for part in told.split("\n\n") if part.split("\n")[0].endswith(") Exchange")]
 
 
